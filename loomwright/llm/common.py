@@ -62,5 +62,6 @@ def ascii_lower(column):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly without a key, for inputs that arrive in fewer splits than there are cores."""
-    return df.repartition(max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism))
+    """A scan of fewer splits than there are cores, dealt out evenly; any other input as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
