@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from loomwright.llm import packing, sstable
+from loomwright.llm import exact_dedup, packing, sharding, sstable, toxicity, url_filter
 from loomwright.sources.tables import table
 
 
+def op1_url_model(spark, sf_dir):
+    """Every page's URL judged by rules, else by the character models."""
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op2_hash_tree(spark, sf_dir):
+    """All documents in 24 shards of a hash tree."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_exact_dedup(spark, sf_dir):
+    """Groups of equal texts; the largest doc_id stays."""
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark, sf_dir):
+    """Every document's toxicity."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -16,5 +36,8 @@ def op10_sstable_ids(spark, sf_dir):
     return sstable.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing, op10_sstable_ids)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_model, op2_hash_tree, op6_exact_dedup, op7_best_fit_packing, op9_toxicity, op10_sstable_ids)
+}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
