@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwright.llm import decontaminate, exact_dedup, packing, sharding, sstable, toxicity, url_filter
+from loomwright.llm import decontaminate, exact_dedup, html_extract, packing, sharding, sstable, toxicity, url_filter
 from loomwright.sources.tables import table
 
 
@@ -21,6 +21,11 @@ def op3_spaced_seeds(spark, sf_dir):
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_site_templates(spark, sf_dir):
+    """Every page's main text."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark, sf_dir):
     """Groups of equal texts; the largest doc_id stays."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -43,6 +48,6 @@ def op10_sstable_ids(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_model, op2_hash_tree, op3_spaced_seeds, op6_exact_dedup, op7_best_fit_packing, op9_toxicity, op10_sstable_ids)
+    for f in (op1_url_model, op2_hash_tree, op3_spaced_seeds, op5_site_templates, op6_exact_dedup, op7_best_fit_packing, op9_toxicity, op10_sstable_ids)
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
