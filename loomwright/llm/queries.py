@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwright.llm import decontaminate, exact_dedup, html_extract, packing, sharding, sstable, toxicity, url_filter
+from loomwright.llm import decontaminate, exact_dedup, html_extract, jaccard_join, packing, sharding, sstable, toxicity, url_filter
 from loomwright.sources.tables import table
 
 
@@ -31,6 +31,11 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_count_rtree(spark, sf_dir):
+    """Components of documents whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     """Every document's toxicity."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -48,6 +53,6 @@ def op10_sstable_ids(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_model, op2_hash_tree, op3_spaced_seeds, op5_site_templates, op6_exact_dedup, op7_best_fit_packing, op9_toxicity, op10_sstable_ids)
+    for f in (op1_url_model, op2_hash_tree, op3_spaced_seeds, op5_site_templates, op6_exact_dedup, op7_best_fit_packing, op8_count_rtree, op9_toxicity, op10_sstable_ids)
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
