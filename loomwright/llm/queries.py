@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwright.llm import decontaminate, exact_dedup, html_extract, jaccard_join, packing, sharding, sstable, toxicity, url_filter
+from loomwright.llm import decontaminate, exact_dedup, html_extract, jaccard_join, packing, sharding, sstable, substring_dedup, toxicity, url_filter
 from loomwright.sources.tables import table
 
 
@@ -21,6 +21,11 @@ def op3_spaced_seeds(spark, sf_dir):
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffix_automata(spark, sf_dir):
+    """Every document without the passages that a smaller doc_id has."""
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op5_site_templates(spark, sf_dir):
     """Every page's main text."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
@@ -53,6 +58,6 @@ def op10_sstable_ids(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_model, op2_hash_tree, op3_spaced_seeds, op5_site_templates, op6_exact_dedup, op7_best_fit_packing, op8_count_rtree, op9_toxicity, op10_sstable_ids)
+    for f in (op1_url_model, op2_hash_tree, op3_spaced_seeds, op4_suffix_automata, op5_site_templates, op6_exact_dedup, op7_best_fit_packing, op8_count_rtree, op9_toxicity, op10_sstable_ids)
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
