@@ -101,18 +101,19 @@ def exact_duplicates(documents: DataFrame, runs: int = 4) -> DataFrame:
 
 
 def drop_copies(documents: DataFrame) -> DataFrame:
-    """``documents`` without the rows whose text a kept row has too; of rows that repeat whole doc_ids, one stays."""
+    """``documents`` without the rows whose text a kept row has too. Rows without doc_id stay. Where doc_ids repeat, rows are
+    told apart by their text as well, and of equal rows one stays."""
     judged = written(exact_duplicates(documents), "judged")
-    gone = judged.filter("NOT kept").select("doc_id").distinct()
-    gone = written(gone, "copies")
+    if not judged.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").limit(1).isEmpty():
+        rows = documents.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
+        named = rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_sha"])
+        gone = judged.filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha2"))
+        named = named.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_sha2")), "left_anti")
+        return named.union(rows.filter("doc_id IS NULL")).drop("_sha")
+    gone = written(judged.filter("NOT kept").select("doc_id"), "copies")
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    left = documents.join(gone, documents["doc_id"] == gone["doc_id"], "left_anti")
-    repeated = judged.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").limit(1)
-    if not repeated.isEmpty():
-        kinds = with_digest(left)
-        left = kinds.dropDuplicates(["doc_id", "digest"]).drop("digest")
-    return left
+    return documents.join(gone, documents["doc_id"] == gone["doc_id"], "left_anti")
 
 
 ORACLE_SQL = """

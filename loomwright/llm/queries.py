@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from loomwright.llm import decontaminate, exact_dedup, html_extract, jaccard_join, packing, sharding, sstable, substring_dedup, toxicity, url_filter
 from loomwright.sources.tables import table
 
@@ -56,8 +57,13 @@ def op10_sstable_ids(spark, sf_dir):
     return sstable.round_trip(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    """The corpus pipeline from documents to packed sequences."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_model, op2_hash_tree, op3_spaced_seeds, op4_suffix_automata, op5_site_templates, op6_exact_dedup, op7_best_fit_packing, op8_count_rtree, op9_toxicity, op10_sstable_ids)
+    for f in (op1_url_model, op2_hash_tree, op3_spaced_seeds, op4_suffix_automata, op5_site_templates, op6_exact_dedup, op7_best_fit_packing, op8_count_rtree, op9_toxicity, op10_sstable_ids, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}

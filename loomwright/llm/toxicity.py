@@ -226,31 +226,53 @@ def train(documents: DataFrame, labels: DataFrame, held_out: int = 2) -> Model:
     return fit([r["text"] for r in sample], [0] * negatives + [1] * (len(sample) - negatives), [zlib.crc32(f"curve {i}".encode()) % 4 == 0 for i in ids])
 
 
+def _scorer(model: Model):
+    """Scores of lists of texts; keeps the words of its own task in two generations."""
+    young: dict[str, float] = {}
+    old: dict[str, float] = {}
+
+    def scores(texts: list[str | None]) -> np.ndarray:
+        nonlocal young, old
+        tops = []
+        for text in texts:
+            words = words_of(text)
+            fresh = set(words).difference(young)
+            if fresh:
+                if len(young) + len(fresh) > CACHE_WORDS:
+                    young, old = {}, young
+                    fresh = set(words)
+                unseen = [w for w in fresh if w not in old]
+                young.update((w, old[w]) for w in fresh if w in old)
+                young.update(zip(unseen, model.word_logits(unseen), strict=True))
+            tops.append(top_window(np.array([young[w] for w in words]), model.bias))
+        return model.score(np.array(tops, np.float64))
+
+    return scores
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and predicted of every whole text. Null and empty texts get the score of no words at all."""
 
     def rate(batches):
-        young: dict[str, float] = {}
-        old: dict[str, float] = {}
+        scorer = _scorer(model)
         for batch in batches:
-            tops = []
-            for text in batch["text"].to_pylist():
-                words = words_of(text)
-                fresh = set(words).difference(young)
-                if fresh:
-                    if len(young) + len(fresh) > CACHE_WORDS:
-                        young, old = {}, young
-                        fresh = set(words)
-                    unseen = [w for w in fresh if w not in old]
-                    young.update((w, old[w]) for w in fresh if w in old)
-                    young.update(zip(unseen, model.word_logits(unseen), strict=True))
-                tops.append(top_window(np.array([young[w] for w in words]), model.bias))
-            scores = model.score(np.array(tops, np.float64))
+            scores = scorer(batch["text"].to_pylist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return spread(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(rate, "doc_id long, score double, predicted int")
 
 
+def drop_toxic(documents: DataFrame, model: Model) -> DataFrame:
+    """``documents`` without the rows whose score reaches the threshold, all columns as they are."""
+
+    def keep(batches):
+        scorer = _scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch["text"].to_pylist()) < THRESHOLD))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Trains, then scores all documents: doc_id, held_out, score, predicted."""
     scored = score(documents, train(documents, labels))
