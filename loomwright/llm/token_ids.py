@@ -4,19 +4,37 @@ Both vocabularies used here never merge across a space that stands before a word
 there and every chunk encoded by itself. A byte-level vocabulary keeps white space as tokens; its texts
 are cut only where a single white-space character stands between words, and any text with a run of white
 space goes through the tokenizer in one piece. A vocabulary that drops white space can be cut at every
-space and newline. The ids are the library's own in either case.
+space and newline. Chunks of Latin letters, digits and ASCII marks, for which all versions of Unicode agree,
+are split by the vocabulary's own pattern and given to the library's merge model directly; all others, and
+texts that cannot be cut, go through its whole encoder. The ids are the library's own in either case.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
+import regex
 
 #: Chunks in each of the two generations that one worker process keeps: a bound on memory that changes no id.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 200_000
 _RUN = re.compile(r"\s\s")
+_MARKS = tuple(".,;:!?")
+_PLAIN = re.compile("[\n\x20-\x7e\u00a1-\u012f\u0131-\u024f]*")
+#: Fixed values of the public vocabularies: how each splits a text before its merges.
+PATTERNS = {
+    "bytes": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "words": r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+",
+}
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself where it prints, else the next from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(rest)}
 _loaded: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -29,6 +47,21 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Chunks(dict):
+    """Encodings of chunks that were asked for lately; what is missing is taken from the generation before or made."""
+
+    def __init__(self, make, before: dict):
+        super().__init__()
+        self.make, self.before = make, before
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.before.get(chunk)
+        if found is None:
+            found = self.make(chunk)
+        self[chunk] = found
+        return found
+
+
 class Encoder:
     """Texts to little-endian id buffers. ``kind``: ``bytes`` (white space kept) or ``words`` (white space dropped)."""
 
@@ -38,47 +71,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         self.kind, self.dtype = kind, np.dtype(dtype)
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Puts all of the chunks into the young generation; what was not asked for since it was last young goes."""
-        if len(self.known) + len(chunks) > CACHE_CHUNKS:
-            self.known, self.before = {}, self.known
-        fresh = []
-        for c in chunks.difference(self.known):
-            if c in self.before:
-                self.known[c] = self.before[c]
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.split = regex.compile(PATTERNS[kind]).findall
+        self.letters = byte_letters()
+        self.space = self.letters[32]
+        self.pieces: dict[str, bytes] = {}
+        self.known = _Chunks(self._chunk, {})
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """What the pattern takes as one: straight to the merges."""
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= CACHE_CHUNKS:
+                self.pieces.clear()
+            if piece.isascii() and piece.isprintable():
+                letters = piece.replace(" ", self.space)
             else:
-                fresh.append(c)
-        self.known.update(zip(fresh, self._encode(fresh), strict=True))
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+            found = self.pieces[piece] = array(self.code, [t.id for t in self.merge(letters)]).tobytes()
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not _PLAIN.fullmatch(chunk):
+            return self._whole(chunk)
+        if self.kind == "words":
+            chunk = chunk.lower()
+        core, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in _MARKS else (chunk, "")
+        if (core[1:] if core[:1] == " " else core).isalpha():  # one word, and a mark perhaps
+            return self._piece(core) + self._piece(mark) if mark else self._piece(core)
+        return b"".join([self._piece(p) for p in self.split(chunk)])
 
     def _cut(self, text: str) -> list[str] | None:
         """Chunks whose encodings, joined, are the encoding of the text; None: take it whole."""
         if self.kind == "words":
             return text.replace("\n", " ").split(" ")
-        if _RUN.search(text):
+        if _RUN.search(text) or "\0" in text:
             return None
-        return text.replace("\n", " \n ").replace(" ", "\0 ").replace("\0 \n\0 ", "\0\n\0").split("\0") if "\0" not in text else None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def buffers(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as one buffer; null: empty."""
-        cut = [self._cut(t) if t else [] for t in texts]
         out: list[bytes] = []
-        at = 0
-        while at < len(texts):  # blocks of texts whose chunks fit the store together
-            block, wanted = at, set()
-            while at < len(texts) and (at == block or len(wanted) < CACHE_CHUNKS // 2):
-                wanted.update(cut[at] or ())
-                at += 1
-            self._learn(wanted)
+        for text in texts:
+            if len(self.known) > CACHE_CHUNKS:
+                self.known = _Chunks(self._chunk, self.known)
+                self.known.before.before = {}
+            chunks = self._cut(text) if text else []
             known = self.known
-            for i in range(block, at):
-                out.append(self._encode([texts[i]])[0] if cut[i] is None else b"".join([known[c] for c in cut[i]]))
+            out.append(self._whole(text) if chunks is None else b"".join([known[c] for c in chunks]))
         return out
 
 
