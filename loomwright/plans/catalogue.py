@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomwright.plans import histories, monitoring
+from loomwright.plans import histories, monitoring, texts
 
-_PACKS = (monitoring, histories)
+_PACKS = (monitoring, histories, texts)
 
 QUERIES = {name: query for pack in _PACKS for name, query in pack.QUERIES.items()}
 ORACLE_SQL = {name: sql for pack in _PACKS for name, sql in pack.ORACLE_SQL.items()}
