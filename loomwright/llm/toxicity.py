@@ -213,17 +213,14 @@ def train(documents: DataFrame, labels: DataFrame, held_out: int = 2) -> Model:
     Labels that repeat count once, as toxic if any says so; null labels and labels without a text are ignored.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    rows = documents.select("doc_id", "text").join(known.filter(bucket_of(F.col("doc_id")) != held_out), "doc_id")
-    rows = rows.filter(F.length("text").between(1, MOST_CHARS))
-    order = F.xxhash64("doc_id")
-    sample = []
-    for label in (0, 1):
-        of = rows.filter(F.col("_toxic") == label)
-        sample += of.orderBy(order, "doc_id").limit(MOST_ROWS).select("doc_id", "text").collect()
-        if label == 0:
-            negatives = len(sample)
+    known = known.filter(bucket_of(F.col("doc_id")) != held_out).withColumn("_order", F.xxhash64("doc_id"))
+    # Candidates by hash order, twice as many as wanted as some have no text of the right length: a broadcast of 4 * MOST_ROWS ids at most.
+    chosen = [known.filter(F.col("_toxic") == label).orderBy("_order", "doc_id").limit(2 * MOST_ROWS) for label in (0, 1)]
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").filter(F.length("text").between(1, MOST_CHARS))
+    found = sorted(rows.collect(), key=lambda r: (r["_order"], r["doc_id"]))
+    sample = [r for label in (0, 1) for r in [r for r in found if r["_toxic"] == label][:MOST_ROWS]]
     ids = [r["doc_id"] for r in sample]
-    return fit([r["text"] for r in sample], [0] * negatives + [1] * (len(sample) - negatives), [zlib.crc32(f"curve {i}".encode()) % 4 == 0 for i in ids])
+    return fit([r["text"] for r in sample], [r["_toxic"] for r in sample], [zlib.crc32(f"curve {i}".encode()) % 4 == 0 for i in ids])
 
 
 def _scorer(model: Model):
