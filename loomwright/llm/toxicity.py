@@ -30,6 +30,7 @@ BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 8, (3, 4, 5)
 WINDOW = 8
 #: Steps of the two phases at least, whole epochs each.
 STEPS_ALL, STEPS_TOP, BATCH, RATE, SEED = 300, 300, 512, 0.3, 7
+INIT = 0.01
 THRESHOLD = 0.3
 CACHE_WORDS = 300_000
 _WORD = re.compile(r"[^\W_]+")
@@ -111,8 +112,8 @@ def fit(texts: list[str], labels: list[int], curve_fold: list[bool]) -> Model:
         fold = np.zeros(len(y), bool)
     flat, starts, windows, owner = _bags(texts)
     rng = np.random.default_rng(SEED)
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
-    head, bias = rng.normal(0, 0.1, (DIMENSIONS, 2)), np.zeros(2)
+    vectors = rng.normal(0, INIT, (BUCKETS, DIMENSIONS))
+    head, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)
     sums = [np.full_like(x, 1e-3) for x in (vectors, head, bias)]
     per_document = np.bincount(owner, minlength=len(y))
     share = np.bincount(y[~fold], minlength=2) / max(1, (~fold).sum())
