@@ -7,25 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators import trailing
+from loomwright.operators.trailing import SECOND, micros
 from loomwright.plans.monitoring import D, latest, now, within
 from loomwright.plans.registry import Pack
 
 pack = Pack()
 QUERIES, ORACLE_SQL = pack.queries, pack.sql
 
-SECOND = 1_000_000
-
-
-def micros(column):
-    """Microseconds since the epoch, for frames in exact steps."""
-    return F.unix_micros(F.col(column).cast("timestamp"))
-
-
-def trailing(keys: list[str], seconds: int, upto: int = 0):
-    """The rows of the same keys in the last ``seconds``, the row itself and rows of its time included (``upto`` = -1: strictly earlier)."""
-    return Window.partitionBy(*keys).orderBy(micros("ts")).rangeBetween(-seconds * SECOND, upto)
-
-
 @pack.query("events", sql="SELECT user_id, event_id, event_type, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def latest_per_key(events: DataFrame) -> DataFrame:
     """The newest row of each user."""
@@ -159,8 +148,10 @@ def replace_partition(events: DataFrame) -> DataFrame:
 )
 def copy_rank(events: DataFrame) -> DataFrame:
     """Place among the rows of the same key within a day either way; rows of the same time count as later."""
-    around = Window.partitionBy("event_type", "user_id").orderBy(micros("ts")).rangeBetween(-86_400 * SECOND, 86_400 * SECOND)
-    return events.select("event_id", (F.count("*").over(trailing(["event_type", "user_id"], 86_400, -1)) + 1).alias("rank"), F.count("*").over(around).alias("of_all"))
+    keys, day = ["event_type", "user_id"], 86_400
+    dealt = trailing.sliced(events.select("event_id", "ts", *keys), "ts", day, day)
+    before, around = trailing.window(keys, day, -1), trailing.window(keys, day, day * SECOND)
+    return trailing.own(dealt.withColumns({"rank": F.count("*").over(before) + 1, "of_all": F.count("*").over(around)})).select("event_id", "rank", "of_all")
 
 
 @pack.query(
@@ -169,7 +160,9 @@ def copy_rank(events: DataFrame) -> DataFrame:
 )
 def siblings(events: DataFrame) -> DataFrame:
     """Rows of the same key in the last 1, 6 and 24 hours, the row itself included."""
-    return events.select("event_id", *[F.count("*").over(trailing(["event_type"], h * 3600)).alias(f"n_{h}h") for h in (1, 6, 24)])
+    dealt = trailing.sliced(events.select("event_id", "event_type", "ts"), "ts", 86_400)
+    counts = {f"n_{h}h": F.count("*").over(trailing.window(["event_type"], h * 3600)) for h in (1, 6, 24)}
+    return trailing.own(dealt.withColumns(counts)).select("event_id", *counts)
 
 
 @pack.query(
@@ -181,13 +174,12 @@ def siblings(events: DataFrame) -> DataFrame:
     GROUP BY 1""",
 )
 def namesakes(events: DataFrame) -> DataFrame:
-    """Other rows of the last day with the same user or the same amount: two equi joins, their pairs counted once."""
+    """Other rows of the last day with the same user or the same amount: counted by each and by both, so no pairs are made."""
     amount = F.round("value").cast("long") * 7919 + F.round(F.col("value") * 100).cast("long")
-    e = events.select("event_id", "user_id", "ts", amount.alias("amount"))
-    other = e.select(F.col("event_id").alias("other"), F.col("ts").alias("at"), "user_id", "amount")
-    in_time = (F.col("event_id") != F.col("other")) & F.col("at").between(F.col("ts") - F.expr("INTERVAL 24 HOURS"), F.col("ts"))
-    pairs = [e.join(other.drop(drop), key).filter(in_time).select("event_id", "other") for key, drop in (("user_id", "amount"), ("amount", "user_id"))]
-    return pairs[0].union(pairs[1]).distinct().groupBy(F.col("event_id").alias("item")).agg(F.count("*").alias("namesakes"))
+    dealt = trailing.sliced(events.select(F.col("event_id").alias("item"), "user_id", "ts", amount.alias("amount")), "ts", 86_400)
+    same = lambda *keys: F.count("*").over(trailing.window(list(keys), 86_400))
+    counted = dealt.withColumn("namesakes", same("user_id") + same("amount") - same("user_id", "amount") - 1)
+    return trailing.own(counted).filter("namesakes > 0").select("item", "namesakes")
 
 
 @pack.query(
@@ -240,7 +232,8 @@ def lineage_kind(events: DataFrame) -> DataFrame:
     """Each row's original (the earliest of its key in 30 days that is over 300 seconds older) and what kind of copy it is."""
     keys = ["user_id", "event_type"]
     earlier = Window.partitionBy(*keys).orderBy(micros("ts")).rangeBetween(-30 * 86_400 * SECOND, -301 * SECOND)
-    e = events.withColumns({"original": F.first("event_id").over(earlier), "at": F.first("ts").over(earlier), "rank": F.count("*").over(trailing(keys, 86_400, -1)) + 1})
+    recent = Window.partitionBy(*keys).orderBy(micros("ts")).rangeBetween(-86_400 * SECOND, -1)
+    e = events.withColumns({"original": F.first("event_id").over(earlier), "at": F.first("ts").over(earlier), "rank": F.count("*").over(recent) + 1})
     age = micros("ts") - micros("at")
     kind = (
         F.when(F.col("original").isNull(), "original")
