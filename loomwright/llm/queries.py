@@ -66,4 +66,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_url_model, op2_hash_tree, op3_spaced_seeds, op4_suffix_automata, op5_site_templates, op6_exact_dedup, op7_best_fit_packing, op8_count_rtree, op9_toxicity, op10_sstable_ids, pipeline)
 }
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_model": url_filter.oracle_sql(), "op6_exact_dedup": exact_dedup.ORACLE_SQL}

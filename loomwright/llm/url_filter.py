@@ -162,3 +162,38 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     judged = rows.join(scores, "body")
     by_model = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("_by_rule", by_model).alias("verdict"), "score")
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL for ``filter_urls``."""
+    rest = "translate(regexp_replace(coalesce(url, ''), '(?s)^.*?://', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = lambda r: f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    longest = sorted(rules, key=lambda r: (len(r.name), r.name), reverse=True)
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in longest) + " END"
+    width = ORDER + 1
+    parts = [
+        f"""u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, regexp_replace({rest}, '[0-9]', '0', 'g') AS body FROM pages)""",
+        f"j AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS by_rule FROM u)",
+        f"""t AS (SELECT body, count(*) FILTER (WHERE by_rule = 'allow') AS accepted, count(*) FILTER (WHERE by_rule = 'block') AS rejected,
+          contains('{CALIBRATION_DIGITS}', substr(md5(body), 1, 1)) AS aside, repeat(chr(2), {ORDER}) || body || chr(3) AS padded FROM j GROUP BY body)""",
+        f"g AS (SELECT body, accepted, rejected, aside, substr(padded, i, {width}) AS gram FROM (SELECT *, unnest(range(1, length(padded) - {ORDER} + 1)) AS i FROM t))",
+        "c AS (SELECT gram, sum(CASE WHEN aside THEN 0 ELSE accepted END) AS accepted, sum(CASE WHEN aside THEN 0 ELSE rejected END) AS rejected FROM g GROUP BY gram)",
+    ]
+    for k in range(width):
+        parts.append(f"s{k} AS (SELECT substr(gram, {width - k}, {k + 1}) AS tail, sum(accepted)::BIGINT AS accepted, sum(rejected)::BIGINT AS rejected FROM c GROUP BY 1)")
+        sums = ", ".join(f"sum({s})::BIGINT AS {s}_n, count(*) FILTER (WHERE {s} > 0) AS {s}_kinds" for s in ("accepted", "rejected"))
+        parts.append(f"n{k} AS (SELECT substr(tail, 1, {k}) AS context, {sums} FROM s{k} GROUP BY 1)")
+        low = lambda s: f"m.{s}_p" if k else f"{1.0 / ALPHABET!r}::DOUBLE"  # noqa: E731, B023
+        mixed = ", ".join(f"CASE WHEN {s}_n + {s}_kinds > 0 THEN ({s} + {s}_kinds * {low(s)}) / ({s}_n + {s}_kinds) ELSE {low(s)} END AS {s}_p" for s in ("accepted", "rejected"))
+        lower = f" JOIN m{k - 1} m ON m.tail = substr(s.tail, 2, {k})" if k else ""
+        parts.append(f"m{k} AS (SELECT s.tail, {mixed} FROM s{k} s JOIN n{k} n ON n.context = substr(s.tail, 1, {k}){lower})")
+    parts += [
+        f"r AS (SELECT tail AS gram, round((ln(accepted_p) - ln(rejected_p)) * {SCALE})::BIGINT AS llr FROM m{ORDER})",
+        "x AS (SELECT body, floor(sum(llr)::DOUBLE / count(*))::BIGINT AS score FROM g JOIN r USING (gram) GROUP BY body)",
+        f"b AS (SELECT floor(score / {BIN}.0)::BIGINT AS bin, sum(accepted)::BIGINT AS a, sum(rejected)::BIGINT AS r FROM t JOIN x USING (body) WHERE aside AND accepted + rejected > 0 GROUP BY 1)",
+        """e AS (SELECT bin, coalesce(sum(a) OVER w, 0) * (SELECT sum(r) FROM b) + ((SELECT sum(r) FROM b) - coalesce(sum(r) OVER w, 0)) * (SELECT sum(a) FROM b) AS error
+          FROM b WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+        f"h AS (SELECT CASE WHEN coalesce((SELECT least(sum(a), sum(r)) FROM b), 0) = 0 THEN 0 ELSE (SELECT bin * {BIN} FROM e ORDER BY error, bin LIMIT 1) END AS threshold)",
+    ]
+    return f"WITH {', '.join(parts)} SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN score >= (SELECT threshold FROM h) THEN 'allow' ELSE 'block' END) AS verdict, score FROM j JOIN x USING (body)"
