@@ -5,9 +5,10 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.functions import segment
 from loomwright.functions import text as T
 from loomwright.operators import noisy_or as N
-from loomwright.plans import histories, monitoring, texts, vectors
+from loomwright.plans import histories, monitoring, texts, upkeep, vectors
 from loomwright.streaming import events as S
 
 
@@ -118,3 +119,17 @@ def test_streams_agree_with_batches(spark, tmp_path):
     opened = sorted(map(tuple, S.drain(S.breaker(stream), "append").collect()))
     runs = monitoring.breaker_runs(batch).filter("n_failed >= 3")
     assert len(opened) == runs.count()
+
+
+def test_segmentation_and_indel_ratio(spark):
+    counts = {"the": 50, "moon": 5, "dog": 5, "them": 2, "on": 9}
+    assert segment.best_split("themoondog", counts, sum(counts.values())) == ["the", "moon", "dog"]
+    rows = spark.createDataFrame([("abcd", "abxd"), ("", ""), (None, "a"), ("same", "same")], "a string, b string")
+    assert [r[0] for r in rows.select(segment.indel_ratio("a", "b")).collect()] == [0.75, 1.0, None, 1.0]
+
+
+def test_search_uses_only_given_parameters(spark):
+    rows = [(1, 7, "O", datetime.datetime(1997, 5, 1), "1-URGENT"), (2, 8, "F", datetime.datetime(1997, 5, 1), "5-LOW")]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string")
+    keys = lambda **k: [r[0] for r in upkeep.search(orders, **k).orderBy("o_orderkey").collect()]
+    assert keys() == [1, 2] and keys(status="O") == [1] and keys(customer=8) == [2] and keys(priorities=["1%", "5%"]) == [1, 2] and keys(until="1996-01-01") == []
