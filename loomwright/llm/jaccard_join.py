@@ -16,7 +16,7 @@ One tree over a whole corpus would compare all with all, so trees are built wher
 4. In each block a tree proposes pairs, whole token sets are compared, and again only links that join two
    components are looked for, so a group of n near copies takes about n comparisons.
 
-Groups over ``MOST_ROWS`` are never put in one task: they are cut into chunks which all meet a first chunk, and
+Groups over ``MOST_ROWS`` or ``MOST_TOKENS`` are never put in one task: they are cut into chunks which all meet a first chunk, and
 then, in chunks again, everything that this did not join to the largest component.
 """
 
@@ -33,8 +33,8 @@ from loomwright.llm.components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
 GROUPS, MOST_KEYS, LEAF = 64, 24, 32
-#: Rows of one group in one task.
-MOST_ROWS = 4096
+#: Rows of one group in one task, and their tokens where token sets are compared (8 bytes each).
+MOST_ROWS, MOST_TOKENS = 4096, 4_000_000
 #: Representatives that are broadcast at most (8 bytes each).
 MOST_BROADCAST = 500_000
 
@@ -102,8 +102,7 @@ class CountTree:
         """Entries whose overlap with the query may reach the threshold."""
         at = None
         for low, high, top in reversed(self.levels):
-            if at is None:
-                at = np.arange(len(low))
+            at = np.arange(len(low)) if at is None else at[at < len(low)]
             fits = (DENOMINATOR * high[at] >= NUMERATOR * size) & (NUMERATOR * low[at] <= DENOMINATOR * size)
             at = at[fits]
             least = np.maximum(low[at], -(-NUMERATOR * size // DENOMINATOR))
@@ -179,9 +178,14 @@ def _link_groups(rows: DataFrame, verify: bool) -> DataFrame:
 
 
 def links_in_groups(rows: DataFrame, verify: bool) -> DataFrame:
-    """Edges that span the links of every group; groups over ``MOST_ROWS`` in chunks (see above). ``rows`` must be a written table."""
-    sizes = written(rows.groupBy("group").agg(F.count("*").alias("m")), "group-sizes")
-    large = sizes.filter(F.col("m") > MOST_ROWS)
+    """Edges that span the links of every group; large ones in chunks (see above). ``rows`` must be a written table."""
+    def loads(df: DataFrame) -> DataFrame:
+        """How many tasks each group asks for."""
+        by_rows, by_tokens = F.count("*") / F.lit(MOST_ROWS), F.sum("n") / F.lit(MOST_TOKENS)
+        return df.groupBy("group").agg(F.ceil(F.greatest(by_rows, by_tokens) if verify else by_rows).cast("int").alias("m"))
+
+    sizes = written(loads(rows), "group-sizes")
+    large = sizes.filter("m > 1")
     if large.isEmpty():
         return _link_groups(rows, verify)
     # Partners have sizes within a factor of 1.25: a row meets all of them in its own band of sizes or the next.
@@ -189,11 +193,10 @@ def links_in_groups(rows: DataFrame, verify: bool) -> DataFrame:
     big = rows.join(large, "group").withColumn("band", F.explode(F.array(band, band + 1)))
     big = written(big.withColumn("group", F.xxhash64("group", "band")).drop("m", "band"), "banded")
     edges = [_link_groups(rows.join(large, "group", "left_anti"), verify)]
-    sizes = written(big.groupBy("group").agg(F.count("*").alias("m")), "band-sizes")
-    edges.append(_link_groups(big.join(sizes.filter(F.col("m") <= MOST_ROWS), "group", "left_semi"), verify))
-    big = big.join(sizes.filter(F.col("m") > MOST_ROWS), "group")
-    chunks = F.ceil(F.col("m") / MOST_ROWS).cast("int")
-    big = written(big.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int")), "chunked")
+    sizes = written(loads(big), "band-sizes")
+    edges.append(_link_groups(big.join(sizes.filter("m <= 1"), "group", "left_semi"), verify))
+    big = big.join(sizes.filter("m > 1"), "group")
+    big = written(big.withColumnRenamed("m", "chunks").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int")), "chunked")
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
 
     def meet(first: DataFrame, part) -> DataFrame:
