@@ -200,7 +200,8 @@ def write_shards(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch["doc_id"], pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
 
     encoded = spread(documents).mapInArrow(encode, "shard int, doc_id long, ids binary")
-    placed = encoded.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id")
+    # One partition for each shard by its number: hashed numbers would put several large shards in one task.
+    placed = encoded.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id")
 
     def write(batches):
         store, base = open_store(folder)
