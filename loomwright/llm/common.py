@@ -53,7 +53,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomwright_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no later step reads, so that they do not take disk until the driver ends."""
+    for df in tables:
+        remove_path(df.sparkSession, df._loomwright_path)
 
 
 def ascii_lower(column):

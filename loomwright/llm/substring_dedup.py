@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import spread, written
+from loomwright.llm.common import discard, spread, written
 from loomwright.llm.jaccard_join import mixed, word_hashes
 
 WINDOW, GRAM = 50, 16
@@ -189,6 +189,7 @@ def removed_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     repeated = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b").select("anchor")
     hits = found.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("hits"))
     hits = written(hits, "hits")
+    discard(found)
     if (hits.agg(F.sum(F.size("hits") + 4)).first()[0] or 0) <= MOST_BROADCAST:
         hits = F.broadcast(hits)
     tagged = documents.join(hits, "doc_id", "left")
@@ -222,6 +223,7 @@ def removed_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
 
     windows = written(shared.mapInArrow(find_windows, "hash long, row long, doc_id long, at int"), "windows")
     first = windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last").select("hash", "first")
+    first = written(first, "first-windows")  # then the join below reads two tables, and Spark can split a window that very many documents have
     routes = windows.join(first, "hash").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("routes"))
 
     text_schema = pa.schema([("home", pa.int64()), ("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
@@ -243,6 +245,7 @@ def removed_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
 
     texts = shared.join(routes, "row").mapInArrow(cut_texts, "home long, kind int, row long, doc_id long, start int, n int, words binary")
     texts = written(texts, "span-texts")
+    discard(windows, first)
     total = texts.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
     texts = texts.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)))
