@@ -40,13 +40,15 @@ def segment(text: Column, counts: dict[str, int]) -> Column:
 
 
 def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], (left + 1 if x == y else max(row[j], row[j - 1]))
-    return row[-1]
+    """Length of the longest common subsequence: a row of the table as the bits of one number, 0 where the length grows."""
+    places: dict[str, int] = {}
+    for k, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << k
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        if found := row & places.get(y, 0):
+            row = (row + found | row - found) & full
+    return len(a) - row.bit_count()
 
 
 @F.pandas_udf(DoubleType())

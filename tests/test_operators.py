@@ -1,6 +1,8 @@
 """Operators and functions on small tables with results worked out by hand."""
 
 import datetime
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +135,43 @@ def test_search_uses_only_given_parameters(spark):
     orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string")
     keys = lambda **k: [r[0] for r in upkeep.search(orders, **k).orderBy("o_orderkey").collect()]
     assert keys() == [1, 2] and keys(status="O") == [1] and keys(customer=8) == [2] and keys(priorities=["1%", "5%"]) == [1, 2] and keys(until="1996-01-01") == []
+
+
+def plain_common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], (left + 1 if x == y else max(row[j], row[j - 1]))
+    return row[-1]
+
+
+def test_common_length_against_the_whole_table():
+    rng = random.Random(6)
+    for _ in range(500):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randint(0, 90))) for _ in "ab")
+        assert segment.common_length(a, b) == plain_common_length(a, b)
+
+
+def test_similar_names_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    names = ["blue bolt brand#10", "blue plate brand#10", "a", "b", "", "aa", "ab", "aaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaa", "ééééééééa", "ééééééééb"]
+    words = [["blue", "red", "old", "mild", "wild"], ["bolt", "plate", "volt", "late", "slate", "bold"], ["brand#10", "brand#11", "brand#2"]]
+    names += [" ".join(rng.choice(w) for w in words) for _ in range(60)]
+    names += ["".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) for _ in range(40)]
+    names += [n[:k] + rng.choice("abcx") + n[k + rng.randint(0, 2) :] for n in names[-100:] for k in [rng.randint(0, len(n))]]
+    rows = [(rng.choice(["x", "y", None]), n) for n in names for _ in range(2)] + [("x", None)]
+    found = [tuple(r) for r in upkeep.similar_pairs(spark.createDataFrame(rows, "p_type string, name string").repartition(3)).collect()]
+    want = []
+    for kind in ("x", "y", None):
+        for a, b in itertools.combinations(sorted({n for k, n in rows if k == kind and n}), 2):
+            ratio = 2 * plain_common_length(a, b) / (len(a) + len(b))
+            if ratio >= 0.86:
+                want.append((a, b, round(ratio, 4)))
+    assert sorted(found) == sorted(want) and len(want) > 50
+
+
+def test_similar_names_differ_in_their_words_too(spark, tmp_path):
+    rows = [("T", "blue bolt", "Brand#10"), ("T", "blue plate", "Brand#10"), ("U", "blue plate", "Brand#10"), ("U", "grey slate", "Brand#20")]
+    spark.createDataFrame(rows, "p_type string, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in upkeep.QUERIES["similar_names"](spark, str(tmp_path)).collect()] == [("blue bolt brand#10", "blue plate brand#10", 0.8649)]
