@@ -3,7 +3,8 @@
 Both vocabularies used here never merge across a space that stands before a word, so a text may be cut
 there and every chunk encoded by itself. A byte-level vocabulary keeps white space as tokens; its texts
 are cut only where a single white-space character stands between words, and any text with a run of white
-space goes through the tokenizer in one piece. A vocabulary that drops white space can be cut at every
+space goes through the tokenizer in one piece, as does any text with the literal of an added token such as
+``<|endoftext|>``. A vocabulary that drops white space can be cut at every
 space and newline. Chunks of Latin letters, digits and ASCII marks, for which all versions of Unicode agree,
 are split by the vocabulary's own pattern and given to the library's merge model directly; all others, and
 texts that cannot be cut, go through its whole encoder. The ids are the library's own in either case.
@@ -70,7 +71,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Literals that the library takes out of a text first: no text with one is cut, and none at all if one is sought in the normalised text.
+        self.literals = tuple("" if t.normalized else t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.merge = self.tokenizer.model.tokenize
         self.kind, self.dtype = kind, np.dtype(dtype)
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
@@ -108,6 +110,9 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str] | None:
         """Chunks whose encodings, joined, are the encoding of the text; None: take it whole."""
+        for literal in self.literals:
+            if literal in text:
+                return None
         if self.kind == "words":
             return text.replace("\n", " ").split(" ")
         if _RUN.search(text) or "\0" in text:

@@ -73,6 +73,19 @@ def test_encoder_gives_the_librarys_ids(name, kind):
     assert [np.frombuffer(b, "<u4").tolist() for b in tool.buffers(texts)] == want
 
 
+@pytest.mark.parametrize("name,kind,known", [("byte_bpe_50k.json", "bytes", [64, 220, 50256, 275]), ("word_bpe_49k.json", "words", [320, 49407, 321])])
+def test_added_tokens_are_those_of_the_librarys_default(name, kind, known):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(14)
+    parts = [" ", "\n", "a", "B", ".", "é", "  ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "\0", "word"]
+    texts = ["a <|endoftext|> b"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(1000)]
+    plain = Tokenizer.from_file(token_ids.vocabulary_path(name))
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == known
+    assert [np.frombuffer(b, "<u4").tolist() for b in token_ids.Encoder(token_ids.vocabulary_path(name), kind).buffers(texts)] == want
+
+
 def least_bins(sizes, capacity):
     """Fewest bins, by trying all placements."""
     best = [len(sizes)]
