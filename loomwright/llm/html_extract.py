@@ -4,7 +4,9 @@ Each page is parsed into elements, and every element with text gets a hash of it
 text and children. Spark counts, for each host and hash, on how many pages with *different* main text the subtree
 occurs, so copies of one article do not make a template of its parts. Subtrees that recur (on ``LEAST_PAGES``
 pages and on ``LEAST_SHARE`` of the host's) are the site's template and are deleted from every page of the host.
-Running text inside an article (paragraphs, headings, list items) is never deleted for recurring alone.
+Running text inside a main container (paragraphs, headings, lists, and whatever else holds words outside links)
+is never deleted for recurring alone; there, only elements whose words are all links are, and only if they
+recur on ``INSIDE_SHARE`` of the host's pages.
 
 What the site repeats with other words each time (adverts, footers, notices) is found by the page's own marks:
 element names, roles and the words of class and id. Of the rest, the main container's blocks are the text.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import spread, written
 
-LEAST_PAGES, LEAST_SHARE = 4, 0.005
+LEAST_PAGES, LEAST_SHARE, INSIDE_SHARE = 4, 0.005, 0.5
 #: Template hashes that are broadcast at most, 8 bytes each.
 MOST_BROADCAST = 1_000_000
 
@@ -58,10 +60,10 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Node:
     """An element: children are nodes and texts in page order."""
 
-    __slots__ = ("tag", "attributes", "children", "hash")
+    __slots__ = ("tag", "attributes", "children", "hash", "prose")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children, self.hash = tag, attributes, [], 0
+        self.tag, self.attributes, self.children, self.hash, self.prose = tag, attributes, [], 0, False
 
 
 def parse(page: str) -> Node:
@@ -125,22 +127,25 @@ def parse(page: str) -> Node:
 
 
 def hash_subtrees(root: Node) -> None:
-    """Sets each element's hash: of tag, class, id, and the texts (white space as one space) and hashes below; 0 without any text."""
+    """Sets each element's hash: of tag, class, id, and the texts (white space as one space) and hashes below; 0 without any text. Also whether it has words outside links."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in node.children if type(c) is Node)
     for node in reversed(order):
-        parts, worded = [node.tag, node.attributes.get("class", ""), node.attributes.get("id", "")], False
+        parts, worded, prose = [node.tag, node.attributes.get("class", ""), node.attributes.get("id", "")], False, False
         for child in node.children:
             if type(child) is Node:
                 if child.hash:
                     worded = True
+                    prose = prose or child.prose
                     parts.append(f"\x01{child.hash:x}")
             elif words := " ".join(child.split()):
                 worded = True
+                prose = prose or any(map(str.isalnum, words))
                 parts.append(words)
+        node.prose = prose and node.tag != "a"
         node.hash = xxhash.xxh64_intdigest("\x02".join(parts).encode("utf-8", "surrogatepass")) if worded else 0
 
 
@@ -188,14 +193,19 @@ def text_hash(nodes: list[Node]) -> int:
     return xxhash.xxh64_intdigest(b"".join(n.hash.to_bytes(8, "little") for n in nodes))
 
 
-def template_hash(host: str, subtree: int) -> int:
-    """Signed 64 bits of a subtree on a host."""
-    return xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), subtree) - (1 << 63)
+def template_hash(host: str, subtree: int, inside: bool = False) -> int:
+    """Signed 64 bits of a subtree on a host, the last of them 1 inside a main container."""
+    return (xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), subtree) & ~1 | inside) - (1 << 63)
 
 
-def candidates(root: Node, containers: list[Node]) -> set[int]:
-    """Hashes of subtrees that may be template: all but what holds a main container and running text inside one."""
-    out: set[int] = set()
+def kept(node: Node) -> bool:
+    """Whether the element stays inside a main container however often it recurs."""
+    return node.prose or node.tag in PROSE or node.tag in INLINE
+
+
+def candidates(root: Node, containers: list[Node]) -> set[tuple[int, bool]]:
+    """Hashes of subtrees that may be template, and whether they are inside a main container: all but what holds one and running text inside one."""
+    out: set[tuple[int, bool]] = set()
     mains = {id(n) for n in containers}
 
     def walk(node: Node, inside: bool) -> bool:
@@ -204,8 +214,8 @@ def candidates(root: Node, containers: list[Node]) -> set[int]:
         for child in node.children:
             if type(child) is Node:
                 holds |= walk(child, inside)
-        if node.hash and not holds and not (inside and (node.tag in PROSE or node.tag in INLINE)):
-            out.add(node.hash)
+        if node.hash and not holds and not (inside and kept(node)):
+            out.add((node.hash, inside))
         return holds
 
     walk(root, False)
@@ -257,7 +267,7 @@ def page_text(page: str | None, url: str | None, template: frozenset | set) -> s
     host = host_of(url)
 
     def is_template(node: Node, inside: bool) -> bool:
-        return not (inside and (node.tag in PROSE or node.tag in INLINE)) and template_hash(host, node.hash) in template
+        return not (inside and kept(node)) and template_hash(host, node.hash, inside) in template
 
     return blocks(main_containers(root), is_template)
 
@@ -289,7 +299,7 @@ def subtree_rows(page: str | None, url: str | None) -> tuple[int, list[int]]:
     root = parse(page or "")
     hash_subtrees(root)
     mains, host = main_containers(root), host_of(url)
-    return text_hash(mains) - (1 << 63), [template_hash(host, h) for h in candidates(root, mains)]
+    return text_hash(mains) - (1 << 63), [template_hash(host, h, inside) for h, inside in candidates(root, mains)]
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
@@ -311,7 +321,8 @@ def site_templates(pages: DataFrame) -> DataFrame:
     seen = written(seen.filter((F.col("n") >= LEAST_PAGES) | (F.col("site") == F.col("subtree"))), "subtrees")
     sizes = seen.filter("site = subtree").select("site", F.col("n").alias("pages"))
     many = seen.filter((F.col("site") != F.col("subtree")) & (F.col("n") >= LEAST_PAGES)).join(sizes, "site")
-    return many.filter(F.col("n") >= LEAST_SHARE * F.col("pages")).select("subtree")
+    share = F.when(F.col("subtree").bitwiseAND(1) == 1, INSIDE_SHARE).otherwise(LEAST_SHARE)
+    return many.filter(F.col("n") >= share * F.col("pages")).select("subtree")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -512,3 +512,18 @@ def test_site_templates(spark, monkeypatch, most):
     assert found[200]["text"] == "About this site\nsame everywhere"  # copies of one article make no template
     assert found[300]["text"] == found[301]["text"] == found[302]["text"] == "" and found[300]["n_chars"] == 0
     assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1_000_000, -1])
+def test_articles_keep_the_running_text_they_share(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "MOST_BROADCAST", most)
+    shared = "<ul><li>one thing</li><li><a href=/2>another</a></li></ul><dl><dt>term<dd>meaning</dl><div>A passage, <a href=/x>linked</a>.</div><section><div><p>Deep</p></div></section><figure><figcaption>Seen</figcaption></figure>"
+    links = "<div><a href=/a>First link</a> | <a href=/b>Second link</a></div>"
+    box = "<div><p>About this site</p></div>"
+    rows = [(10 * n + i, f"http://{tag}.example/{i}", f"<body>{box}<{tag}><p>Text {i}</p>{shared}{links}</{tag}></body>") for n, tag in enumerate(["article", "main"]) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sources = "<ul><li><a href=/a>First source</a></li><li><a href=/b>Second source</a></li></ul>"
+    some = [(100 + i, f"http://some.example/{i}", f"<body><article><p>Text {i}</p>{sources * (i < 4)}{links}</article></body>") for i in range(12)]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(pages.union(spark.createDataFrame(some, pages.schema))).collect()}
+    assert all(found.pop(100 + i) == f"Text {i}" + "\nFirst source\nSecond source" * (i < 4) for i in range(12))
+    assert found == {k: f"Text {k % 10}\none thing\nanother\nterm\nmeaning\nA passage, linked.\nDeep\nSeen" for k, _, _ in rows}
