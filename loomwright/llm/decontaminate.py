@@ -67,32 +67,44 @@ def needed(item_size: Column) -> Column:
     return F.when(item_size >= SPAN, SPAN - SPAN_MISSES).otherwise(item_size - F.floor(item_size * SPAN_MISSES / SPAN).cast("int"))
 
 
+def row_key(text: Column) -> Column:
+    """What tells rows without doc_id apart: a digest of the text; empty for rows that have one."""
+    return F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce(text, F.lit("")), 256)).otherwise("")
+
+
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that overlap: doc_id, item_id, matched (tokens of the item found on the best diagonal), item_tokens.
 
-    Empty and null texts and items without any word overlap nothing. Repeated rows give one row for each doc_id and item_id.
+    Empty and null texts and items without any word overlap nothing. Repeated rows give one row for each doc_id and item_id; so do
+    all rows without doc_id together, under null.
     """
+    matched = F.aggregate("agree", F.lit(0), lambda a, x: a + x)
+    return judged(documents, benchmark).groupBy("doc_id", "item_id").agg(F.max(matched).alias("matched"), F.max(F.size("item")).alias("item_tokens"))
+
+
+def judged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row for each diagonal on which a document and an item overlap: doc_id, row (``row_key``), item_id, item, agree."""
     items = benchmark.select("item_id", tokens_of(F.col("text")).alias("tokens")).filter(F.size("tokens") >= LEAST_WORDS)
     items = written(items.dropDuplicates(["item_id", "tokens"]), "items")
     keyed = written(seeds(items, "item_at").filter("seed IS NOT NULL").select("seed", "item_id", "item_at").distinct(), "seeds")
     few = keyed.count() <= MOST_BROADCAST
-    docs = documents.select("doc_id", tokens_of(F.col("text")).alias("tokens"))
+    docs = documents.select("doc_id", row_key(F.col("text")).alias("row"), tokens_of(F.col("text")).alias("tokens"))
     shift = (F.col("at") - F.col("item_at")).alias("shift")
     item = items.withColumnRenamed("tokens", "item")
     if few:
-        hits = seeds(docs, "at").join(F.broadcast(keyed), "seed").select("doc_id", "tokens", "item_id", shift).join(F.broadcast(item), "item_id")
+        hits = seeds(docs, "at").join(F.broadcast(keyed), "seed").select("doc_id", "row", "tokens", "item_id", shift).join(F.broadcast(item), "item_id")
     else:
-        found = seeds(docs, "at").filter("seed IS NOT NULL").select("doc_id", "seed", "at").join(keyed, "seed")
-        hits = found.select("doc_id", "item_id", shift).distinct().join(item, "item_id").join(docs, "doc_id")
-    judged = hits.withColumn("agree", agreement(F.col("tokens"), F.col("item"), F.col("shift")))
-    judged = judged.filter(best_span(F.col("agree")) >= needed(F.size("item")))
-    matched = F.aggregate("agree", F.lit(0), lambda a, x: a + x)
-    return judged.groupBy("doc_id", "item_id").agg(F.max(matched).alias("matched"), F.max(F.size("item")).alias("item_tokens"))
+        found = seeds(docs, "at").filter("seed IS NOT NULL").select("doc_id", "row", "seed", "at").join(keyed, "seed")
+        found = found.select(F.col("doc_id").alias("found_id"), F.col("row").alias("found_row"), "item_id", shift).distinct().join(item, "item_id")
+        hits = found.join(docs, F.col("found_id").eqNullSafe(F.col("doc_id")) & (F.col("found_row") == F.col("row"))).drop("found_id", "found_row")
+    hits = hits.withColumn("agree", agreement(F.col("tokens"), F.col("item"), F.col("shift")))
+    return hits.filter(best_span(F.col("agree")) >= needed(F.size("item")))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without those that overlap an item."""
-    bad = written(overlaps(documents, benchmark).select("doc_id").distinct(), "contaminated")
+    """``documents`` without those that overlap an item: all rows of their doc_id, and of those without one the rows of the same text."""
+    found = judged(documents, benchmark)
+    bad = written(found.select(F.col("doc_id").alias("bad_id"), F.col("row").alias("bad_row")).distinct(), "contaminated")
     if bad.count() <= MOST_BROADCAST:
         bad = F.broadcast(bad)
-    return documents.join(bad, documents["doc_id"] == bad["doc_id"], "left_anti")
+    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["bad_id"]) & (row_key(documents["text"]) == bad["bad_row"]), "left_anti")

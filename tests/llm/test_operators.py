@@ -389,6 +389,19 @@ def test_decontamination_without_broadcast(spark, monkeypatch):
     assert [r["doc_id"] for r in decontaminate.overlaps(mine, bench).collect()] == [1]
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_decontamination_of_rows_without_id(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+    rng = random.Random(15)
+    item = words(rng, 20)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    bad, clean = " ".join(words(rng, 9) + item), " ".join(words(rng, 60))
+    mine = spark.createDataFrame([(None, bad, "x"), (None, clean, "x"), (None, bad, "x"), (None, None, "x"), (7, bad, "x"), (7, clean, "x"), (8, clean, "x")], "doc_id long, text string, row string")
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.overlaps(mine, bench).collect()} == {(None, 1, 20), (7, 1, 20)}
+    left = collections.Counter((r["doc_id"], r["text"]) for r in decontaminate.drop_contaminated(mine, bench).collect())
+    assert left == {(None, clean): 1, (None, None): 1, (8, clean): 1}
+
+
 # ---- toxicity
 
 
