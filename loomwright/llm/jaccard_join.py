@@ -8,16 +8,19 @@ all documents below a node, and only pairs that the bound lets through are compa
 One tree over a whole corpus would compare all with all, so trees are built where partners can be:
 
 1. Equal sets collapse into one representative (the smallest doc_id) first.
-2. Each representative goes to the keys of its prefix: the smallest of its token hashes, as many as Jaccard 0.8
-   needs (a fifth of the set, plus one), or ``MOST_KEYS`` if that is fewer. Similar sets have a key in common: the
-   prefix theorem for sets up to 119 tokens, and for larger ones but for a chance below 0.2 to the power 24.
-3. At each key that several representatives have, a tree links those that the bound lets through; links that
-   join what is joined already are skipped. The components of these links are the blocks that hold all partners.
-4. In each block a tree proposes pairs, whole token sets are compared, and again only links that join two
+2. Each representative goes to the keys of its prefix: the first tokens of its set in one order of all tokens, as many as
+   Jaccard 0.8 needs (a fifth of the set, plus one). Similar sets have a key in common, whatever the order is (the prefix
+   theorem). The order is by hash at first; tokens that turn out to be keys of more than ``MOST_ROWS`` sets are then put
+   last, so that a passage of very many documents stops being a meeting place of all of them.
+3. Of keys with the same members one is kept. At each, a tree links those that the bound lets through; the components of
+   these links are the blocks that hold all partners.
+4. In each block a tree proposes pairs, whole token sets are compared, and only links that join two
    components are looked for, so a group of n near copies takes about n comparisons.
 
-Groups over ``MOST_ROWS`` or ``MOST_TOKENS`` are never put in one task: they are cut into chunks which all meet a first chunk, and
-then, in chunks again, everything that this did not join to the largest component.
+Groups over ``MOST_ROWS`` or ``MOST_TOKENS`` are never put in one task: they are cut by sizes and then into chunks which all meet
+a first chunk, and then, in chunks again, everything that this did not join to the largest component.
+
+Words are compared through the 64-bit hashes of shingles: two sets of n tokens are misjudged with a chance below n * n / 2**64.
 """
 
 from __future__ import annotations
@@ -32,11 +35,15 @@ from loomwright.llm.common import spread, written
 from loomwright.llm.components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
-GROUPS, MOST_KEYS, LEAF = 64, 24, 32
+GROUPS, LEAF = 64, 32
 #: Rows of one group in one task, and their tokens where token sets are compared (8 bytes each).
-MOST_ROWS, MOST_TOKENS = 4096, 4_000_000
-#: Representatives that are broadcast at most (8 bytes each).
+MOST_ROWS, MOST_TOKENS = 4096, 1_000_000
+#: Entries that a query is compared with before it asks the tree: those nearest in size.
+NEAREST = 32
+#: Representatives or keys that are broadcast at most (8 bytes each).
 MOST_BROADCAST = 500_000
+#: Tokens that are put last in the order at most: this bounds a broadcast and changes no result.
+MOST_LAST = 100_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,23 +121,52 @@ class CountTree:
         return found[enough(np.minimum(self.points[found], point).sum(axis=1), size, self.sizes[found])]
 
 
-def spanning_links(sizes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] | None) -> list[tuple[int, int]]:
-    """Pairs that join the components of all links among the entries; links are pairs past the bound, or verified by ``sets``."""
+def spanning_labels(sizes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] | None) -> np.ndarray:
+    """The smallest entry of each entry's component; links are pairs past the bound, or verified by ``sets``."""
     m = len(sizes)
-    tree, label, links = CountTree(sizes, points), np.arange(m), []
-    for i in range(m):
-        found = tree.query(sizes[i], points[i])
-        found = found[found < i]
+    order = np.argsort(sizes, kind="stable")
+    sizes, points = sizes[order], points[order]
+    sets = None if sets is None else [sets[k] for k in order]
+    tree, label, largest = None, np.arange(m), 0
+
+    def join(i: int, found: np.ndarray, many: bool = False) -> None:
+        """Links entry i with the components of ``found``, entries past the bound; the likeliest first."""
         found = found[label[found] != label[i]]
+        if sets is not None and len(found) > 1:
+            bound = np.minimum(points[found], points[i]).sum(axis=1) / (sizes[found] + sizes[i])
+            found = found[np.argsort(bound, kind="stable")]
         while len(found):
             j = int(found[-1])
             if sets is None or enough(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), sizes[i], sizes[j]):
-                links.append((j, i))
-                label[label == label[i]] = label[j]
-                found = found[label[found] != label[i]]
+                low, high = sorted((int(label[i]), int(label[j])))
+                label[label == high] = low
+                found = found[label[found] != low]
             else:
                 found = found[:-1]
-    return links
+
+    def past(i: int, at: np.ndarray) -> np.ndarray:
+        at = at[NUMERATOR * sizes[i] <= DENOMINATOR * sizes[at]]
+        return at[enough(np.minimum(points[at], points[i]).sum(axis=1), sizes[i], sizes[at])]
+
+    for i in range(1, m):
+        join(i, past(i, np.arange(max(0, i - NEAREST), i)))
+        if i > NEAREST:
+            if i % NEAREST == 0:
+                values, counts = np.unique(label[:i], return_counts=True)
+                largest = int(values[counts.argmax()])
+            # A member of the largest component needs only those outside it.
+            others = np.flatnonzero(label[:i] != label[i]) if label[i] == label[largest] else None
+            if others is not None and len(others) <= NEAREST * LEAF:
+                join(i, past(i, others))
+            else:
+                tree = tree or CountTree(sizes, points)
+                found = tree.query(sizes[i], points[i])
+                join(i, found[found < i])
+    out = np.empty(m, np.int64)
+    first = np.full(m, m, np.int64)
+    np.minimum.at(first, label, order)
+    out[order] = first[label]
+    return out
 
 
 def _groups(batches):
@@ -150,28 +186,38 @@ def _groups(batches):
         yield pa.Table.from_batches(held)
 
 
+def _views(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    """Binary values as arrays of ``kind``, without a copy."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        _, starts, data = chunk.buffers()
+        at = np.frombuffer(starts, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        memory = memoryview(data) if data else b""
+        out += [np.frombuffer(memory[a:b], kind) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return out
+
+
 def _link_groups(rows: DataFrame, verify: bool) -> DataFrame:
-    """Edges (a, b) that span the links in each group of rows (group, rep, n, tokens or counts)."""
+    """Edges (a, b) that span the links in each group of rows (group, rep, n, tokens or counts): stars around each component's first entry."""
 
     def link(batches):
-        out: tuple[list, list] = ([], [])
+        a, b = [], []
         for table in _groups(batches):
             if len(table) < 2:
                 continue
             rep, n = table["rep"].to_numpy(), table["n"].to_numpy().astype(np.int64)
-            data = table["data"].to_pylist()
-            if verify:
-                sets = [np.frombuffer(x, "<u8") for x in data]
-                points = np.stack([counts_of(x) for x in sets])
-            else:
-                sets, points = None, np.frombuffer(b"".join(data), "<i4").reshape(len(data), GROUPS)
-            for a, b in spanning_links(n, points, sets):
-                out[0].append(rep[a])
-                out[1].append(rep[b])
-            if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
-                out = ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+            sets = _views(table["data"], "<u8") if verify else None
+            points = np.stack([counts_of(x) for x in sets] if verify else _views(table["data"], "<i4"))
+            first = spanning_labels(n, points, sets)
+            linked = np.flatnonzero(first != np.arange(len(first)))
+            a.append(rep[first[linked]])
+            b.append(rep[linked])
+            del sets, points, table
+            if sum(map(len, a)) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], names=["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], names=["a", "b"])
 
     dealt = rows.select("group", "rep", "n", "data").repartition("group").sortWithinPartitions("group", "n", "rep")
     return dealt.mapInArrow(link, "a long, b long")
@@ -179,72 +225,83 @@ def _link_groups(rows: DataFrame, verify: bool) -> DataFrame:
 
 def links_in_groups(rows: DataFrame, verify: bool) -> DataFrame:
     """Edges that span the links of every group; large ones in chunks (see above). ``rows`` must be a written table."""
+
     def loads(df: DataFrame) -> DataFrame:
         """How many tasks each group asks for."""
         by_rows, by_tokens = F.count("*") / F.lit(MOST_ROWS), F.sum("n") / F.lit(MOST_TOKENS)
         return df.groupBy("group").agg(F.ceil(F.greatest(by_rows, by_tokens) if verify else by_rows).cast("int").alias("m"))
 
-    sizes = written(loads(rows), "group-sizes")
-    large = sizes.filter("m > 1")
+    large = written(loads(rows).filter("m > 1"), "large-groups")
     if large.isEmpty():
         return _link_groups(rows, verify)
     # Partners have sizes within a factor of 1.25: a row meets all of them in its own band of sizes or the next.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int")
-    big = rows.join(large, "group").withColumn("band", F.explode(F.array(band, band + 1)))
-    big = written(big.withColumn("group", F.xxhash64("group", "band")).drop("m", "band"), "banded")
-    edges = [_link_groups(rows.join(large, "group", "left_anti"), verify)]
-    sizes = written(loads(big), "band-sizes")
-    edges.append(_link_groups(big.join(sizes.filter("m <= 1"), "group", "left_semi"), verify))
-    big = big.join(sizes.filter("m > 1"), "group")
-    big = written(big.withColumnRenamed("m", "chunks").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int")), "chunked")
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-
-    def meet(first: DataFrame, part) -> DataFrame:
-        """Links among each chunk and ``first``, which is dealt to all chunks; ``part`` names the deal."""
-        dealt = first.withColumn("chunk", every).unionByName(big.join(first.select("group", "rep"), ["group", "rep"], "left_anti"))
-        return _link_groups(dealt.withColumn("group", F.xxhash64("group", "chunk", F.lit(part))), verify)
-
-    found = written(meet(big.filter("chunk = 0"), "first"), "links")
-    label = components(found)
-    named = big.select("group", "rep").join(label, big["rep"] == label["node"], "left").select("group", "rep", F.coalesce("component", "rep").alias("component"))
+    big = rows.join(large.select("group"), "group").withColumn("band", F.explode(F.array(band, band + 1)))
+    big = written(big.withColumn("group", F.xxhash64("group", "band")).drop("band"), "banded")
+    sizes = written(loads(big).filter("m > 1"), "large-bands")
+    direct = rows.join(large, "group", "left_anti").select("group", "rep", "n", "data")
+    direct = direct.unionByName(big.join(sizes, "group", "left_anti").select("group", "rep", "n", "data"))
+    found = written(_link_groups(direct, verify), "direct-links")
+    if sizes.isEmpty():
+        return found
+    big = big.join(sizes.withColumnRenamed("m", "chunks"), "group")
+    big = written(big.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int")), "chunked")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    # The first chunk goes to all chunks, every other one stays where it is.
+    met = big.withColumn("chunk", F.explode(F.when(F.col("chunk") == 0, every).otherwise(F.array("chunk"))))
+    chunked = written(_link_groups(met.withColumn("group", F.xxhash64("group", "chunk")), verify), "chunk-links")
+    label = components(chunked)
+    named = big.select("group", "rep", "n").join(label, big["rep"] == label["node"], "left").select("group", "rep", "n", F.coalesce("component", "rep").alias("component"))
     named = written(named, "named")
     most = named.groupBy("group", "component").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
-    rest = named.join(most, "group").filter("component != most").select("group", "rep").join(big, ["group", "rep"])
-    rest = written(rest.withColumn("part", F.col("chunk")), "rest")
-    # Each part of the rest meets all chunks.
-    parts = [r[0] for r in rest.select("part").distinct().orderBy("part").collect()]  # chunks of the largest group at most
-    edges.append(found)
-    edges += [meet(rest.filter(F.col("part") == p).drop("part"), f"rest {p}") for p in parts]
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return out
-
-
-def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, n, two halves of the set's digest, and the prefix keys of every whole text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    rest = named.join(most, "group").filter("component != most").select("group", "rep", "n")
+    parts = written(loads(rest).select("group", F.greatest("m", F.lit(1)).alias("parts")), "parts")
+    if parts.isEmpty():
+        return found.union(chunked)
+    rest = rest.select("group", "rep").distinct().withColumn("open", F.lit(True))
+    # Part p of the rest and chunk c meet in a group of their own: all chunks of a row of the rest, all parts of any other row.
+    pairs = big.join(parts, "group").join(rest, ["group", "rep"], "left")
+    part = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int")
+    as_rest = pairs.filter("open").withColumn("p", part).withColumn("c", F.explode(every))
+    as_chunk = pairs.withColumn("c", F.col("chunk")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter((F.col("p") != part) | F.col("open").isNull())
+    crossed = as_rest.unionByName(as_chunk).withColumn("group", F.xxhash64("group", "p", "c"))
+    return found.union(chunked).union(_link_groups(crossed, verify))
+
+
+def sketches(documents: DataFrame, last: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n, two halves of the set's digest, the prefix keys and the point of every whole text. Tokens in ``last`` come last in the order."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("point", pa.binary())])
+    shared = None if last is None else documents.sparkSession.sparkContext.broadcast(np.sort(last.astype(np.int64).view(np.uint64)))
 
     def sketch(batches):
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            keys, ends = [np.empty(0, np.uint64)], [0]
             for text in batch["text"].to_pylist():
                 tokens = shingles(text)
                 n = len(tokens)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8")
-                prefix = min(n, n - -(-NUMERATOR * n // DENOMINATOR) + 1, MOST_KEYS)
-                for column, value in zip(rows, (n, digest[0], digest[1], tokens[:prefix].view(np.int64)), strict=True):
+                prefix = n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
+                point = counts_of(tokens).astype("<i4").tobytes() if n else None
+                if shared is not None and n:
+                    known = shared.value
+                    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                    common = known[at] == tokens
+                    tokens = np.concatenate([tokens[~common], tokens[common]])
+                keys.append(tokens[:prefix])
+                ends.append(ends[-1] + prefix)
+                for column, value in zip(rows, (n, digest[0], digest[1], point), strict=False):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, f.type) for c, f in zip(rows, list(schema)[1:], strict=True))], schema=schema)
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys).view(np.int64)))
+            plain = [pa.array(c, f.type) for c, f in zip(rows[:3], list(schema)[1:4], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *plain, listed, pa.array(rows[3], pa.binary())], schema=schema)
 
-    return spread(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return spread(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(sketch, "doc_id long, n long, d1 long, d2 long, keys array<long>, point binary")
 
 
 def token_sets(documents: DataFrame, reps: DataFrame) -> DataFrame:
     """rep, n and the token set (8 bytes each, sorted) of the documents named in ``reps`` (rep), one row for each."""
-    if reps.count() <= MOST_BROADCAST:
-        reps = F.broadcast(reps)
-    rows = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(reps, "rep", "left_semi")
+    rows = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(small(reps), "rep", "left_semi")
 
     def sets(batches):
         for batch in batches:
@@ -254,15 +311,47 @@ def token_sets(documents: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(sets, "rep long, n long, data binary")
 
 
-def _points(rows: DataFrame) -> DataFrame:
-    """``rows`` with the token set replaced by its group counts."""
+def small(df: DataFrame) -> DataFrame:
+    """A written table, marked for a broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
-    def count(batches):
-        for batch in batches:
-            data = [counts_of(np.frombuffer(x, "<u8")).astype("<i4").tobytes() for x in batch["data"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["rep"], batch["n"], pa.array(data, pa.binary())], names=["rep", "n", "data"])
 
-    return rows.mapInArrow(count, "rep long, n long, data binary")
+def representatives(sketched: DataFrame) -> DataFrame:
+    """One row for each distinct set that is not empty: its digest, smallest doc_id, keys and point."""
+    return sketched.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("point").alias("point"))
+
+
+def shared_keys(reps: DataFrame) -> DataFrame:
+    """(group, set) for each key that several representatives have; ``set`` numbers the rows of ``reps``."""
+    keyed = reps.select("set", "rep", F.explode("keys").alias("group"))
+    shared = written(keyed.groupBy("group").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a != b").select("group"), "shared-keys")
+    return written(keyed.select("group", "set").join(small(shared), "group", "left_semi"), "keyed")
+
+
+def meeting_places(documents: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Representatives (set, rep, n, d1, d2, point) and the keys at which they meet (group, set)."""
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return written(df.filter("rep IS NOT NULL").withColumn("set", F.monotonically_increasing_id()), "sets")
+
+    reps = numbered(representatives(sketched))
+    keyed = shared_keys(reps)
+    crowded = keyed.groupBy("group").agg(F.count("*").alias("c")).filter(F.col("c") > MOST_ROWS)
+    last = [r[0] for r in crowded.orderBy(F.desc("c"), "group").limit(MOST_LAST).collect()]
+    if last:
+        # Only sets that have such a token in their prefix get other keys by the new order.
+        touched = keyed.join(F.broadcast(crowded), "group", "left_semi").select("set").distinct().join(reps, "set").select("n", "d1", "d2", "rep")
+        touched = written(touched, "touched")
+        again = sketches(documents.join(small(touched.select(F.col("rep").alias("_rep")).distinct()), F.col("doc_id") == F.col("_rep"), "left_semi"), np.array(last, np.int64))
+        again = representatives(again.join(touched.select("n", "d1", "d2"), ["n", "d1", "d2"], "left_semi"))
+        reps = numbered(reps.drop("set").join(touched.select("n", "d1", "d2"), ["n", "d1", "d2"], "left_anti").unionByName(again))
+        keyed = shared_keys(reps)
+    # Keys with the same members (by count, ends and two 64-bit digests) are one meeting place.
+    members = keyed.groupBy("group").agg(
+        F.count("*").alias("c"), F.min("set").alias("a"), F.max("set").alias("b"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y")
+    )
+    places = written(members.groupBy("c", "a", "b", "x", "y").agg(F.min("group").alias("group")).select("group"), "places")
+    return reps, keyed.join(small(places), "group", "left_semi")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -272,22 +361,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     with several sets. Rows without doc_id take the component of an equal set, if any, else null.
     """
     rows = written(sketches(documents), "sketches")
-    reps = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    reps = written(reps, "sets")
-    keyed = reps.filter("rep IS NOT NULL").select("rep", F.explode("keys").alias("group"))
-    shared = keyed.groupBy("group").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a != b").select("group")
-    keyed = written(keyed.join(shared, "group").distinct(), "shared-keys")
-    names = written(keyed.select("rep").distinct(), "candidates")
-    sets = written(token_sets(documents, names).distinct(), "token-sets")
-    points = _points(sets)
-    near = links_in_groups(written(keyed.join(points, "rep"), "points"), verify=False)
+    reps, keyed = meeting_places(documents, rows)
+    points = reps.select("set", "rep", "n", F.col("point").alias("data"))
+    near = links_in_groups(written(keyed.join(points, "set").select("group", "rep", "n", "data"), "points"), verify=False)
     blocks = written(components(near), "blocks")
-    inside = written(sets.join(blocks, sets["rep"] == blocks["node"]).select(F.col("component").alias("group"), "rep", "n", "data"), "block-sets")
+    sets = token_sets(documents, blocks.select(F.col("node").alias("rep")))
+    block = small(blocks.select(F.col("node").alias("rep"), F.col("component").alias("group")))
+    inside = written(sets.join(block, "rep").select("group", "rep", "n", "data"), "block-sets")
     links = links_in_groups(inside, verify=True)
     classes = written(components(links), "classes")
     # A doc_id that comes with several texts links its sets.
-    named = reps.join(classes, reps["rep"] == classes["node"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    found = rows.join(named, ["n", "d1", "d2"], "left")
+    reps = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
+    named = reps.join(small(classes), reps["rep"] == classes["node"], "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
+    found = rows.select("doc_id", "n", "d1", "d2").join(written(named, "named-sets"), ["n", "d1", "d2"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

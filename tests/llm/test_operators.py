@@ -316,6 +316,24 @@ def test_tree_loses_no_pair():
                 assert j in found
 
 
+@pytest.mark.parametrize("verify", [False, True])
+def test_labels_are_those_of_all_links(verify):
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(30):  # families of copies, each changed a little more, of all sizes up to some hundreds
+        base = rng.integers(0, 1 << 60, rng.integers(5, 400)).astype(np.uint64)
+        for k in range(rng.integers(1, 25)):
+            gone = rng.random(len(base)) < 0.01 * k
+            sets.append(np.unique(np.concatenate([base[~gone], rng.integers(0, 1 << 60, gone.sum()).astype(np.uint64)])))
+    sizes, points = np.array([len(s) for s in sets]), np.stack([jaccard_join.counts_of(s) for s in sets])
+    label = np.arange(len(sets))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        overlap = len(np.intersect1d(sets[i], sets[j])) if verify else np.minimum(points[i], points[j]).sum()
+        if jaccard_join.enough(overlap, sizes[i], sizes[j]) and label[i] != label[j]:
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+    assert jaccard_join.spanning_labels(sizes, points, sets if verify else None).tolist() == label.tolist()
+
+
 def test_substrings(docs, empty):
     rows = [(i, (t or "").encode().split()) for i, t in fixture()]
     first = {}
