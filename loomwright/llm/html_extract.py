@@ -2,14 +2,20 @@
 
 Each page is parsed into elements, and every element with text gets a hash of its subtree: tag, class, id,
 text and children. Spark counts, for each host and hash, on how many pages with *different* main text the subtree
-occurs, so copies of one article do not make a template of its parts. Subtrees that recur (on ``LEAST_PAGES``
-pages and on ``LEAST_SHARE`` of the host's) are the site's template and are deleted from every page of the host.
-Running text inside a main container (paragraphs, headings, lists, and whatever else holds words outside links)
-is never deleted for recurring alone; there, only elements whose words are all links are, and only if they
-recur on ``INSIDE_SHARE`` of the host's pages.
-
-What the site repeats with other words each time (adverts, footers, notices) is found by the page's own marks:
-element names, roles and the words of class and id. Of the rest, the main container's blocks are the text.
+occurs, so copies of one article do not make a template of its parts. What recurs is the site's template and is
+deleted from every page of the host; all that remains of the page, in page order, is its text.
+
+How often a subtree must recur depends on where it is. A page's main container is its articles, or its main
+elements, if they hold enough of its words, else the deepest element that holds most of them. Outside of it
+``LEAST_PAGES`` pages and ``LEAST_SHARE`` of the host's are enough. Inside, boxes of links must recur on ``INSIDE_SHARE``
+of the host's pages, and running text on as many and on ``LEAST_INSIDE`` pages too; headings and the items and cells of lists and tables
+are deleted only with the whole they are part of, and nothing that recurs is deleted where it would be most of a page's main text.
+
+Adverts and notices come with other words each time, so their subtrees never recur. What recurs is the *frame*: the path of
+tags, classes and ids that leads to an element. Elements whose class or id names them as no main text are deleted if
+their frame recurs on the host; on hosts with too few pages to tell, outside the main container, by the name alone. A
+name counts as a whole ("share-buttons", not "related-work"). HTML's own elements for menus, footers, sidebars and forms
+are never main text, and adverts, reader comments and share buttons that are named exactly so aren't either.
 """
 
 from __future__ import annotations
@@ -25,7 +31,9 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import spread, written
 
-LEAST_PAGES, LEAST_SHARE, INSIDE_SHARE = 4, 0.005, 0.5
+LEAST_PAGES, LEAST_SHARE, LEAST_INSIDE, INSIDE_SHARE = 4, 0.005, 8, 0.5
+#: Of a page's words that its articles (or main elements) hold at least, and that an element must hold of its parent's to be taken for the main container.
+NAMED_SHARE, MOST_OF = 0.25, 0.6
 #: Template hashes that are broadcast at most, 8 bytes each.
 MOST_BROADCAST = 1_000_000
 
@@ -45,12 +53,16 @@ SIBLINGS = {
 DROPPED = frozenset("script style textarea title xmp noembed noframes iframe noscript template svg math canvas object audio video nav footer aside form button select dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus"
+    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus"
     " footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted"
     " recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th tr tbody table figcaption br".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that say what an element is for only together with one of the above, and those that are marks wherever they stand.
+HELPERS = frozenset("area bar block bottom box button buttons container count form group header icon icons inner item items left line link links list main outer page panel right row section site slot text thread title top unit wrap wrapper zone".split())
+CERTAIN = frozenset("ad ads adbox adslot advert adverts advertisement advertising comments disqus share sharing sponsored".split())
+#: Parts that go only with what they are part of, and blocks that hold text rather than other blocks.
+PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot caption figcaption summary br".split())
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt figcaption br".split())
 
 _TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*))>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -60,10 +72,10 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Node:
     """An element: children are nodes and texts in page order."""
 
-    __slots__ = ("tag", "attributes", "children", "hash", "prose")
+    __slots__ = ("tag", "attributes", "children", "hash", "words")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children, self.hash, self.prose = tag, attributes, [], 0, False
+        self.tag, self.attributes, self.children, self.hash, self.words = tag, attributes, [], 0, 0
 
 
 def parse(page: str) -> Node:
@@ -127,130 +139,207 @@ def parse(page: str) -> Node:
 
 
 def hash_subtrees(root: Node) -> None:
-    """Sets each element's hash: of tag, class, id, and the texts (white space as one space) and hashes below; 0 without any text. Also whether it has words outside links."""
+    """Sets each element's hash: of tag, class, id, and the texts (white space as one space) and hashes below; 0 without any text. Also how many words stand outside links in it."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in node.children if type(c) is Node)
     for node in reversed(order):
-        parts, worded, prose = [node.tag, node.attributes.get("class", ""), node.attributes.get("id", "")], False, False
+        parts, worded, words = [node.tag, node.attributes.get("class", ""), node.attributes.get("id", "")], False, 0
         for child in node.children:
             if type(child) is Node:
                 if child.hash:
                     worded = True
-                    prose = prose or child.prose
+                    words += child.words
                     parts.append(f"\x01{child.hash:x}")
-            elif words := " ".join(child.split()):
+            elif text := " ".join(child.split()):
                 worded = True
-                prose = prose or any(map(str.isalnum, words))
-                parts.append(words)
-        node.prose = prose and node.tag != "a"
+                words += text.count(" ") + 1 if any(map(str.isalnum, text)) else 0
+                parts.append(text)
+        node.words = 0 if node.tag == "a" or node.tag in DROPPED else words
         node.hash = xxhash.xxh64_intdigest("\x02".join(parts).encode("utf-8", "surrogatepass")) if worded else 0
 
 
-def unwanted(node: Node, in_main: bool) -> bool:
-    """Whether the element's own marks say that it isn't main text."""
-    tag, a = node.tag, node.attributes
-    if tag in DROPPED or tag == "header" and not in_main:
+def excluded(node: Node, in_main: bool) -> bool:
+    """Whether the element is no main text by HTML's own means: its name, its role, or hidden."""
+    if node.tag in DROPPED or node.tag == "header" and not in_main:
         return True
-    if tag in ("html", "body", "main", "#root"):
-        return False
-    if a:
-        if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower():
-            return True
-        names = f"{a.get('class', '')} {a.get('id', '')}"
-        if names != " ":
-            found = {w.lower() for w in _NAME.findall(names)}
-            if found & WORDS or not in_main and tag != "article" and "header" in found:
-                return True
-    return False
+    a = node.attributes
+    return bool(a) and node.tag not in ("html", "body") and ("hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or "display:none" in a.get("style", "").replace(" ", "").lower())
 
 
-def main_containers(root: Node) -> list[Node]:
-    """Outermost articles that are not marked otherwise; else main elements; else the whole page."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
+def mark(node: Node) -> str:
+    """``certain`` or ``named`` if a class or the id says that the element isn't main text, else empty."""
+    a = node.attributes
+    if not a or node.tag in ("html", "body", "main", "article", "#root"):
+        return ""
+    found = ""
+    for name in (*a.get("class", "").split(), a.get("id", "")):
+        parts = {w.lower() for w in _NAME.findall(name)}
+        own = parts & WORDS or ("header" in parts and {"header"})
+        if own and parts <= WORDS | HELPERS | {w for w in parts if w.isdigit()}:
+            if own & CERTAIN:
+                return "certain"
+            found = "named"
+    return found
 
-    def walk() -> None:
-        stack = [(root, False)]
-        while stack:
-            node, inside = stack.pop()
-            main = node.tag == "main" or node.attributes.get("role") == "main"
-            if unwanted(node, False):
-                continue
-            if node.tag == "article":
-                found["article"].append(node)
-                continue
-            if main and not inside:
-                found["main"].append(node)
-            stack.extend((c, inside or main) for c in reversed(node.children) if type(c) is Node)
 
-    walk()
-    return found["article"] or found["main"] or [root]
+def main_containers(root: Node) -> list[Node]:
+    """What holds the main text: articles or main elements, if enough words stand in them, else the deepest element with most of the words (the root if that is the whole page)."""
+    found: dict[str, list[Node]] = {"article": [], "main": []}
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        main = node.tag == "main" or node.attributes.get("role") == "main"
+        if excluded(node, False) or mark(node):
+            continue
+        if node.tag == "article":
+            found["article"].append(node)
+            continue
+        if main and not inside:
+            found["main"].append(node)
+        stack.extend((c, inside or main) for c in reversed(node.children) if type(c) is Node)
+    for some in found.values():
+        if some and sum(n.words for n in some) >= NAMED_SHARE * root.words:
+            return some
+    at = root
+    while True:
+        inner = [c for c in at.children if type(c) is Node and c.tag not in TEXTS and c.tag not in INLINE and c.words >= MOST_OF * at.words and not excluded(c, False) and not mark(c)]
+        if not at.words or not inner:
+            return [root] if at.tag in ("#root", "html", "body") else [at]
+        at = inner[0]
 
 
 def text_hash(nodes: list[Node]) -> int:
     return xxhash.xxh64_intdigest(b"".join(n.hash.to_bytes(8, "little") for n in nodes))
 
 
-def template_hash(host: str, subtree: int, inside: bool = False) -> int:
-    """Signed 64 bits of a subtree on a host, the last of them 1 inside a main container."""
-    return (xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), subtree) & ~1 | inside) - (1 << 63)
+#: What a hash stands for, in its last two bits: a subtree outside, a box of links inside, running text inside the main container; a frame.
+OUTSIDE, LINKS, RUNNING, FRAME = range(4)
 
 
-def kept(node: Node) -> bool:
-    """Whether the element stays inside a main container however often it recurs."""
-    return node.prose or node.tag in PROSE or node.tag in INLINE
+def template_hash(host: str, subtree: int, kind: int = OUTSIDE) -> int:
+    """Signed 64 bits of a subtree or frame on a host, the last two of them its kind."""
+    return (xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), subtree) & ~3 | kind) - (1 << 63)
 
 
-def candidates(root: Node, containers: list[Node]) -> set[tuple[int, bool]]:
-    """Hashes of subtrees that may be template, and whether they are inside a main container: all but what holds one and running text inside one."""
-    out: set[tuple[int, bool]] = set()
-    mains = {id(n) for n in containers}
+def frame_of(above: int, node: Node) -> int:
+    """Hash of the path to an element; numbers in class and id don't count."""
+    a = node.attributes
+    names = "".join(c for c in f"{node.tag}\x01{a.get('class', '')}\x01{a.get('id', '')}" if not c.isdigit()) if a else node.tag
+    return xxhash.xxh64_intdigest(names.encode("utf-8", "surrogatepass"), above)
 
-    def walk(node: Node, inside: bool) -> bool:
-        inside = inside or id(node) in mains and node.tag != "#root"
-        holds = id(node) in mains
-        for child in node.children:
-            if type(child) is Node:
-                holds |= walk(child, inside)
-        if node.hash and not holds and not (inside and kept(node)):
-            out.add((node.hash, inside))
-        return holds
-
-    walk(root, False)
-    return out
-
-
-def blocks(containers: list[Node], is_template) -> str:
-    """The text of the containers: blocks joined by newlines, without unwanted and template subtrees."""
-    out: list[str] = []
-    line: list[str] = []
-
-    def end() -> None:
-        words = " ".join("".join(line).split())
-        if words:
-            out.append(words)
-        line.clear()
-
-    def walk(node: Node, heading_only: bool, inside: bool) -> None:
-        block = node.tag not in INLINE
-        if block:
-            end()
-        for child in node.children:
-            if type(child) is not Node:
-                if not heading_only:
-                    line.append(child)
-            elif not unwanted(child, inside) and not (child.hash and is_template(child, inside)):
-                only = (heading_only or child.tag == "header") and child.tag not in HEADINGS
-                walk(child, only, inside)
-        if block:
-            end()
-
-    for node in containers:
-        walk(node, False, node.tag != "#root")
+
+class Page:
+    """A parsed page, ready to be asked for its candidates and its text."""
+
+    def __init__(self, page: str, url: str | None):
+        self.root, self.host = parse(page), host_of(url)
+        hash_subtrees(self.root)
+        self.mains = main_containers(self.root)
+        self.ids = {id(n) for n in self.mains}
+        self.whole = self.mains == [self.root]
+        self.holders = self._holders()
+
+    def _holders(self) -> set[int]:
+        """Elements that hold a main container, or are one."""
+        order, stack = [], [self.root]
+        while stack:
+            node = stack.pop()
+            order.append(node)
+            stack.extend(c for c in node.children if type(c) is Node)
+        out = set(self.ids)
+        for node in reversed(order):
+            if any(type(c) is Node and id(c) in out for c in node.children):
+                out.add(id(node))
+        return out
+
+    def kind(self, node: Node, inside: bool) -> int | None:
+        """How an element's subtree is counted; None: not at all."""
+        if not node.hash or id(node) in self.holders or node.tag in ("html", "body"):
+            return None
+        if not inside and not (self.whole and node.words):
+            return OUTSIDE
+        if node.tag in INLINE or node.tag in PARTS:
+            return None
+        return RUNNING if node.words else LINKS
+
+    def candidates(self) -> set[int]:
+        """Hashes of the subtrees and frames that may recur."""
+        out: set[int] = set()
+        stack = [(self.root, 0, False)]
+        while stack:
+            node, above, inside = stack.pop()
+            inside = inside or id(node) in self.ids and not self.whole
+            frame = frame_of(above, node)
+            kind = self.kind(node, inside)
+            if kind is not None:
+                out.add(template_hash(self.host, node.hash, kind))
+            if mark(node):
+                out.add(template_hash(self.host, frame, FRAME))
+            stack.extend((c, frame, inside) for c in node.children if type(c) is Node and not excluded(c, inside))
+        return out
+
+    def site(self) -> int:
+        """Stands for the host itself: it is among the templates if the host has enough pages to count."""
+        return template_hash(self.host, 0, FRAME)
+
+    def text(self, template) -> str:
+        """The blocks that remain, joined by newlines."""
+        counted = self.site() in template
+        recurs = lambda node, kind: template_hash(self.host, node.hash, kind) in template
+        gone = 0
+        if template:
+            stack = list(self.mains)
+            while stack:
+                node = stack.pop()
+                kind = self.kind(node, not self.whole)
+                if kind == RUNNING and recurs(node, kind):
+                    gone += node.words
+                else:
+                    stack.extend(c for c in node.children if type(c) is Node)
+        most = 2 * gone > sum(n.words for n in self.mains)  # a near copy of other pages, not a page in a template
+        out: list[str] = []
+        line: list[str] = []
+
+        def end() -> None:
+            words = " ".join("".join(line).split())
+            if words:
+                out.append(words)
+            line.clear()
+
+        def deleted(node: Node, frame: int, inside: bool) -> bool:
+            if excluded(node, inside):
+                return True
+            if id(node) in self.holders:
+                return False
+            named = mark(node)
+            if named and (named == "certain" or not inside and not counted or template_hash(self.host, frame, FRAME) in template):
+                return True
+            kind = self.kind(node, inside)
+            return kind is not None and recurs(node, kind) and not (kind == RUNNING and most)
+
+        todo: list = [(self.root, frame_of(0, self.root), False)]
+        while todo:
+            item = todo.pop()
+            if item is None:
+                end()
+            elif type(item) is str:
+                line.append(item)
+            else:
+                node, frame, inside = item
+                inside = inside or id(node) in self.ids and not self.whole
+                if node.tag not in INLINE:
+                    end()
+                    todo.append(None)
+                for child in reversed(node.children):
+                    if type(child) is not Node:
+                        todo.append(child)
+                    elif not deleted(child, below := frame_of(frame, child), inside):
+                        todo.append((child, below, inside))
         end()
-    return "\n".join(out)
+        return "\n".join(out)
 
 
 def host_of(url: str | None) -> str:
@@ -260,57 +349,23 @@ def host_of(url: str | None) -> str:
 
 def page_text(page: str | None, url: str | None, template: frozenset | set) -> str:
     """Main text of one page, given the template hashes of its host."""
-    if not page:
-        return ""
-    root = parse(page)
-    hash_subtrees(root)
-    host = host_of(url)
-
-    def is_template(node: Node, inside: bool) -> bool:
-        return not (inside and kept(node)) and template_hash(host, node.hash, inside) in template
-
-    return blocks(main_containers(root), is_template)
-
-
-def _deep(work, *rest):
-    """Runs ``work`` with room for deeply nested pages."""
-    import sys
-    import threading
-
-    done = []
-    old = threading.stack_size(512 << 20)
-    sys.setrecursionlimit(200_000)
-    thread = threading.Thread(target=lambda: done.append(work(*rest)))
-    thread.start()
-    thread.join()
-    threading.stack_size(old)
-    return done[0]
-
-
-def guarded(work, *rest):
-    try:
-        return work(*rest)
-    except RecursionError:
-        return _deep(work, *rest)
+    return Page(page, url).text(template) if page else ""
 
 
-def subtree_rows(page: str | None, url: str | None) -> tuple[int, list[int]]:
-    """Hash of the page's main text, and the template hashes of its candidate subtrees."""
-    root = parse(page or "")
-    hash_subtrees(root)
-    mains, host = main_containers(root), host_of(url)
-    return text_hash(mains) - (1 << 63), [template_hash(host, h, inside) for h, inside in candidates(root, mains)]
+def subtree_rows(page: str | None, url: str | None) -> tuple[int, int, list[int]]:
+    """Hashes of the page's main text, of its host, and of its candidates."""
+    read = Page(page or "", url)
+    return text_hash(read.mains) - (1 << 63), read.site(), list(read.candidates())
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """Hashes (``subtree``, host included) of the subtrees that recur on a host."""
+    """Hashes (``subtree``, host included) of the subtrees and frames that recur on a host, and of hosts with enough pages."""
 
     def count(batches):
         for batch in batches:
             out: tuple[list, ...] = ([], [], [])
             for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                main, found = guarded(subtree_rows, page, url)
-                site = template_hash(host_of(url), 0)
+                main, site, found = subtree_rows(page, url)
                 out[0].extend([site] * (len(found) + 1))
                 out[1].extend([*found, site])
                 out[2].extend([main] * (len(found) + 1))
@@ -321,8 +376,12 @@ def site_templates(pages: DataFrame) -> DataFrame:
     seen = written(seen.filter((F.col("n") >= LEAST_PAGES) | (F.col("site") == F.col("subtree"))), "subtrees")
     sizes = seen.filter("site = subtree").select("site", F.col("n").alias("pages"))
     many = seen.filter((F.col("site") != F.col("subtree")) & (F.col("n") >= LEAST_PAGES)).join(sizes, "site")
-    share = F.when(F.col("subtree").bitwiseAND(1) == 1, INSIDE_SHARE).otherwise(LEAST_SHARE)
-    return many.filter(F.col("n") >= share * F.col("pages")).select("subtree")
+    kind = F.pmod(F.col("subtree"), F.lit(4))  # signed hashes keep their last bits
+    inside = kind.isin(LINKS, RUNNING)
+    share = F.when(inside, INSIDE_SHARE).when(kind == OUTSIDE, LEAST_SHARE).otherwise(0.0)
+    least = F.when(kind == RUNNING, LEAST_INSIDE).otherwise(LEAST_PAGES)
+    recurring = many.filter((F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))).select("subtree")
+    return recurring.union(sizes.filter(F.col("pages") >= LEAST_PAGES).select(F.col("site").alias("subtree")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -343,7 +402,7 @@ def extract(pages: DataFrame) -> DataFrame:
             template = set(shared.value.tolist())
             for batch in batches:
                 rows = zip(batch["html"].to_pylist(), batch["url"].to_pylist(), strict=True)
-                yield results(batch, [guarded(page_text, page, url, template) for page, url in rows])
+                yield results(batch, [page_text(page, url, template) for page, url in rows])
 
         return spread(pages).mapInArrow(read, schema)
 
@@ -351,7 +410,8 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out: tuple[list, ...] = ([], [])
             for page_id, url, page in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                found = guarded(subtree_rows, page, url)[1]
+                _, site, found = subtree_rows(page, url)
+                found.append(site)
                 out[0].extend([page_id] * len(found))
                 out[1].extend(found)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["page_id", "subtree"])
@@ -362,6 +422,6 @@ def extract(pages: DataFrame) -> DataFrame:
     def read_own(batches):
         for batch in batches:
             rows = zip(batch["html"].to_pylist(), batch["url"].to_pylist(), batch["template"].to_pylist(), strict=True)
-            yield results(batch, [guarded(page_text, page, url, set(t or ())) for page, url, t in rows])
+            yield results(batch, [page_text(page, url, set(t or ())) for page, url, t in rows])
 
     return joined.mapInArrow(read_own, schema)

@@ -524,7 +524,7 @@ def test_page_text():
         assert html_extract.page_text(source, "http://h/x", set()) == want
     assert html_extract.page_text(None, None, set()) == html_extract.page_text("", "x", set()) == ""
     deep = "<div>" * 30_000 + "deep"
-    assert html_extract.guarded(html_extract.page_text, deep, "http://h/", set()) == "deep"
+    assert html_extract.page_text(deep, "http://h/", set()) == "deep"
 
 
 @pytest.mark.parametrize("most", [1_000_000, -1])
@@ -558,3 +558,39 @@ def test_articles_keep_the_running_text_they_share(spark, monkeypatch, most):
     found = {r["page_id"]: r["text"] for r in html_extract.extract(pages.union(spark.createDataFrame(some, pages.schema))).collect()}
     assert all(found.pop(100 + i) == f"Text {i}" + "\nFirst source\nSecond source" * (i < 4) for i in range(12))
     assert found == {k: f"Text {k % 10}\none thing\nanother\nterm\nmeaning\nA passage, linked.\nDeep\nSeen" for k, _, _ in rows}
+
+
+@pytest.mark.parametrize("most", [1_000_000, -1])
+def test_templates_are_found_by_counts_alone(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "MOST_BROADCAST", most)
+    menu = "<div class=q1><span><a href=/a>Home page</a></span><span><a href=/b>All news</a></span></div>"
+    foot = "<div class=q2><p>Some company, all rights kept.</p><p>Street 1</p></div>"
+    told = "<div class=q3>We changed our terms of use in May.</div>"
+    words = lambda i: " ".join(f"word{i}x{k}" for k in range(40))
+    rows = [(i, f"http://plain.example/{i}", f"<body>{menu}{told}<div class=q4><h2>Heading</h2><p>{words(i)}</p><ul><li>Size<li>large {i}</ul></div>{foot}</body>") for i in range(12)]
+    # no container at all: running text must recur on half of the pages, and the heading stays
+    rows += [(100 + i, f"http://flat.example/{i}", f"<body>{menu}<h2>Heading</h2><p>{words(100 + i)}</p>{'<p>said twice</p>' * (i < 4)}{foot}</body>") for i in range(12)]
+    # near copies of one page are no template
+    rows += [(200 + i, f"http://copies.example/{i}", f"<body><article><p>{words(0)}</p><p>{words(1)}</p><p>{i}</p></article></body>") for i in range(12)]
+    # frames: words change, the place and the name stay
+    rows += [(300 + i, f"http://frames.example/{i}", f"<body><div class='box promo-box'>Buy {i}</div><article><p>{words(i)}</p><div class=notice>Closed {i}</div></article></body>") for i in range(6)]
+    rows += [(400, "http://frames.example/7", f"<body><div class='once notice'>Said once</div><article><p>{words(7)}</p></article></body>")]
+    rows = [(i, u, h.replace("class='once notice'", "class=notice") if i == 400 else h) for i, u, h in rows]
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Heading\n{words(i)}\nSize\nlarge {i}" for i in range(12))
+    assert all(found[100 + i] == f"Heading\n{words(100 + i)}" + "\nsaid twice" * (i < 4) for i in range(12))
+    assert all(found[200 + i] == f"{words(0)}\n{words(1)}\n{i}" for i in range(12))
+    assert all(found[300 + i] == words(i) for i in range(6))
+    assert found[400] == f"Said once\n{words(7)}"
+
+
+def test_names_do_not_cut_main_text():
+    body = "<p>Intro</p><div class='related-work'><p>Others did it.</p></div><section id='comment-on-method'>Why so</section><div class=notice>Mind this</div>"
+    source = f"<body><div class=lead>Beside it</div><article><header><h1>Title</h1><p class=standfirst>In short</p></header>{body}<div class='ad-slot'>Buy</div><section class=comments>me too</section></article></body>"
+    assert html_extract.page_text(source, "http://h/x", set()) == "Beside it\nTitle\nIn short\nIntro\nOthers did it.\nWhy so\nMind this"
+
+
+def test_very_long_page():
+    source = "<body><article>" + "".join(f"<p>part {i} <b>of</b> many</p>" for i in range(60_000)) + "</article></body>"
+    text = html_extract.page_text(source, "http://h/x", set())
+    assert text.count("\n") == 59_999 and text.endswith("part 59999 of many")
