@@ -1,7 +1,8 @@
 """N-gram Jaccard join by count-vector R-trees.
 
 A document's tokens are its distinct five-word shingles, as 64-bit hashes. Tokens are hashed into groups, and a
-document becomes the point of its group counts. Two sets share at most the sum over the groups of the smaller
+document becomes the point of its group counts. Larger sets have more groups (about one for four tokens), so that the bound
+stays as sharp as it is for small ones; a point folds into one of half as many groups by adding its halves. Two sets share at most the sum over the groups of the smaller
 count, so an R-tree whose nodes carry coordinate maxima and size ranges bounds the overlap of a query with
 all documents below a node, and only pairs that the bound lets through are compared token by token.
 
@@ -10,8 +11,8 @@ One tree over a whole corpus would compare all with all, so trees are built wher
 1. Equal sets collapse into one representative (the smallest doc_id) first.
 2. Each representative goes to the keys of its prefix: the first tokens of its set in one order of all tokens, as many as
    Jaccard 0.8 needs (a fifth of the set, plus one). Similar sets have a key in common, whatever the order is (the prefix
-   theorem). The order is by hash at first; tokens that turn out to be keys of more than ``MOST_ROWS`` sets are then put
-   last, so that a passage of very many documents stops being a meeting place of all of them.
+   theorem). The order is by hash, but tokens that are among the ``FIRST_KEYS`` first of very many sets are put
+   last, so that a passage of very many documents is no meeting place of all of them.
 3. Of keys with the same members one is kept. At each, a tree links those that the bound lets through; the components of
    these links are the blocks that hold all partners.
 4. In each block a tree proposes pairs, whole token sets are compared, and only links that join two
@@ -31,19 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import spread, written
+from loomwright.llm.common import discard, spread, written
 from loomwright.llm.components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 80, 100
-GROUPS, LEAF = 64, 32
+GROUPS, PER_GROUP, LEAF = 64, 4, 32
 #: Rows of one group in one task, and their tokens where token sets are compared (8 bytes each).
 MOST_ROWS, MOST_TOKENS = 4096, 1_000_000
 #: Entries that a query is compared with before it asks the tree: those nearest in size.
 NEAREST = 32
 #: Representatives or keys that are broadcast at most (8 bytes each).
 MOST_BROADCAST = 500_000
-#: Tokens that are put last in the order at most: this bounds a broadcast and changes no result.
-MOST_LAST = 100_000
+#: A token is put last if so many sets have it among their first keys; and so many tokens at most: this bounds a broadcast. Neither changes a result.
+FIRST_KEYS, CROWD, MOST_LAST = 4, 256, 100_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,7 +78,13 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 def counts_of(tokens: np.ndarray) -> np.ndarray:
     """The point of a token set."""
-    return np.bincount((tokens & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    groups = max(GROUPS, 1 << (len(tokens) // PER_GROUP).bit_length() - 1) if len(tokens) >= PER_GROUP else GROUPS
+    return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """A point of twice as many groups, or as many, as one of ``groups``."""
+    return point if len(point) == groups else point[:groups] + point[groups:]
 
 
 def enough(overlap, n_a, n_b):
@@ -113,60 +120,66 @@ class CountTree:
             fits = (DENOMINATOR * high[at] >= NUMERATOR * size) & (NUMERATOR * low[at] <= DENOMINATOR * size)
             at = at[fits]
             least = np.maximum(low[at], -(-NUMERATOR * size // DENOMINATOR))
-            at = at[enough(np.minimum(top[at], point).sum(axis=1), size, least)]
+            at = at[enough(np.minimum(top[at], point).sum(axis=1, dtype=np.int64), size, least)]
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
         found = self.order if at is None else self.order[at[at < len(self.order)]]
         n = self.sizes[found]
         found = found[(DENOMINATOR * n >= NUMERATOR * size) & (NUMERATOR * n <= DENOMINATOR * size)]
-        return found[enough(np.minimum(self.points[found], point).sum(axis=1), size, self.sizes[found])]
+        return found[enough(np.minimum(self.points[found], point).sum(axis=1, dtype=np.int64), size, self.sizes[found])]
 
 
-def spanning_labels(sizes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] | None) -> np.ndarray:
+def spanning_labels(sizes: np.ndarray, points: list[np.ndarray], sets: list[np.ndarray] | None) -> np.ndarray:
     """The smallest entry of each entry's component; links are pairs past the bound, or verified by ``sets``."""
-    m = len(sizes)
-    order = np.argsort(sizes, kind="stable")
-    sizes, points = sizes[order], points[order]
-    sets = None if sets is None else [sets[k] for k in order]
-    tree, label, largest = None, np.arange(m), 0
+    label, width = np.arange(len(sizes)), np.array([len(p) for p in points])
+    for groups in np.unique(width):
+        # Partners differ in size by a quarter at most, so they have as many groups, or twice as many.
+        own = np.flatnonzero(width == groups)
+        wider = np.flatnonzero((width == 2 * groups) & (NUMERATOR * sizes <= DENOMINATOR * sizes[own].max()))
+        entries = np.concatenate([own[np.argsort(sizes[own], kind="stable")], wider])
+        _span(entries, len(own), sizes[entries], np.stack([folded(points[k], groups) for k in entries]), sets, label)
+    return label
+
+
+def _span(entries: np.ndarray, n_own: int, sizes: np.ndarray, points: np.ndarray, sets: list[np.ndarray] | None, label: np.ndarray) -> None:
+    """Joins in ``label`` what the links of the first ``n_own`` entries (in order of size) with each other and with the rest join."""
+    tree, largest = None, int(entries[0])
 
-    def join(i: int, found: np.ndarray, many: bool = False) -> None:
+    def join(i: int, found: np.ndarray) -> None:
         """Links entry i with the components of ``found``, entries past the bound; the likeliest first."""
-        found = found[label[found] != label[i]]
+        me = entries[i]
+        found = found[label[entries[found]] != label[me]]
         if sets is not None and len(found) > 1:
-            bound = np.minimum(points[found], points[i]).sum(axis=1) / (sizes[found] + sizes[i])
+            bound = np.minimum(points[found], points[i]).sum(axis=1, dtype=np.int64) / (sizes[found] + sizes[i])
             found = found[np.argsort(bound, kind="stable")]
         while len(found):
-            j = int(found[-1])
-            if sets is None or enough(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), sizes[i], sizes[j]):
-                low, high = sorted((int(label[i]), int(label[j])))
+            j = int(entries[found[-1]])
+            if sets is None or enough(len(np.intersect1d(sets[me], sets[j], assume_unique=True)), sizes[i], sizes[found[-1]]):
+                low, high = sorted((int(label[me]), int(label[j])))
                 label[label == high] = low
-                found = found[label[found] != low]
+                found = found[label[entries[found]] != low]
             else:
                 found = found[:-1]
 
     def past(i: int, at: np.ndarray) -> np.ndarray:
         at = at[NUMERATOR * sizes[i] <= DENOMINATOR * sizes[at]]
-        return at[enough(np.minimum(points[at], points[i]).sum(axis=1), sizes[i], sizes[at])]
+        return at[enough(np.minimum(points[at], points[i]).sum(axis=1, dtype=np.int64), sizes[i], sizes[at])]
 
-    for i in range(1, m):
-        join(i, past(i, np.arange(max(0, i - NEAREST), i)))
-        if i > NEAREST:
+    for i in range(1, len(entries)):
+        before = min(i, n_own)
+        join(i, past(i, np.arange(max(0, before - NEAREST), before)))
+        if before > NEAREST:
             if i % NEAREST == 0:
-                values, counts = np.unique(label[:i], return_counts=True)
+                values, counts = np.unique(label[entries[:before]], return_counts=True)
                 largest = int(values[counts.argmax()])
             # A member of the largest component needs only those outside it.
-            others = np.flatnonzero(label[:i] != label[i]) if label[i] == label[largest] else None
+            mine = label[entries[i]]
+            others = np.flatnonzero(label[entries[:before]] != mine) if mine == label[largest] else None
             if others is not None and len(others) <= NEAREST * LEAF:
                 join(i, past(i, others))
             else:
-                tree = tree or CountTree(sizes, points)
+                tree = tree or CountTree(sizes[:n_own], points[:n_own])
                 found = tree.query(sizes[i], points[i])
-                join(i, found[found < i])
-    out = np.empty(m, np.int64)
-    first = np.full(m, m, np.int64)
-    np.minimum.at(first, label, order)
-    out[order] = first[label]
-    return out
+                join(i, found[found < before])
 
 
 def _groups(batches):
@@ -207,7 +220,7 @@ def _link_groups(rows: DataFrame, verify: bool) -> DataFrame:
                 continue
             rep, n = table["rep"].to_numpy(), table["n"].to_numpy().astype(np.int64)
             sets = _views(table["data"], "<u8") if verify else None
-            points = np.stack([counts_of(x) for x in sets] if verify else _views(table["data"], "<i4"))
+            points = [counts_of(x) for x in sets] if verify else _views(table["data"], "<u2")
             first = spanning_labels(n, points, sets)
             linked = np.flatnonzero(first != np.arange(len(first)))
             a.append(rep[first[linked]])
@@ -228,8 +241,8 @@ def links_in_groups(rows: DataFrame, verify: bool) -> DataFrame:
 
     def loads(df: DataFrame) -> DataFrame:
         """How many tasks each group asks for."""
-        by_rows, by_tokens = F.count("*") / F.lit(MOST_ROWS), F.sum("n") / F.lit(MOST_TOKENS)
-        return df.groupBy("group").agg(F.ceil(F.greatest(by_rows, by_tokens) if verify else by_rows).cast("int").alias("m"))
+        tokens = MOST_TOKENS if verify else 16 * MOST_TOKENS  # points take half a byte for each token
+        return df.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / F.lit(MOST_ROWS), F.sum("n") / F.lit(tokens))).cast("int").alias("m"))
 
     large = written(loads(rows).filter("m > 1"), "large-groups")
     if large.isEmpty():
@@ -282,7 +295,7 @@ def sketches(documents: DataFrame, last: np.ndarray | None = None) -> DataFrame:
                 n = len(tokens)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), "<i8")
                 prefix = n - -(-NUMERATOR * n // DENOMINATOR) + 1 if n else 0
-                point = counts_of(tokens).astype("<i4").tobytes() if n else None
+                point = counts_of(tokens).astype("<u2").tobytes() if n else None
                 if shared is not None and n:
                     known = shared.value
                     at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
@@ -335,17 +348,19 @@ def meeting_places(documents: DataFrame, sketched: DataFrame) -> tuple[DataFrame
         return written(df.filter("rep IS NOT NULL").withColumn("set", F.monotonically_increasing_id()), "sets")
 
     reps = numbered(representatives(sketched))
-    keyed = shared_keys(reps)
-    crowded = keyed.groupBy("group").agg(F.count("*").alias("c")).filter(F.col("c") > MOST_ROWS)
-    last = [r[0] for r in crowded.orderBy(F.desc("c"), "group").limit(MOST_LAST).collect()]
+    crowded = reps.select(F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("group")).groupBy("group").agg(F.count("*").alias("c")).filter(F.col("c") > CROWD)
+    crowded = written(crowded.orderBy(F.desc("c"), "group").limit(MOST_LAST), "crowded")
+    last = [r[0] for r in crowded.select("group").collect()]  # at most MOST_LAST
     if last:
         # Only sets that have such a token in their prefix get other keys by the new order.
-        touched = keyed.join(F.broadcast(crowded), "group", "left_semi").select("set").distinct().join(reps, "set").select("n", "d1", "d2", "rep")
-        touched = written(touched, "touched")
+        touched = reps.select("n", "d1", "d2", "rep", F.explode("keys").alias("group")).join(F.broadcast(crowded), "group", "left_semi")
+        touched = written(touched.select("n", "d1", "d2", "rep").distinct(), "touched")
         again = sketches(documents.join(small(touched.select(F.col("rep").alias("_rep")).distinct()), F.col("doc_id") == F.col("_rep"), "left_semi"), np.array(last, np.int64))
-        again = representatives(again.join(touched.select("n", "d1", "d2"), ["n", "d1", "d2"], "left_semi"))
-        reps = numbered(reps.drop("set").join(touched.select("n", "d1", "d2"), ["n", "d1", "d2"], "left_anti").unionByName(again))
-        keyed = shared_keys(reps)
+        again = representatives(again.join(small(touched.select("n", "d1", "d2")), ["n", "d1", "d2"], "left_semi"))
+        first = reps
+        reps = numbered(reps.drop("set").join(small(touched.select("n", "d1", "d2")), ["n", "d1", "d2"], "left_anti").unionByName(again))
+        discard(first)
+    keyed = shared_keys(reps)
     # Keys with the same members (by count, ends and two 64-bit digests) are one meeting place.
     members = keyed.groupBy("group").agg(
         F.count("*").alias("c"), F.min("set").alias("a"), F.max("set").alias("b"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y")
@@ -360,14 +375,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Null and empty texts have no shingles and are components of their own. Rows that repeat a doc_id with other texts count as one node
     with several sets. Rows without doc_id take the component of an equal set, if any, else null.
     """
-    rows = written(sketches(documents), "sketches")
-    reps, keyed = meeting_places(documents, rows)
+    sketched = written(sketches(documents), "sketches")
+    rows = written(sketched.select("doc_id", "n", "d1", "d2"), "digests")
+    reps, keyed = meeting_places(documents, sketched)
+    discard(sketched)
     points = reps.select("set", "rep", "n", F.col("point").alias("data"))
     near = links_in_groups(written(keyed.join(points, "set").select("group", "rep", "n", "data"), "points"), verify=False)
     blocks = written(components(near), "blocks")
     sets = token_sets(documents, blocks.select(F.col("node").alias("rep")))
     block = small(blocks.select(F.col("node").alias("rep"), F.col("component").alias("group")))
     inside = written(sets.join(block, "rep").select("group", "rep", "n", "data"), "block-sets")
+    discard(reps)
     links = links_in_groups(inside, verify=True)
     classes = written(components(links), "classes")
     # A doc_id that comes with several texts links its sets.

@@ -290,6 +290,8 @@ def brute_components(rows):
 @pytest.mark.parametrize("most_rows", [4096, 3])
 def test_jaccard_components(spark, docs, empty, monkeypatch, most_rows):
     monkeypatch.setattr(jaccard_join, "MOST_ROWS", most_rows)
+    if most_rows == 3:
+        monkeypatch.setattr(jaccard_join, "CROWD", 5)
     want = brute_components([r for r in fixture() if r[0] is not None])
     rows = [r for r in collected(jaccard_join.near_duplicates(docs)) if r["doc_id"] is not None]
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
@@ -306,7 +308,7 @@ def test_tree_loses_no_pair():
     for _ in range(1500):
         start, size = rng.integers(0, 3500), rng.integers(20, 400)
         sets.append(np.unique(np.concatenate([base[start : start + size], rng.integers(0, 1 << 60, rng.integers(0, 30)).astype(np.uint64)])))
-    sizes, points = np.array([len(s) for s in sets]), np.stack([jaccard_join.counts_of(s) for s in sets])
+    sizes, points = np.array([len(s) for s in sets]), np.stack([jaccard_join.folded(jaccard_join.counts_of(s), 64) for s in sets])
     tree = jaccard_join.CountTree(sizes, points)
     assert len(tree.levels) > 1
     for i, s in list(enumerate(sets))[::60]:
@@ -321,14 +323,18 @@ def test_labels_are_those_of_all_links(verify):
     rng = np.random.default_rng(9)
     sets = []
     for _ in range(30):  # families of copies, each changed a little more, of all sizes up to some hundreds
-        base = rng.integers(0, 1 << 60, rng.integers(5, 400)).astype(np.uint64)
+        base = rng.integers(0, 1 << 60, rng.integers(5, 1200)).astype(np.uint64)
         for k in range(rng.integers(1, 25)):
             gone = rng.random(len(base)) < 0.01 * k
             sets.append(np.unique(np.concatenate([base[~gone], rng.integers(0, 1 << 60, gone.sum()).astype(np.uint64)])))
-    sizes, points = np.array([len(s) for s in sets]), np.stack([jaccard_join.counts_of(s) for s in sets])
+    sizes, points = np.array([len(s) for s in sets]), [jaccard_join.counts_of(s) for s in sets]
+    assert len({len(p) for p in points}) > 2
     label = np.arange(len(sets))
     for i, j in itertools.combinations(range(len(sets)), 2):
-        overlap = len(np.intersect1d(sets[i], sets[j])) if verify else np.minimum(points[i], points[j]).sum()
+        groups = min(len(points[i]), len(points[j]))
+        if max(len(points[i]), len(points[j])) > 2 * groups:
+            continue
+        overlap = len(np.intersect1d(sets[i], sets[j])) if verify else np.minimum(jaccard_join.folded(points[i], groups), jaccard_join.folded(points[j], groups)).sum()
         if jaccard_join.enough(overlap, sizes[i], sizes[j]) and label[i] != label[j]:
             label[label == max(label[i], label[j])] = min(label[i], label[j])
     assert jaccard_join.spanning_labels(sizes, points, sets if verify else None).tolist() == label.tolist()
