@@ -1,12 +1,14 @@
 """Shards by a hierarchical weighted hash tree of regions, racks and shards.
 
-Every node of the tree draws a number for a key; the descent takes the lowest draw among the regions, then
-among that region's racks, then among that rack's shards. A shard draws ``-ln(u) / weight`` with ``u`` hashed
-from key and shard, and an inner node draws the lowest draw below it. The minimum of exponential draws is an
-exponential draw of the summed weight, so each node is a fair weighted draw of its subtree, and since a draw
-depends on nothing outside the subtree, a changed weight moves keys only into or out of the changed subtree:
-a shard that is added takes keys into itself and moves no other. (Inner nodes with draws of their own would
-let a key that enters a region by its new shard land in an old shard of it.)
+A key descends the tree: it draws a number for every region and takes the lowest, then for the racks of that region alone,
+then for the shards of that rack alone. A node's draw is ``-ln(u) / weight``, with ``u`` hashed from the key and the node, and
+its weight the sum of the weights below it, so each shard gets its share of the keys. Draws depend on nothing but key,
+node and weight: if weights change inside a rack, keys move between that rack and others by the change of its sum, and
+among its own shards; nothing moves between two nodes whose weights stay.
+
+A shard that joins the founding ones gets a region of its own. The other regions' weights stay, so keys only move from
+them into the new region: that is the law ``key``. (Put into an old rack, it would raise the weights above it, and a key that
+they draw could land in an old shard there.)
 
 Slots number the rows of a shard without gaps. They come from counts by shard and hash bucket and a running
 number inside each bucket, so no shard is ever ordered in one task.
@@ -34,48 +36,49 @@ class Leaf:
     weight: float = 1.0
 
 
-def topology(n_shards: int, regions: int = 3, racks: int = 2, weights: dict[int, float] | None = None) -> list[Leaf]:
-    """``n_shards`` shards dealt over regions and, inside each, over racks. The first shards' places do not depend on the number."""
-    weights = weights or {}
-    return [Leaf(s, s % regions, s // regions % racks, weights.get(s, 1.0)) for s in range(n_shards)]
+def topology(n_shards: int, regions: int = 3, racks: int = 2, weights: dict[int, float] | None = None, founding: int | None = None) -> list[Leaf]:
+    """``n_shards`` shards: the ``founding`` ones (all, unless said otherwise) dealt over regions and, inside each, over racks; each later one in a region of its own."""
+    weights, founding = weights or {}, n_shards if founding is None else founding
+    place = lambda s: (s % regions, s // regions % racks) if s < founding else (regions + s - founding, 0)
+    return [Leaf(s, *place(s), weights.get(s, 1.0)) for s in range(n_shards)]
 
 
-def _draw(key: Column, leaf: Leaf) -> Column:
-    # 53 bits of the hash, never 0
-    unit = (F.shiftrightunsigned(F.xxhash64(key, F.lit(leaf.shard)), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-    return -F.ln(unit) / F.lit(leaf.weight)
+def _lowest(key: Column, path: list[Column], options: list[tuple[Column, Column]]) -> Column:
+    """The node with the lowest draw among ``options`` (node, weight), below the nodes of ``path``; nodes of no weight are not there."""
 
+    def draw(node: Column, weight: Column) -> Column:
+        # 53 bits of the hash, never 0
+        unit = (F.shiftrightunsigned(F.xxhash64(key, F.lit(len(path)), *path, node), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+        return F.struct(F.coalesce(-F.ln(unit) / weight, F.lit(float("inf"))).alias("draw"), node.alias("node"))
 
-def _lowest(draws: list[Column]) -> Column:
-    return F.least(*draws) if len(draws) > 1 else draws[0]
+    return F.array_min(F.array(*[draw(node, weight) for node, weight in options]))["node"]
 
 
 def descend(df: DataFrame, key: Column, leaves: list[Leaf], out: str) -> DataFrame:
     """``df`` with columns ``out``, ``out``_region and ``out``_rack. All rows of a key get the same shard; null is a key of its own."""
     if not leaves or any(leaf.weight <= 0 for leaf in leaves):
         raise ValueError("shards with positive weights are needed")
-    df = df.withColumns({f"_d{leaf.shard}": _draw(key, leaf) for leaf in leaves})
-    by_rack: dict[tuple[int, int], list[Leaf]] = {}
+    tree: dict[int, dict[int, list[Leaf]]] = {}
     for leaf in leaves:
-        by_rack.setdefault((leaf.region, leaf.rack), []).append(leaf)
-    df = df.withColumns({f"_r{a}_{b}": _lowest([F.col(f"_d{x.shard}") for x in some]) for (a, b), some in by_rack.items()})
-    regions = sorted({a for a, _ in by_rack})
-    df = df.withColumns({f"_g{a}": _lowest([F.col(f"_r{x}_{y}") for x, y in by_rack if x == a]) for a in regions})
-
-    def first(options: list[tuple[Column, int]]) -> Column:
-        best = _lowest([draw for draw, _ in options])
-        return reduce(lambda rest, o: F.when(o[0] == best, F.lit(o[1])).otherwise(rest), reversed(options[:-1]), F.lit(options[-1][1]))
-
-    df = df.withColumn(f"{out}_region", first([(F.col(f"_g{a}"), a) for a in regions]))
-    rack = [(F.col(f"{out}_region") == a, first([(F.col(f"_r{x}_{y}"), y) for x, y in by_rack if x == a])) for a in regions]
-    df = df.withColumn(f"{out}_rack", _choose(rack))
-    shard = [((F.col(f"{out}_region") == a) & (F.col(f"{out}_rack") == b), first([(F.col(f"_d{x.shard}"), x.shard) for x in some])) for (a, b), some in by_rack.items()]
-    df = df.withColumn(out, _choose(shard))
-    return df.drop(*[f"_d{x.shard}" for x in leaves], *[f"_r{a}_{b}" for a, b in by_rack], *[f"_g{a}" for a in regions])
-
-
-def _choose(cases: list[tuple[Column, Column]]) -> Column:
-    return reduce(lambda rest, c: F.when(c[0], c[1]).otherwise(rest), reversed(cases[:-1]), cases[-1][1])
+        tree.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
+    region, rack = F.col(f"{out}_region"), F.col(f"{out}_rack")
+
+    def by_path(value: dict[tuple[int, ...], float], nodes: tuple[Column, ...], kind: str) -> Column:
+        """What ``value`` has for the nodes chosen so far, else null."""
+        same = lambda path: reduce(lambda a, b: a & b, [node == F.lit(n) for node, n in zip(nodes, path, strict=True)])
+        return reduce(lambda rest, x: F.when(same(x[0]), F.lit(x[1]).cast(kind)).otherwise(rest), value.items(), F.lit(None).cast(kind))
+
+    weight = lambda some: sum(x.weight for x in some)
+    regions = [(F.lit(a), F.lit(float(sum(map(weight, racks.values()))))) for a, racks in sorted(tree.items())]
+    df = df.withColumn(f"{out}_region", _lowest(key, [], regions))
+    racks = sorted({b for some in tree.values() for b in some})
+    of_rack = [(F.lit(b), by_path({(a,): float(weight(some[b])) for a, some in tree.items() if b in some}, (region,), "double")) for b in racks]
+    df = df.withColumn(f"{out}_rack", _lowest(key, [region], of_rack))
+    # The k-th shard of the chosen rack, by its own number.
+    most = max(len(x) for some in tree.values() for x in some.values())
+    kth = [{(a, b): x[k] for a, some in tree.items() for b, x in some.items() if k < len(x)} for k in range(most)]
+    shards = [(by_path({p: x.shard for p, x in at.items()}, (region, rack), "int"), by_path({p: x.weight for p, x in at.items()}, (region, rack), "double")) for at in kth]
+    return df.withColumn(out, _lowest(key, [region, rack], shards))
 
 
 def number(rows: DataFrame, shard: str, key: str, order: list[str], out: str = "slot") -> DataFrame:
@@ -107,7 +110,7 @@ def shard_documents(documents: DataFrame, n_shards: int = 24) -> DataFrame:
     )
     placed = descend(rows, F.col("doc_id"), topology(n_shards), "shard")
     numbered = number(placed, "shard", "doc_id", ["doc_id", "size", "text_crc32"])
-    grown = descend(numbered, F.col("doc_id"), topology(n_shards + 1), "grown_shard")
+    grown = descend(numbered, F.col("doc_id"), topology(n_shards + 1, founding=n_shards), "grown_shard")
     return grown.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard",
         F.col("shard_region").alias("region"), F.col("shard_rack").alias("rack"),
