@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -416,7 +417,46 @@ def test_automaton_against_search():
 
 
 def test_masks_cover_all_changes():
-    assert decontaminate.uncovered() == []
+    assert all(decontaminate.uncovered(n) == [] for n in range(1, 60))
+    assert [decontaminate.allowed(n) for n in (1, 5, 6, 8, 9, 12, 13, 40)] == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+def brute_overlaps(rows, bench):
+    """Every item along every diagonal of every text."""
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for item_id, t in bench:
+        item = tokens(t)
+        n, width = len(item), min(len(item), 13)
+        least = width - (0 if n < 6 else width * 3 // 13)
+        for doc_id, text in rows:
+            doc = tokens(text)
+            if item and any(
+                max(sum(a <= i < a + width and 0 <= i + s < len(doc) and doc[i + s] == w for i, w in enumerate(item)) for a in range(n - width + 1)) >= least
+                for s in range(-n, len(doc))
+            ):
+                out.add((doc_id, item_id))
+    return out
+
+
+@pytest.mark.parametrize("most", [1_000_000, 40, 0])
+def test_decontamination_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+    monkeypatch.setattr(decontaminate, "MOST_BLOCKS", 100)
+    rng = random.Random(77)
+    some = [w for w in VOCABULARY if w.isalpha()]
+    bench = [(n, " ".join(rng.choice(some) for _ in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 30)]
+    rows = []
+    for n, text in bench:
+        for changes in range(5):
+            item = text.split()
+            for k in rng.sample(range(n), min(changes, n)):
+                item[k] = "qqq"
+            cut = item[: rng.randint(1, n)] if changes == 4 else item
+            rows.append((len(rows), " ".join([rng.choice(some) for _ in range(rng.randint(0, 8))] + cut + [rng.choice(some) for _ in range(rng.randint(0, 8))])))
+    rows.append((len(rows), " ".join(rng.choice(some) for _ in range(4000)) + " " + bench[-1][1]))
+    found = decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == brute_overlaps(rows, bench)
 
 
 def test_decontamination(spark, docs, empty):
@@ -457,7 +497,7 @@ def test_decontamination_of_rows_without_id(spark, monkeypatch, most):
     mine = spark.createDataFrame([(None, bad, "x"), (None, clean, "x"), (None, bad, "x"), (None, None, "x"), (7, bad, "x"), (7, clean, "x"), (8, clean, "x")], "doc_id long, text string, row string")
     assert {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.overlaps(mine, bench).collect()} == {(None, 1, 20), (7, 1, 20)}
     left = collections.Counter((r["doc_id"], r["text"]) for r in decontaminate.drop_contaminated(mine, bench).collect())
-    assert left == {(None, clean): 1, (None, None): 1, (8, clean): 1}
+    assert left == {(None, clean): 1, (None, None): 1, (7, clean): 1, (8, clean): 1}
 
 
 # ---- toxicity
