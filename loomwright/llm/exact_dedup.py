@@ -64,6 +64,13 @@ class DigestIndex:
         return self.entries()
 
 
+    def look_up(self, digests: list[bytes]) -> DataFrame:
+        """Entries of the given digests. Filters on the sorted digest column reach the files: their ranges, and their Bloom filters for what the ranges let through."""
+        wanted = [F.lit(bytearray(d)) for d in digests]
+        found = self.entries().filter(F.col("digest").isin(wanted))
+        return found.groupBy("digest").agg(F.min("rank").alias("rank"), F.sum("n").alias("n"))
+
+
 def verified(level: DataFrame, documents: DataFrame) -> DataFrame:
     """``level`` with ``same``: whether the bytes of all texts of a digest are equal. Single rows have nothing to compare."""
     hits = written(level.filter("n > 1").select("digest"), "hits")

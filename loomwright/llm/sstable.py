@@ -10,8 +10,8 @@ A shard is one file that ends in a footer, in this order:
 * a Bloom filter over the keys;
 * the footer: places and sizes of index and filter, entries, ids, id width, version and a magic number.
 
-A lookup asks the filter, then bisects the index, then reads one block. Shards cover disjoint ranges of
-document ids in ascending order. Files are written under a name of their own and then renamed, so a task
+A lookup bisects the manifest's key ranges, asks the shard's filter, bisects its index, and reads one block. Shards cover disjoint ranges of
+document ids in ascending order, each of about ``SHARD_BYTES`` of text. Files are written under a name of their own and then renamed, so a task
 that is run again, or twice at once, leaves the same file.
 """
 
@@ -38,9 +38,12 @@ BITS_PER_KEY, PROBES = 10, 7
 MAGIC, VERSION = b"LWSSTAB1", 1
 FOOTER = struct.Struct("<QQQQQQII8s")
 INDEX = struct.Struct("<B9sQQIQI")
-#: Documents in one shard, about; beyond MOST_SHARDS shards they grow instead.
-SHARD_ROWS, MOST_SHARDS = 20_000, 10_000
-MANIFEST = pa.schema([("shard", pa.int32()), ("name", pa.string()), ("entries", pa.int64()), ("ids", pa.int64()), ("blocks", pa.int32())])
+#: Bytes of text in one shard, about, and of the finer ranges that shards are put together from.
+SHARD_BYTES, RANGE_BYTES = 24 << 20, 2 << 20
+#: Ranges at most: beyond them they grow, and shards with them (10000 shards of 200 MB are 2 TB; give ``most_ranges`` for more).
+MOST_RANGES = 100_000
+MANIFEST = pa.schema([("shard", pa.int32()), ("name", pa.string()), ("entries", pa.int64()), ("ids", pa.int64()), ("blocks", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64())])
+MANIFEST_DDL = "shard int, name string, entries long, ids long, blocks int, first_id long, last_id long"
 COLUMNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -177,20 +180,45 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_shards(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Writes all documents into shard files; returns the manifest (shard, name, entries, ids, blocks), one row per file.
+def shard_bounds(documents: DataFrame, shard_bytes: int = SHARD_BYTES, most_ranges: int = MOST_RANGES) -> np.ndarray:
+    """Last doc_id of every shard but the last one, so that shards hold about ``shard_bytes`` of text each.
+
+    Quantiles of doc_id cut the rows into fine ranges, whose bytes are summed; neighbouring ranges make a shard.
+    """
+    sized = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    total = sized.agg(F.sum("size")).first()[0] or 0
+    ranges = min(most_ranges, -(-total // min(RANGE_BYTES, shard_bytes)))
+    if ranges < 2:
+        return np.empty(0, np.int64)
+    fine = sized.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))).first()[0] or []
+    fine = np.unique(np.array(fine, np.int64))
+
+    def place(batches):
+        for batch in batches:
+            at = np.searchsorted(fine, batch["doc_id"].fill_null(-(1 << 63)).to_numpy(), side="left")
+            totals = np.bincount(at, batch["size"].to_numpy(), minlength=len(fine) + 1)
+            used = np.flatnonzero(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[used].astype(np.int64))], names=["range", "size"])
+
+    loads = {r[0]: r[1] for r in sized.mapInArrow(place, "range long, size long").groupBy("range").agg(F.sum("size")).collect()}  # at most ``most_ranges`` rows
+    bounds, held = [], 0
+    for k, last in enumerate(fine.tolist()):
+        held += loads.get(k, 0)
+        if held + loads.get(k + 1, 0) > shard_bytes:
+            bounds.append(last)
+            held = 0
+    return np.array(bounds, np.int64)
+
+
+def write_shards(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes all documents into shard files; returns the manifest, one row per file: shard, name, entries, ids, blocks, first_id, last_id.
 
     Null texts count as empty: they hold the end id alone. Rows without doc_id come first, under one key.
-    Range bounds come from the doc_id column alone; tokenization runs on the input's own splits, and only ids are shuffled.
+    Tokenization runs on the input's own splits, and only ids are shuffled.
     """
     documents = documents.select(F.col("doc_id").cast("long"), "text")
-    n = documents.count()
-    parts = max(1, min(-(-n // shard_rows), MOST_SHARDS))
-    bounds = []
-    if parts > 1:
-        bounds = documents.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] or []
-    width = 2 if "49k" in vocabulary else 4
-    cuts = np.unique(np.array(bounds, dtype=np.int64))
+    cuts = shard_bounds(documents, shard_bytes)
+    width = 2 if encoder(vocabulary, "words").tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def encode(batches):
         tool, end = encoder(vocabulary, "words", f"<u{width}"), np.array([end_id], f"<u{width}").tobytes()
@@ -212,7 +240,8 @@ def write_shards(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY
             writer.close()
             sink.close()
             store.move(f"{base}/{temporary}", f"{base}/shard-{shard:08d}.sst")
-            return pa.RecordBatch.from_pylist([{"shard": shard, "name": f"shard-{shard:08d}.sst", "entries": writer.entries, "ids": writer.ids, "blocks": len(writer.index)}], MANIFEST)
+            row = {"shard": shard, "name": f"shard-{shard:08d}.sst", "entries": writer.entries, "ids": writer.ids, "blocks": len(writer.index)}
+            return pa.RecordBatch.from_pylist([row | {"first_id": id_of(writer.keys[0]), "last_id": id_of(writer.keys[-1])}], MANIFEST)
 
         for batch in batches:
             for s, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -226,19 +255,20 @@ def write_shards(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY
         if writer:
             yield finish()
 
-    return placed.mapInArrow(write, "shard int, name string, entries long, ids long, blocks int")
+    return placed.mapInArrow(write, MANIFEST_DDL)
 
 
 def read_shards(manifest: DataFrame, folder: str, blocks_per_task: int = 16) -> DataFrame:
     """Every document read back from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     spark = manifest.sparkSession
-    rows = sorted(manifest.collect())  # one small row for each file
-    tasks, start = [], 0
-    for _, name, _, ids, blocks in rows:
-        tasks += [(name, a, min(a + blocks_per_task, blocks), start) for a in range(0, blocks, blocks_per_task)]
-        start += ids
-    schema = "name string, first int, last int, start long"
-    work = spark.createDataFrame(tasks, schema).repartition(max(1, min(len(tasks), 10_000))) if tasks else spark.createDataFrame([], schema)
+    files, start = [], 0
+    for row in sorted(manifest.select("shard", "name", "ids", "blocks").collect()):  # one small row for each file
+        files.append((row["name"], row["blocks"], start))
+        start += row["ids"]
+    work = spark.createDataFrame(files, "name string, blocks int, start long").withColumn("first", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)), F.lit(blocks_per_task))))
+    work = work.select("name", "first", F.least(F.col("first") + blocks_per_task, F.col("blocks")).alias("last"), "start")
+    tasks = sum(-(-max(1, f[1]) // blocks_per_task) for f in files)
+    work = work.repartition(max(1, min(tasks, 10_000)))
 
     def read(batches):
         store, base = open_store(folder)
@@ -259,14 +289,14 @@ def read_shards(manifest: DataFrame, folder: str, blocks_per_task: int = 16) ->
 
 
 def look_up(folder: str, manifest_rows: list, doc_id: int) -> np.ndarray | None:
-    """The ids of one document from the files named by the manifest's rows."""
+    """The ids of one document: the manifest's rows, in order, tell which file may have it."""
     store, base = open_store(folder)
-    for row in manifest_rows:
-        with store.open_input_file(f"{base}/{row['name']}") as file:
-            found = Reader(file).get(doc_id)
-        if found is not None:
-            return found
-    return None
+    first = [-(1 << 63) if r["first_id"] is None else r["first_id"] for r in manifest_rows]
+    at = bisect_right(first, doc_id) - 1
+    if at < 0 or manifest_rows[at]["last_id"] is None or manifest_rows[at]["last_id"] < doc_id:
+        return None
+    with store.open_input_file(f"{base}/{manifest_rows[at]['name']}") as file:
+        return Reader(file).get(doc_id)
 
 
 def round_trip(documents: DataFrame, folder: str | None = None) -> DataFrame:

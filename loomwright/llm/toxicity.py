@@ -7,8 +7,8 @@ the driver. A document is as toxic as its most toxic window: training first take
 document's label, then only each document's highest window, and a logistic curve fitted on a fold of labelled
 rows that the vectors never saw turns the highest window's logit into a score.
 
-Training reads a bounded sample: at most ``MOST_ROWS`` labelled rows of each class, of at most ``MOST_CHARS``
-characters each, those first in hash order. Scoring reads every whole text. As everything after the vectors is
+Training reads a bounded sample: at most ``MOST_ROWS`` labelled rows of each class, first in hash order among those
+whose text has 1 to ``MOST_CHARS`` characters. Scoring reads every whole text. As everything after the vectors is
 linear, a feature's vector is one number by then, and a word's number is kept by each worker process.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import spread
+from loomwright.llm.common import spread, written
 
 MOST_ROWS, MOST_CHARS = 1000, 20_000
 BUCKETS, DIMENSIONS, GRAMS = 1 << 16, 8, (3, 4, 5)
@@ -32,7 +32,7 @@ WINDOW = 8
 STEPS_ALL, STEPS_TOP, BATCH, RATE, SEED = 300, 300, 512, 0.3, 7
 INIT = 0.01
 THRESHOLD = 0.3
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -215,11 +215,15 @@ def train(documents: DataFrame, labels: DataFrame, held_out: int = 2) -> Model:
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = known.filter(bucket_of(F.col("doc_id")) != held_out).withColumn("_order", F.xxhash64("doc_id"))
-    # Candidates by hash order, twice as many as wanted as some have no text of the right length: a broadcast of 4 * MOST_ROWS ids at most.
-    chosen = [known.filter(F.col("_toxic") == label).orderBy("_order", "doc_id").limit(2 * MOST_ROWS) for label in (0, 1)]
+    # First the ids, of rows with a text of the right length, then these rows' texts: a broadcast of 2 * MOST_ROWS ids at most.
+    fitting = documents.filter(F.length("text").between(1, MOST_CHARS)).select("doc_id").join(known, "doc_id").distinct()
+    fitting = written(fitting, "labelled")
+    chosen = [fitting.filter(F.col("_toxic") == label).orderBy("_order", "doc_id").limit(MOST_ROWS) for label in (0, 1)]
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").filter(F.length("text").between(1, MOST_CHARS))
-    found = sorted(rows.collect(), key=lambda r: (r["_order"], r["doc_id"]))
-    sample = [r for label in (0, 1) for r in [r for r in found if r["_toxic"] == label][:MOST_ROWS]]
+    # Of rows that share a doc_id one is taken: the number of texts stays bounded.
+    found = rows.groupBy("doc_id", "_toxic", "_order").agg(F.min("text").alias("text")).collect()
+    found = sorted(found, key=lambda r: (r["_order"], r["doc_id"]))
+    sample = [r for label in (0, 1) for r in found if r["_toxic"] == label]
     ids = [r["doc_id"] for r in sample]
     return fit([r["text"] for r in sample], [r["_toxic"] for r in sample], [zlib.crc32(f"curve {i}".encode()) % 4 == 0 for i in ids])
 

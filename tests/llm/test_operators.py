@@ -159,7 +159,7 @@ def test_packing(docs, empty):
 def test_shards_of_ids_round_trip(spark, docs, empty, tmp_path):
     tool = token_ids.Encoder(token_ids.vocabulary_path("word_bpe_49k.json"), "words")
     folder = f"file://{tmp_path}"
-    manifest = sstable.write_shards(docs, folder, shard_rows=8)
+    manifest = sstable.write_shards(docs, folder, shard_bytes=4000)
     manifest = spark.createDataFrame(manifest.collect(), manifest.schema)
     assert manifest.count() > 2
     rows = collected(sstable.read_shards(manifest, folder, blocks_per_task=1))
@@ -176,10 +176,11 @@ def test_shards_of_ids_round_trip(spark, docs, empty, tmp_path):
         at += r["n_tokens"]
     known = [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"]) if r["doc_id"] is not None]
     assert known == sorted(known)
-    files = [r.asDict() for r in manifest.collect()]
+    files = sorted((r.asDict() for r in manifest.collect()), key=lambda r: r["shard"])
+    assert all(a["last_id"] is None or a["last_id"] < b["first_id"] for a, b in itertools.pairwise(files))
     assert sstable.look_up(folder, files, 10).tolist() == ids[10]
     assert sstable.look_up(folder, files, 60).tolist() == ids[60]
-    assert sstable.look_up(folder, files, 9999) is None
+    assert sstable.look_up(folder, files, 9999) is sstable.look_up(folder, files, -5) is sstable.look_up(folder, files, 15) is None
     assert sstable.round_trip(empty).count() == 0
 
 
@@ -674,3 +675,15 @@ def test_very_long_page():
     source = "<body><article>" + "".join(f"<p>part {i} <b>of</b> many</p>" for i in range(60_000)) + "</article></body>"
     text = html_extract.page_text(source, "http://h/x", set())
     assert text.count("\n") == 59_999 and text.endswith("part 59999 of many")
+
+
+def test_digest_index_look_up(spark):
+    index = exact_dedup.DigestIndex(spark)
+    rows = exact_dedup.with_digest(spark.range(2000).select(F.col("id").alias("rank"), F.concat(F.lit("Text "), F.col("id") % 700).alias("text")))
+    for run in range(3):
+        index.flush(rows.filter(F.col("rank") % 3 == run))
+    digests = [hashlib.sha256(t).digest() for t in (b"text 5", b"text 699", b"text 700")]
+    want = {(digests[0], 5, 3), (digests[1], 699, 2)}
+    for _ in range(2):  # from the runs, then from the compacted level
+        assert {(bytes(r["digest"]), r["rank"], r["n"]) for r in index.look_up(digests).collect()} == want
+        index.compact()
