@@ -20,7 +20,7 @@ import numpy as np
 import regex
 
 #: Chunks in each of the two generations that one worker process keeps: a bound on memory that changes no id.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 100_000
 _RUN = re.compile(r"\s\s")
 _MARKS = tuple(".,;:!?")
 _PLAIN = re.compile("[\n\x20-\x7e\u00a1-\u012f\u0131-\u024f]*")
