@@ -113,16 +113,21 @@ def similar_names(part: DataFrame) -> DataFrame:
     return similar_pairs(part.select("p_type", F.concat("p_name", F.lit(" "), F.lower("p_brand")).alias("name")))
 
 
+def similar_pairs(names: DataFrame) -> DataFrame:
+    """Rows a, b, ratio for the names (p_type, name) of one type."""
+    return close_pairs(names, LEAST_RATIO).select("a", "b", F.round("ratio", 4).alias("ratio")).filter("ratio >= 0.86")
+
+
 #: A ratio that rounds to 0.86 is more than this.
 LEAST_RATIO = 0.8599
 
 
-def shared_bigrams(size, other):
+def shared_bigrams(size, other, least_ratio: float = LEAST_RATIO):
     """Pairs of neighbouring characters, each counted as often as it occurs, that names of these lengths with such a ratio have in common at least.
 
     Each character left out of one name takes two of its pairs, each one put in takes one; the ratio bounds how many there are.
     """
-    changes = F.floor((size + other) * (1 - LEAST_RATIO))
+    changes = F.floor((size + other) * (1 - least_ratio))
     return F.ceil((size + other) / 2 - 1 - 1.5 * changes)
 
 
@@ -132,16 +137,16 @@ def bigrams(name):
     return F.transform(pairs, lambda x, k: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), k), lambda y: y == x)).cast("string")))
 
 
-def similar_pairs(names: DataFrame) -> DataFrame:
-    """Rows a, b, ratio for the names (p_type, name) of one type.
+def close_pairs(names: DataFrame, least_ratio: float) -> DataFrame:
+    """Rows p_type, a, b, ratio for the names (p_type, name) of one type, of at least ``least_ratio``.
 
     Names meet by the rarest of their bigrams: whoever shares as many as the ratio asks for has one in common among so many of them.
     """
     names = names.filter("length(name) > 1").distinct().withColumn("grams", bigrams(F.col("name")))
     size = F.length("name")
-    least = F.ceil(size * (LEAST_RATIO / (2 - LEAST_RATIO)))  # length of the shortest name that can be as similar
-    lengths = F.sequence(least, F.greatest(least, F.floor(size * ((2 - LEAST_RATIO) / LEAST_RATIO))))
-    fewest = F.greatest(F.lit(1), F.array_min(F.transform(lengths, lambda other: shared_bigrams(size, other))))
+    least = F.ceil(size * (least_ratio / (2 - least_ratio)))  # length of the shortest name that can be as similar
+    lengths = F.sequence(least, F.greatest(least, F.floor(size * ((2 - least_ratio) / least_ratio))))
+    fewest = F.greatest(F.lit(1), F.array_min(F.transform(lengths, lambda other: shared_bigrams(size, other, least_ratio))))
     names = names.withColumn("keys", F.size("grams") - fewest + 1)
     rows = names.select("*", F.explode("grams").alias("gram"))
     often = rows.groupBy("gram").agg(F.count("*").alias("n"))
@@ -151,11 +156,11 @@ def similar_pairs(names: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("key", F.explode("keys")).withColumn("key", F.struct("p_type", "key"))
     keyed = keyed.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")  # few bytes, but many pairs: not to be coalesced
     left, right = (keyed.select(*[F.col(c).alias(f"{c}_{x}") for c in keyed.columns]).withColumnRenamed(f"name_{x}", x) for x in "ab")
-    near = (F.col("size_a") + F.col("size_b")) * LEAST_RATIO <= 2 * F.least("size_a", "size_b")
+    near = (F.col("size_a") + F.col("size_b")) * least_ratio <= 2 * F.least("size_a", "size_b")
     pairs = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("a") < F.col("b")) & near)
     once = F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("key_a.key")  # a pair counts at the first key that both have
-    enough = once & (F.size(F.array_intersect("grams_a", "grams_b")) >= shared_bigrams(F.col("size_a"), F.col("size_b")))
-    return pairs.filter(enough).withColumn("ratio", F.round(S.indel_ratio("a", "b"), 4)).filter("ratio >= 0.86").select("a", "b", "ratio")
+    enough = once & (F.size(F.array_intersect("grams_a", "grams_b")) >= shared_bigrams(F.col("size_a"), F.col("size_b"), least_ratio))
+    return pairs.filter(enough).withColumn("ratio", S.indel_ratio("a", "b")).filter(F.col("ratio") >= least_ratio).select(F.col("key_a.p_type").alias("p_type"), "a", "b", "ratio")
 
 
 @pack.query(
