@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
@@ -29,14 +28,11 @@ def best_split(text: str, counts: dict[str, int], total: int) -> list[str]:
     return out[::-1]
 
 
-def segment(text: Column, counts: dict[str, int]) -> Column:
-    """Words of a compact text, joined by spaces, by the given unigram counts (a vocabulary of bounded size)."""
-    total = max(1, sum(counts.values()))
-
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: " ".join(best_split(x, counts, total)) if x else x)
-
-    return F.pandas_udf(split, StringType())(text)
+@F.pandas_udf(StringType())
+def segment(text: pd.Series, counts: pd.Series, total: pd.Series) -> pd.Series:
+    """Words of a compact text, joined by spaces, by the counts of its pieces (a map) and of all words."""
+    split = lambda x, c, t: " ".join(best_split(x, dict(c or {}), max(1, int(t)))) if x else x
+    return pd.Series([split(*row) for row in zip(text, counts, total, strict=True)], dtype=object)
 
 
 def common_length(a: str, b: str) -> int:

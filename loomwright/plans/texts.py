@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.plans.monitoring import D, now
 from loomwright.plans.registry import Pack
+from loomwright.plans.upkeep import close_pairs
 
 pack = Pack()
 QUERIES, ORACLE_SQL = pack.queries, pack.sql
@@ -196,14 +198,14 @@ def _lift():
     WITH w AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS word FROM documents), n AS (SELECT count(*) FILTER (WHERE doc_id % 4 = 0) AS recent, count(*) FILTER (WHERE doc_id % 4 != 0) AS base FROM documents),
     c AS (SELECT word, count(*) FILTER (WHERE doc_id % 4 = 0) AS recent, count(*) FILTER (WHERE doc_id % 4 != 0) AS base FROM w GROUP BY 1),
     l AS (SELECT word, c.recent, round((c.recent::DOUBLE / greatest(1, n.recent)) / ((c.base + 1)::DOUBLE / (n.base + 1)), 6) AS lift FROM c, n WHERE c.recent >= 5)
-    SELECT doc_id, word AS hot_word, lift, round(least(0.75, 0.35 + 0.1 * log2(recent / 5.0 + 1)), 4) AS weight FROM w JOIN l USING (word) WHERE lift >= 3 AND doc_id % 4 = 0
+    SELECT doc_id, word AS hot_word, lift, round(least(0.75, 0.35 + 0.1 * log2(recent / 5.0 + 1)), 4) AS weight FROM w JOIN l USING (word) WHERE lift >= 3
     QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lift DESC, word) = 1""",
 )
 def hot_word(documents: DataFrame) -> DataFrame:
-    """The word of each recent document that rose most, with its weight."""
+    """The word of each document that rose most, with its weight."""
     counts, sizes = _word_counts(documents)
     lifted = counts.crossJoin(F.broadcast(sizes)).withColumn("lift", F.round(_lift(), 6)).filter("lift >= 3").select("word", "recent", "lift")
-    words = documents.filter("doc_id % 4 = 0").select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    words = documents.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
     best = words.join(lifted, "word").groupBy("doc_id").agg(F.min_by(F.struct("word", "lift", "recent"), F.struct(-F.col("lift"), F.col("word"))).alias("b"))
     weight = F.round(F.least(F.lit(0.75), 0.35 + 0.1 * F.log2(F.col("b.recent") / 5.0 + 1)), 4)
     return best.select("doc_id", F.col("b.word").alias("hot_word"), F.col("b.lift").alias("lift"), weight.alias("weight"))
@@ -287,56 +289,94 @@ def surface_owner(benchmark: DataFrame) -> DataFrame:
     return w.groupBy("word").agg(F.min_by("item_id", F.struct(-F.col("size"), F.col("item_id"))).alias("owner"))
 
 
-#: Dictionary surfaces: every run of one to three words at the start of a benchmark item.
-_DICTIONARY = "SELECT DISTINCT n, array_to_string(w[1:n], ' ') AS surface FROM (SELECT regexp_extract_all(lower(text), '[a-z]{2,}') AS w, unnest([1, 2, 3]) AS n FROM benchmark) WHERE len(w) >= n AND (n > 1 OR length(w[1]) >= 5)"
+#: Words of a surface at most, and letters of a surface of one word at least.
+MOST_SURFACE_WORDS, LEAST_LETTERS = 6, 5
+#: Dictionary surfaces: the phrases between the marks of benchmark items, of one to six words.
+_PHRASES = f"""ph AS (SELECT DISTINCT item_id, regexp_extract_all(p, '[a-z]{{2,}}') AS w FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[.,;:!?\\n]+')) AS p FROM benchmark)),
+    pl AS (SELECT DISTINCT item_id, len(w) AS n, array_to_string(w, ' ') AS surface FROM ph WHERE len(w) BETWEEN 1 AND {MOST_SURFACE_WORDS} AND (len(w) > 1 OR length(w[1]) >= {LEAST_LETTERS})), s AS (SELECT DISTINCT n, surface FROM pl)"""
+_FOUND = f"""d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
+    o AS (SELECT doc_id, pos, n, surface FROM (SELECT doc_id, pos, unnest([1, 2, 3, 4, 5, 6]) AS n, w FROM g) x JOIN s USING (n) WHERE pos + n - 1 <= len(w) AND array_to_string(w[pos : pos + n - 1], ' ') = surface)"""
+
+
+def payloads(benchmark: DataFrame) -> DataFrame:
+    """item_id, n and surface: what each surface stands for. Several items may have one surface."""
+    phrases = benchmark.select("item_id", F.explode(F.split(F.lower("text"), "[.,;:!?\n]+")).alias("p")).select("item_id", T.words(F.col("p")).alias("w"))
+    n = F.size("w")
+    phrases = phrases.filter(n.between(1, MOST_SURFACE_WORDS) & ((n > 1) | (F.length(F.get("w", F.lit(0))) >= LEAST_LETTERS)))
+    return phrases.select("item_id", n.alias("n"), F.array_join("w", " ").alias("surface")).distinct()
 
 
 def dictionary(benchmark: DataFrame) -> DataFrame:
-    w = benchmark.select(T.words(F.col("text")).alias("w"), F.explode(F.array(*[F.lit(n) for n in (1, 2, 3)])).alias("n"))
-    w = w.filter((F.size("w") >= F.col("n")) & ((F.col("n") > 1) | (F.length(F.get("w", F.lit(0))) >= 5)))
-    return w.select("n", F.array_join(F.slice("w", F.lit(1), F.col("n")), " ").alias("surface")).distinct()
+    return payloads(benchmark).select("n", "surface").distinct()
 
 
 def occurrences(documents: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """Every place where a surface of one to three words occurs: doc_id, at, n, surface. The dictionary is small by nature; Spark decides how to join it."""
+    """Every place where a surface occurs: doc_id, at, n, surface.
+
+    A place asks for surfaces that begin with its next two words, or are its one word; only there the following words are compared. Whatever the
+    longest surface is, a place makes two rows, of six words at most.
+    """
     d = documents.select("doc_id", T.words(F.col("text")).alias("w")).withColumn("at", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))))
-    d = d.withColumn("n", F.explode(F.array(*[F.lit(n) for n in (1, 2, 3)]))).filter(F.col("at") + F.col("n") <= F.size("w"))
-    token = lambda k: F.get("w", F.col("at") + k)
-    gram = F.when(F.col("n") == 1, token(0)).when(F.col("n") == 2, F.concat_ws(" ", token(0), token(1))).otherwise(F.concat_ws(" ", token(0), token(1), token(2)))
-    return d.select("doc_id", "at", "n", gram.alias("surface")).join(surfaces, ["n", "surface"])
+    one, two = F.get("w", F.col("at")), F.concat_ws(" ", F.get("w", F.col("at")), F.get("w", F.col("at") + 1))
+    keys = F.array(one, F.when(F.col("at") + 1 < F.size("w"), two))
+    places = d.select("doc_id", "at", F.slice("w", F.col("at") + 1, F.lit(MOST_SURFACE_WORDS)).alias("ahead"), F.explode(F.array_compact(keys)).alias("key"))
+    begins = F.when(F.col("n") == 1, F.col("surface")).otherwise(F.substring_index("surface", " ", 2))
+    found = places.join(surfaces.withColumn("key", begins), "key")
+    same = (F.col("n") <= 2) | (F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ") == F.col("surface"))
+    return found.filter(same).select("doc_id", "at", "n", "surface")
 
 
-@pack.query(
-    "documents", "benchmark",
-    sql=f"""
-    WITH s AS ({_DICTIONARY}), d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
-    o AS (SELECT doc_id, pos, n FROM (SELECT doc_id, pos, unnest([1, 2, 3]) AS n, w FROM g) x JOIN s USING (n) WHERE pos + n - 1 <= len(w) AND array_to_string(w[pos : pos + n - 1], ' ') = surface)
-    SELECT doc_id, sum(n)::BIGINT AS words, count(*) AS n_matches FROM (SELECT doc_id, pos, max(n) AS n FROM o GROUP BY ALL) GROUP BY doc_id""",
-)
+@pack.query("documents", "benchmark", sql=f"WITH {_PHRASES}, {_FOUND} SELECT doc_id, sum(n)::BIGINT AS words, count(*) AS n_matches FROM (SELECT doc_id, pos, max(n) AS n FROM o GROUP BY ALL) GROUP BY doc_id")
 def dict_candidates(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Longest dictionary match at each place, counted for each document."""
     longest = occurrences(documents, dictionary(benchmark)).groupBy("doc_id", "at").agg(F.max("n").alias("n"))
     return longest.groupBy("doc_id").agg(F.sum("n").alias("words"), F.count("*").alias("n_matches"))
 
 
-@pack.query("documents", "benchmark")
+def left_to_right(matches: DataFrame) -> DataFrame:
+    """Of matches (doc_id, at, n, surface) those that a sweep keeps: the longest of those that begin first, then none that overlaps it.
+
+    Documents are sorted inside partitions and swept as they stream by, so a document with very many matches is never gathered.
+    """
+
+    def sweep(batches):
+        document, upto = None, 0
+        for batch in batches:
+            kept = []
+            for k, (doc_id, at, n) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", "at", "n")), strict=True)):
+                if doc_id != document:
+                    document, upto = doc_id, 0
+                if at >= upto:
+                    kept.append(k)
+                    upto = at + n
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    dealt = matches.select("doc_id", "at", "n", "surface").repartition("doc_id").sortWithinPartitions("doc_id", "at", F.desc("n"))
+    return dealt.mapInArrow(sweep, "doc_id long, at int, n int, surface string")
+
+
+_SWEPT = f"""RECURSIVE {_PHRASES}, {_FOUND}, l AS (SELECT doc_id, pos - 1 AS p0, max(n) AS n, arg_max(surface, n) AS surface FROM o GROUP BY doc_id, pos),
+    x AS (SELECT l.*, k.p0 AS following FROM l ASOF LEFT JOIN (SELECT doc_id, p0 FROM l) k ON l.doc_id = k.doc_id AND l.p0 + l.n <= k.p0),
+    r AS (SELECT * FROM x WHERE (doc_id, p0) IN (SELECT (doc_id, min(p0)) FROM x GROUP BY doc_id) UNION ALL SELECT x.* FROM r JOIN x ON r.doc_id = x.doc_id AND r.following = x.p0)"""
+
+
+@pack.query("documents", "benchmark", sql=f"WITH {_SWEPT} SELECT doc_id, p0::INT AS \"at\", n::INT AS n, surface FROM r")
 def dict_longest_match(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Dictionary matches from left to right: of those that begin first the longest, then none that overlaps it."""
-    longest = occurrences(documents, dictionary(benchmark)).groupBy("doc_id", "at").agg(F.max_by(F.struct("n", "surface"), "n").alias("m"))
-    ordered = longest.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", F.col("m.n").alias("n"), F.col("m.surface").alias("surface")))).alias("all"))
-    start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<at:int,n:int,surface:string>>").alias("kept"))
-    sweep = F.aggregate(
-        "all", start, lambda a, x: F.when(x["at"] >= a["upto"], F.struct((x["at"] + x["n"]).alias("upto"), F.array_append(a["kept"], x).alias("kept"))).otherwise(a), lambda a: a["kept"]
-    )
-    return ordered.select("doc_id", F.inline(sweep))
+    return left_to_right(occurrences(documents, dictionary(benchmark)))
+
+
+@pack.query("documents", "benchmark", sql=f"WITH {_SWEPT} SELECT item_id, count(*) AS n_matches, count(DISTINCT doc_id) AS documents FROM r JOIN pl USING (surface) GROUP BY item_id")
+def dict_payloads(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What the kept matches stand for: all items of a surface count."""
+    found = left_to_right(occurrences(documents, dictionary(benchmark))).groupBy("surface", "doc_id").agg(F.count("*").alias("c"))
+    named = found.join(payloads(benchmark).select("item_id", "surface"), "surface")
+    return named.groupBy("item_id").agg(F.sum("c").alias("n_matches"), F.count_distinct("doc_id").alias("documents"))
 
 
 @pack.query(
     "documents", "benchmark",
-    sql=f"""
-    WITH s AS ({_DICTIONARY}), d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
-    common AS (SELECT word FROM (SELECT DISTINCT doc_id, unnest(w) AS word FROM d) GROUP BY 1 HAVING count(*) > 0.05 * (SELECT count(*) FROM documents)),
-    o AS (SELECT doc_id, surface, n FROM (SELECT doc_id, pos, unnest([1, 2, 3]) AS n, w FROM g) x JOIN s USING (n) WHERE pos + n - 1 <= len(w) AND array_to_string(w[pos : pos + n - 1], ' ') = surface)
+    sql=f"""WITH {_PHRASES}, {_FOUND}, common AS (SELECT word FROM (SELECT DISTINCT doc_id, unnest(w) AS word FROM d) GROUP BY 1 HAVING count(*) > 0.05 * (SELECT count(*) FROM documents))
     SELECT surface, count(DISTINCT doc_id) AS documents, count(*) AS n_matches FROM o WHERE n > 1 OR surface NOT IN (SELECT word FROM common) GROUP BY surface""",
 )
 def trend_match(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -348,30 +388,74 @@ def trend_match(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.groupBy("surface").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("n_matches"))
 
 
+@pack.query(
+    "documents", "benchmark",
+    sql=f"""WITH {_PHRASES}, total AS (SELECT count(*) AS t FROM benchmark), df AS (SELECT word, count(DISTINCT item_id) AS c FROM (SELECT item_id, unnest({_WORDS}) AS word FROM benchmark) GROUP BY 1),
+    common AS (SELECT word FROM df, total WHERE c > 0.3 * t), stop AS (SELECT word FROM df, total WHERE c > 0.8 * t), first AS (SELECT item_id, array_to_string({_WORDS}[1:1], '') AS label, length(text) AS links FROM benchmark),
+    q AS (SELECT pl.*, links, string_split(surface, ' ') AS ws, surface = label AS is_label FROM pl JOIN first USING (item_id)),
+    li AS (SELECT coalesce((SELECT list(word) FROM stop), []) AS ls, coalesce((SELECT list(word) FROM common), []) AS lc),
+    f AS (SELECT q.*, len(list_filter(ws, lambda x: NOT list_contains(ls, x))) = 0 AS stops, len(list_filter(ws, lambda x: NOT list_contains(lc, x))) = 0 AS ordinary FROM q, li),
+    k AS (SELECT surface, item_id, links, n = 1 OR ordinary AS name_only FROM f WHERE n <= 5 AND length(replace(surface, ' ', '')) >= 4 AND len(list_filter(ws, lambda x: length(x) >= 3)) > 0 AND NOT stops
+      AND NOT (n = 1 AND (ordinary OR (item_id % 2 = 0 AND NOT is_label))) AND NOT (n > 1 AND ordinary AND NOT is_label))
+    SELECT surface, item_id AS owner, name_only FROM k QUALIFY row_number() OVER (PARTITION BY surface ORDER BY links DESC, item_id) = 1""",
+)
+def gazetteer(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The surfaces that a dictionary of named things keeps, and the best-known item of each: none of stop words alone, no single common word, no bare part
+    of a person's name, no phrase of ordinary words that isn't the item's own label; which ones count in names only."""
+    words = benchmark.select("item_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    rated = words.crossJoin(F.broadcast(benchmark.agg(F.count("*").alias("t")))).select("word", (F.col("c") > 0.3 * F.col("t")).alias("common"), (F.col("c") > 0.8 * F.col("t")).alias("stop"))  # one row of totals
+    items = benchmark.select("item_id", F.get(T.words(F.col("text")), F.lit(0)).alias("label"), F.length("text").alias("links"))
+    rows = payloads(benchmark).join(items, "item_id").withColumn("is_label", F.col("surface") == F.col("label"))
+    judged = rows.select("surface", "n", F.explode(F.split("surface", " ")).alias("word")).distinct().join(rated, "word").groupBy("surface").agg(F.bool_and("stop").alias("stops"), F.bool_and("common").alias("ordinary"), F.max(F.length("word")).alias("longest"))
+    rows = rows.join(judged, "surface").filter((F.col("n") <= 5) & (F.length(F.replace("surface", F.lit(" "), F.lit(""))) >= 4) & (F.col("longest") >= 3) & ~F.col("stops"))
+    single, person = F.col("n") == 1, F.col("item_id") % 2 == 0
+    rows = rows.filter(~(single & (F.col("ordinary") | (person & ~F.col("is_label")))) & ~(~single & F.col("ordinary") & ~F.col("is_label")))
+    best = F.min_by(F.struct(F.col("item_id").alias("owner"), (single | F.col("ordinary")).alias("name_only")), F.struct(-F.col("links"), F.col("item_id"))).alias("b")
+    return rows.groupBy("surface").agg(best).select("surface", "b.owner", "b.name_only")
+
+
+_VARIANTS = """n AS (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' two' WHEN 2 THEN 's' ELSE 'x' END AS name, CASE WHEN p_partkey % 3 = 0 THEN upper(left(split_part(p_name, ' ', 2), 4)) ELSE 'ZZZ' END AS ticker FROM part)"""
+
+
 @pack.query(
     "part",
-    sql="""
-    WITH i AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 7 = 0), n AS (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' two' WHEN 2 THEN 's' ELSE 'x' END AS name FROM part),
-    s AS (SELECT p_partkey, p_name AS item, 0.85 AS w FROM n JOIN i ON name = p_name
-      UNION ALL SELECT p_partkey, p_name, 0.55 FROM n JOIN i ON name LIKE p_name || ' %'
-      UNION ALL SELECT p_partkey, p_name, 0.5 FROM n JOIN i ON string_split(name, ' ')[1] = string_split(p_name, ' ')[1] AND name != p_name AND levenshtein(name, p_name) <= 1)
-    SELECT p_partkey, item, round(v, 6) AS score FROM (SELECT p_partkey, item, 1 - product(1 - w) AS v FROM s GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY v DESC, item) <= 5""",
+    sql=f"""WITH {_VARIANTS}, i AS (SELECT DISTINCT p_name AS item, replace(p_name, ' ', '') AS y, upper(left(split_part(p_name, ' ', 2), 4)) || length(split_part(p_name, ' ', 1)) AS symbol FROM part),
+    u AS (SELECT DISTINCT name, replace(name, ' ', '') AS x, ticker || length(split_part(name, ' ', 1)) AS ticker FROM n), c AS (SELECT * FROM u, i),
+    lc AS (SELECT *, list_last(list_reduce(list_transform(string_split(x, ''), lambda c: [ascii(c)::BIGINT]), lambda acc, c: list_reduce(list_transform(range(1, length(y) + 1), lambda j: [j::BIGINT]),
+        lambda row, j: list_append(row, CASE WHEN ascii(y[j[1]]) = c[1] THEN acc[j[1]] + 1 ELSE greatest(acc[j[1] + 1], row[j[1]]) END), [0::BIGINT]), list_transform(range(0, length(y) + 1), lambda j: 0::BIGINT))) AS common FROM c),
+    g AS (SELECT name, ticker, item, CASE WHEN x = y THEN 0.85 WHEN length(y) >= 4 AND contains(x, y) AND length(x) <= length(y) + 12 THEN 0.55 WHEN length(x) >= 4 AND 2.0 * common / (length(x) + length(y)) >= 0.86 THEN 0.5 ELSE 0 END AS by_name,
+        CASE WHEN ticker = symbol THEN 0.75 ELSE 0 END AS by_ticker FROM lc),
+    k AS (SELECT name, ticker, item, 1 - (1 - by_name) * (1 - by_ticker) AS s FROM g WHERE (by_name > 0 OR by_ticker > 0) AND (1 - (1 - by_name) * (1 - by_ticker) >= 0.7 OR (by_name > 0 AND by_ticker > 0) OR by_name = 0.85)),
+    t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY name, ticker ORDER BY round(s, 8) DESC, item) <= 5)
+    SELECT p_partkey, item, round(s, 6) AS score FROM n JOIN t ON n.name = t.name AND n.ticker || length(split_part(n.name, ' ', 1)) = t.ticker""",
 )
 def known_item_match(part: DataFrame) -> DataFrame:
-    """Names matched with known items, exactly, by leading words and nearly; signals combine, five items at most for each name."""
-    items = part.filter("p_partkey % 7 = 0").select(F.col("p_name").alias("item")).distinct()
+    """Names and tickers matched with known items: the same ticker, and the best of equal, contained and close names; signals combine, weak single ones go, five items at most for each name.
+
+    Distinct names are matched, not rows. Containment meets through the pieces of a name, close spellings through rare pairs of letters, so no two lists are crossed.
+    """
     rest = F.col("p_partkey") % 4
-    names = part.select("p_partkey", F.concat("p_name", F.when(rest == 0, "").when(rest == 1, " two").when(rest == 2, "s").otherwise("x")).alias("name"))
-    exact = names.join(items, F.col("name") == F.col("item")).withColumn("w", F.lit(0.85))
-    leading = names.withColumn("head", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("name", " "))), lambda n: F.array_join(F.slice(F.split("name", " "), F.lit(1), n), " "))))
-    contained = leading.filter("head != name").join(items, F.col("head") == F.col("item")).drop("head").withColumn("w", F.lit(0.55))
-    first = F.split_part("name", F.lit(" "), F.lit(1))
-    close = names.withColumn("block", first).join(items.withColumn("block", F.split_part("item", F.lit(" "), F.lit(1))), "block")
-    close = close.filter((F.col("name") != F.col("item")) & (F.levenshtein("name", "item") <= 1)).drop("block").withColumn("w", F.lit(0.5))
-    signals = exact.unionByName(contained).unionByName(close)
-    scored = signals.groupBy("p_partkey", "item").agg((1 - F.product(1 - F.col("w"))).alias("s"))
-    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("s"), "item"))).filter("n <= 5")
-    return best.select("p_partkey", "item", F.round("s", 6).alias("score"))
+    noun = lambda c: F.upper(F.left(F.split_part(c, F.lit(" "), F.lit(2)), F.lit(4)))
+    size = lambda c: F.length(F.split_part(c, F.lit(" "), F.lit(1))).cast("string")
+    rows = part.select("p_partkey", F.concat("p_name", F.when(rest == 0, "").when(rest == 1, " two").when(rest == 2, "s").otherwise("x")).alias("name"), F.when(F.col("p_partkey") % 3 == 0, noun(F.col("p_name"))).otherwise("ZZZ").alias("ticker"))
+    rows = rows.withColumn("ticker", F.concat("ticker", size(F.col("name"))))
+    names = rows.select("name", "ticker").distinct().withColumn("x", F.replace("name", F.lit(" "), F.lit("")))
+    items = part.select(F.col("p_name").alias("item")).distinct().select("item", F.replace("item", F.lit(" "), F.lit("")).alias("y"), F.concat(noun(F.col("item")), size(F.col("item"))).alias("symbol"))
+    compacts = names.select("x").distinct()
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("x") - 3, F.lit(1))))
+    pieces = compacts.withColumn("a", starts).withColumn("l", F.explode(F.sequence(F.lit(4), F.greatest(F.length("x") - F.col("a") + 1, F.lit(4)))))
+    pieces = pieces.select("x", F.substring(F.col("x"), F.col("a"), F.col("l")).alias("y")).distinct()
+    contained = pieces.join(items, "y").filter((F.length("x") <= F.length("y") + 12) & (F.length("y") >= 4)).select("x", "item", F.when(F.col("x") == F.col("y"), 0.85).otherwise(0.55).alias("w"))
+    spelled = compacts.select(F.lit("").alias("p_type"), F.col("x").alias("name")).union(items.select(F.lit(""), "y"))
+    close = close_pairs(spelled, 0.86)
+    close = close.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))).filter("length(x) >= 4")
+    close = close.join(compacts, "x", "left_semi").join(items, "y").select("x", "item", F.lit(0.5).alias("w"))
+    by_name = contained.unionByName(close).groupBy("x", "item").agg(F.max("w").alias("by_name")).join(names, "x").select("name", "ticker", "item", "by_name")
+    by_ticker = names.join(items, F.col("ticker") == F.col("symbol")).select("name", "ticker", "item", F.lit(0.75).alias("by_ticker"))
+    both = by_name.join(by_ticker, ["name", "ticker", "item"], "full").fillna(0.0, ["by_name", "by_ticker"]).withColumn("s", 1 - (1 - F.col("by_name")) * (1 - F.col("by_ticker")))
+    both = both.filter((F.col("s") >= 0.7) | ((F.col("by_name") > 0) & (F.col("by_ticker") > 0)) | (F.col("by_name") == 0.85))
+    best = both.withColumn("n", F.row_number().over(Window.partitionBy("name", "ticker").orderBy(F.round("s", 8).desc(), "item"))).filter("n <= 5")
+    return rows.join(best.select("name", "ticker", "item", "s"), ["name", "ticker"]).select("p_partkey", "item", F.round("s", 6).alias("score"))
 
 
 @pack.query(

@@ -14,7 +14,6 @@ QUERIES, ORACLE_SQL = pack.queries, pack.sql
 
 #: How long each kind of row counts as fresh, in hours.
 TTL = {"view": 6, "click": 12, "signup": 168, "purchase": 720, "error": 1}
-MOST_WORDS = 100_000
 
 
 @pack.query("events", sql="SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS used, greatest(count(*) - 2, 0) AS refused FROM events GROUP BY ALL HAVING count(*) > 2")
@@ -102,9 +101,19 @@ def search(orders: DataFrame, status=None, since=None, until=None, priorities=No
 def segment_words(part: DataFrame) -> DataFrame:
     """Names without spaces cut into words again, by how often the table's words occur."""
     words = part.select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    counts = {r["w"]: r["n"] for r in words.orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()}  # a vocabulary of bounded size
-    names = part.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("compact")).distinct()
-    return names.select("compact", S.segment(F.col("compact"), counts).alias("words"))
+    return split_names(part.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("compact")), words)
+
+
+def split_names(names: DataFrame, words: DataFrame) -> DataFrame:
+    """compact and words of each distinct name, by a table of words (w, n) of any size: each name asks for the counts of its own pieces."""
+    names = names.distinct()
+    starts = F.explode(F.sequence(F.lit(1), F.length("compact")))
+    pieces = names.filter("compact != ''").withColumn("a", starts).withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(S.LONGEST), F.length("compact") - F.col("a") + 1))))
+    pieces = pieces.select("compact", F.substring(F.col("compact"), F.col("a"), F.col("l")).alias("w")).distinct()
+    known = pieces.join(words, "w").groupBy("compact").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("counts"))  # one entry for each piece of a name at most
+    total = words.agg(F.sum("n").alias("total"))
+    rows = names.join(known, "compact", "left").crossJoin(F.broadcast(total))  # one row
+    return rows.select("compact", S.segment(F.col("compact"), F.col("counts"), F.coalesce("total", F.lit(1))).alias("words"))
 
 
 @pack.query("part")

@@ -83,7 +83,7 @@ def test_empty_events(spark):
 
 def test_longest_match_sweeps_from_the_left(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta beta gamma"), (2, None), (3, "")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "beta gamma delta"), (2, "alpha beta rest"), (3, "gamma more")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, "beta gamma delta echo, gamma"), (2, "alpha beta! rest"), (3, "beta gamma; more")], "item_id long, text string")
     got = [(r["at"], r["n"], r["surface"]) for r in texts.dict_longest_match(docs, bench).orderBy("at").collect()]
     assert got == [(0, 2, "alpha beta"), (2, 1, "gamma"), (4, 2, "beta gamma")]
 
