@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomwright.plans import evidence, histories, judgement, kinship, monitoring, naming, tables, texts, upkeep, vectors
+from loomwright.plans import evidence, histories, judgement, kinship, monitoring, naming, signals, tables, texts, upkeep, vectors
 from loomwright.streaming import events
 
-_PACKS = (monitoring, histories, texts, evidence, judgement, vectors, upkeep, kinship, naming, tables, events)
+_PACKS = (monitoring, histories, texts, evidence, judgement, vectors, upkeep, kinship, naming, tables, signals, events)
 
 QUERIES = {name: query for pack in _PACKS for name, query in pack.QUERIES.items()}
 ORACLE_SQL = {name: sql for pack in _PACKS for name, sql in pack.ORACLE_SQL.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.operators import trailing
+from loomwright.operators.earliest import earliest
 from loomwright.operators.trailing import SECOND, micros
 from loomwright.plans.monitoring import D, latest, now, within
 from loomwright.plans.registry import Pack
@@ -190,8 +191,15 @@ def namesakes(events: DataFrame) -> DataFrame:
 )
 def link_reuse(events: DataFrame) -> DataFrame:
     """How many others share a key, the place among them, and when it was first seen."""
-    k = Window.partitionBy("user_id", "event_type")
-    return events.select("event_id", (F.count("*").over(k) - 1).alias("others"), F.rank().over(k.orderBy("ts")).cast("long").alias("place"), F.min("ts").over(k).alias("first_seen"))
+    # Counted by day first: a key's days are few rows, and its rows are ordered inside a day only.
+    keys = ["user_id", "event_type"]
+    rows = events.select("event_id", "ts", *keys, F.to_date("ts").alias("day"))
+    days = rows.groupBy(*keys, "day").agg(F.count("*").alias("n"), F.min("ts").alias("least"))
+    k = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("n").over(k.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(*keys, "day", before.alias("before"), F.sum("n").over(k).alias("total"), F.min("least").over(k).alias("first_seen"))
+    ranked = rows.withColumn("inside", F.rank().over(Window.partitionBy(*keys, "day").orderBy("ts"))).join(days, [*keys, "day"])
+    return ranked.select("event_id", (F.col("total") - 1).alias("others"), (F.col("before") + F.col("inside")).cast("long").alias("place"), "first_seen")
 
 
 @pack.query(
@@ -231,10 +239,15 @@ def category_waves(events: DataFrame) -> DataFrame:
 def lineage_kind(events: DataFrame) -> DataFrame:
     """Each row's original (the earliest of its key in 30 days that is over 300 seconds older) and what kind of copy it is."""
     keys = ["user_id", "event_type"]
-    earlier = Window.partitionBy(*keys).orderBy(micros("ts")).rangeBetween(-30 * 86_400 * SECOND, -301 * SECOND)
-    recent = Window.partitionBy(*keys).orderBy(micros("ts")).rangeBetween(-86_400 * SECOND, -1)
-    e = events.withColumns({"original": F.first("event_id").over(earlier), "at": F.first("ts").over(earlier), "rank": F.count("*").over(recent) + 1})
-    age = micros("ts") - micros("at")
+    grp = F.concat_ws("/", F.col("user_id").cast("string"), "event_type")
+    first = earliest(events.select(F.col("event_id").alias("id"), micros("ts").alias("at"), grp.alias("grp")), 30).select(F.col("id").alias("event_id"), "first")
+    dealt = trailing.sliced(events.select("event_id", "ts", *keys), "ts", 86_400)
+    ranks = trailing.own(dealt.withColumn("rank", F.count("*").over(trailing.window(keys, 86_400, -1)) + 1)).select("event_id", "ts", "rank")
+    e = ranks.join(first, "event_id")
+    gap = micros("ts") - F.col("first.at")
+    old = gap >= 301 * SECOND
+    e = e.select("event_id", "rank", F.when(old, -F.col("first.other")).alias("original"), F.when(old, gap).alias("age"))
+    age = F.col("age")
     kind = (
         F.when(F.col("original").isNull(), "original")
         .when((F.col("rank") >= 11) | (age > 86_400 * SECOND), "late_copy")
@@ -282,7 +295,13 @@ def trend_best_recent(events: DataFrame) -> DataFrame:
 def list_merge(events: DataFrame) -> DataFrame:
     """Hourly ranked lists merged: best, first and last place of each entry and where it is going."""
     hourly = events.filter(within(72)).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "user_id").agg(F.max("value").alias("v"))
-    ranked = hourly.withColumn("place", F.row_number().over(Window.partitionBy("hour").orderBy(F.desc("v"), "user_id")).cast("long"))
+    # A list is ranked in bands of value, so that no hour is ordered in one task.
+    hourly = hourly.withColumn("band", F.floor("v"))
+    bands = hourly.groupBy("hour", "band").agg(F.count("*").alias("n"))
+    above = Window.partitionBy("hour").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select("hour", "band", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    inside = F.row_number().over(Window.partitionBy("hour", "band").orderBy(F.desc("v"), "user_id"))
+    ranked = hourly.withColumn("inside", inside).join(bands, ["hour", "band"]).withColumn("place", (F.col("above") + F.col("inside")).cast("long"))
     merged = ranked.groupBy("user_id").agg(
         F.min("place").alias("best"), F.count("*").alias("hours"), F.min_by("place", "hour").alias("first_place"), F.max_by("place", "hour").alias("last_place"), F.max("hour").alias("last_hour")
     )

@@ -1,13 +1,12 @@
 """Structured Streaming forms of usage counters, waves, deduplication and the circuit breaker.
 
-Each query drains what is there (``availableNow``) from a directory of files and returns the result table. State is keyed and
-bounded by watermarks or by the number of keys; checkpoints go to the shared folder.
+Each query drains what is there (``availableNow``) from a directory of files and returns the result as a table in the shared folder, where
+checkpoints go too. State is keyed; keys that are quiet for longer than ``QUIET`` lose theirs by event time.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomwright.plans.registry import Pack
+from loomwright.sources.scratch import new_folder
 
 pack = Pack()
 QUERIES, ORACLE_SQL = pack.queries, pack.sql
@@ -30,13 +30,50 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over what is there and returns its result table; for results of bounded size."""
+    """Runs the stream over what is there and returns its result, written by the executors. In ``complete`` mode every batch replaces the table; in ``append`` mode it adds to it."""
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomwright-stream-")).rstrip("/")
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/{name}").start()
+    out, checkpoint = new_folder(spark, "stream-result"), new_folder(spark, "stream-checkpoint")
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint)
+    if mode == "append":
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return spark.table(name)
+    try:
+        return spark.read.schema(stream.schema).parquet(out)
+    except Exception as error:  # noqa: BLE001  a stream without files has written nothing
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], stream.schema)
+
+
+#: After so long without a row a key's state goes.
+QUIET = "60 days"
+
+
+def keyed(events: DataFrame, start: tuple, advance: Callable, emitted: str, state: str) -> DataFrame:
+    """A state for each user, moved on by every row in order of time: ``advance(state, row)`` gives the next state and None or a row (without the user) to emit.
+
+    Rows are ordered inside a micro-batch, whose size bounds what one user's rows take; a row that comes in a later batch than its time is taken as it comes.
+    """
+    names = [x.split()[0] for x in emitted.split(", ")]
+
+    def work(key, frames, held: GroupState):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        now, out = held.get if held.exists else start, []
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for row in rows.itertuples():
+            now, found = advance(now, row)
+            if found is not None:
+                out.append((key[0], *found))
+        held.update(now)
+        held.setTimeoutTimestamp(held.getCurrentWatermarkMs() + int(pd.Timedelta(QUIET).total_seconds() * 1000))
+        yield pd.DataFrame(out, columns=["user_id", *names])
+
+    rows = events.withWatermark("at", "1 day").select("user_id", "event_id", "event_type", "value", "ts", "at")
+    return rows.groupBy("user_id").applyInPandasWithState(work, f"user_id long, {emitted}", state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def hourly_usage(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -58,21 +95,57 @@ def single_flight(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
 
 
-def breaker(events: DataFrame, failures: int = 3) -> DataFrame:
-    """When each user's circuit opens: at the ``failures``-th failure in a row. The state is the length of the current run."""
+def reuse_flight(events: DataFrame, hours: int = 12) -> DataFrame:
+    """Requests that start work: those of a user within ``hours`` of the last that did are answered by it."""
+
+    def advance(last, row):
+        at = row.ts.value // 1000
+        if last[0] is not None and at - last[0] <= hours * 3_600_000_000:
+            return last, None
+        return (at,), (row.event_id,)
+
+    return keyed(events, (None,), advance, "event_id long", "last long")
+
+
+def failing(kind: str) -> bool:
+    return kind in ("error", "click")
 
-    def count(key, frames, state: GroupState):
-        run = state.get[0] if state.exists else 0
-        opened = []
-        for row in pd.concat(list(frames)).sort_values("at").itertuples():
-            run = run + 1 if row.event_type == "error" else 0
-            if run == failures:
-                opened.append(row.ts)
-        state.update((run,))
-        yield pd.DataFrame({"user_id": pd.Series([key[0]] * len(opened), dtype="int64"), "opened": pd.Series(opened, dtype="datetime64[ns]")})
 
-    rows = events.select("user_id", "event_type", "ts", "at")
-    return rows.groupBy("user_id").applyInPandasWithState(count, "user_id long, opened timestamp_ntz", "run int", "append", GroupStateTimeout.NoTimeout)
+def breaker(events: DataFrame, failures: int = 5, cooldown_hours: int = 48) -> DataFrame:
+    """When each user's circuit opens: at the ``failures``-th failure in a row. While it is open calls are refused and change nothing; the first call after the
+    cooldown is a probe, which closes the circuit or opens it again."""
+
+    def advance(state, row):
+        run, until = state
+        at = row.ts.value // 1000
+        if at < until:
+            return state, None
+        if not failing(row.event_type):
+            return (0, 0), None
+        if run + 1 < failures:
+            return (run + 1, 0), None
+        return (run + 1, at + cooldown_hours * 3_600_000_000), (row.ts, run >= failures)
+
+    return keyed(events, (0, 0), advance, "opened timestamp_ntz, reopened boolean", "run int, until long")
+
+
+def job_states(events: DataFrame, attempts: int = 3) -> DataFrame:
+    """A job for each user: a view enqueues it, a click claims it, an error fails the claim (back to waiting until ``attempts`` are used up), a purchase completes it. Emits how jobs end."""
+
+    def advance(job, row):
+        state, tried = job
+        kind = row.event_type
+        if kind == "view" and state == "none":
+            return ("waiting", 0), None
+        if kind == "click" and state == "waiting":
+            return ("running", tried + 1), None
+        if kind == "purchase" and state == "running":
+            return ("none", 0), (row.ts, "done", tried)
+        if kind == "error" and state == "running":
+            return (("none", 0), (row.ts, "failed", tried)) if tried >= attempts else (("waiting", tried), None)
+        return job, None
+
+    return keyed(events, ("none", 0), advance, "ended timestamp_ntz, outcome string, attempts int", "state string, tried int")
 
 
 def _register(name, stream, mode, sql):
@@ -91,8 +164,32 @@ _register(
     time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01')::TIMESTAMP + INTERVAL 24 HOUR, INTERVAL 6 HOUR)) AS until, event_type FROM events) GROUP BY ALL""",
 )
 _register("stream_dedupe", single_flight, "append", "SELECT DISTINCT user_id, event_type FROM events")
+#: Rows of each user numbered in order of time, for the twins that follow them one by one.
+_ORDERED = "e AS (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+_register(
+    "stream_reuse_flight", reuse_flight, "append",
+    f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT user_id, n, event_id, ts AS last, true AS starts FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN e.ts - r.last <= INTERVAL 12 HOUR THEN r.last ELSE e.ts END, NOT (e.ts - r.last <= INTERVAL 12 HOUR) FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    SELECT user_id, event_id FROM r WHERE starts""",
+)
 _register(
     "stream_breaker", breaker, "append",
-    """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts) AS island FROM events)
-    SELECT user_id, ts AS opened FROM e WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id, island ORDER BY ts) = 3""",
+    f"""WITH RECURSIVE {_ORDERED}, f AS (SELECT *, event_type IN ('error', 'click') AS bad FROM e),
+    r AS (SELECT user_id, n, ts, CASE WHEN bad THEN 1 ELSE 0 END AS run, TIMESTAMP '1970-01-01' AS until, false AS opens, false AS reopened FROM f WHERE n = 1
+      UNION ALL SELECT f.user_id, f.n, f.ts, CASE WHEN f.ts < r.until THEN r.run WHEN NOT f.bad THEN 0 ELSE r.run + 1 END,
+        CASE WHEN f.ts < r.until THEN r.until WHEN f.bad AND r.run + 1 >= 5 THEN f.ts + INTERVAL 48 HOUR ELSE TIMESTAMP '1970-01-01' END, f.ts >= r.until AND f.bad AND r.run + 1 >= 5, f.ts >= r.until AND f.bad AND r.run >= 5
+      FROM r JOIN f ON f.user_id = r.user_id AND f.n = r.n + 1)
+    SELECT user_id, ts AS opened, reopened FROM r WHERE opens""",
+)
+_register(
+    "stream_job_states", job_states, "append",
+    f"""WITH RECURSIVE {_ORDERED}, r AS (SELECT user_id, n, ts, CASE WHEN event_type = 'view' THEN 'waiting' ELSE 'none' END AS state, 0 AS tried, NULL::VARCHAR AS outcome, 0 AS used FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.n, e.ts,
+        CASE WHEN event_type = 'view' AND state = 'none' THEN 'waiting' WHEN event_type = 'click' AND state = 'waiting' THEN 'running' WHEN event_type = 'purchase' AND state = 'running' THEN 'none'
+          WHEN event_type = 'error' AND state = 'running' THEN CASE WHEN tried >= 3 THEN 'none' ELSE 'waiting' END ELSE state END,
+        CASE WHEN event_type = 'view' AND state = 'none' THEN 0 WHEN event_type = 'click' AND state = 'waiting' THEN tried + 1 WHEN state = 'running' AND (event_type = 'purchase' OR (event_type = 'error' AND tried >= 3)) THEN 0 ELSE tried END,
+        CASE WHEN state = 'running' AND event_type = 'purchase' THEN 'done' WHEN state = 'running' AND event_type = 'error' AND tried >= 3 THEN 'failed' END, tried
+      FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    SELECT user_id, ts AS ended, outcome, used AS attempts FROM r WHERE outcome IS NOT NULL""",
 )

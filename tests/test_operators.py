@@ -118,9 +118,37 @@ def test_streams_agree_with_batches(spark, tmp_path):
     got = S.drain(S.hourly_usage(stream), "complete")
     want = batch.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n_items"), F.max("value").alias("peak"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    opened = sorted(map(tuple, S.drain(S.breaker(stream), "append").collect()))
-    runs = monitoring.breaker_runs(batch).filter("n_failed >= 3")
-    assert len(opened) == runs.count()
+
+
+def streamed(spark, path, files):
+    """A stream of event files, one in each batch."""
+    for n, rows in enumerate(files):
+        event_rows(spark, rows).coalesce(1).write.parquet(f"{path}/{n}")
+    return spark.readStream.schema(S.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{path}/*").withColumn("at", F.col("ts").cast("timestamp"))
+
+
+def test_breaker_cools_down_and_probes(spark, tmp_path):
+    hour = 3600
+    kinds = [(0, "error"), (1, "error"), (2, "error"), (3, "error"), (4, "view"), (14, "error"), (15, "view"), (25, "view"), (26, "error"), (27, "error"), (28, "error")]
+    rows = [(int(h * hour), 1, kind, 1.0) for h, kind in kinds]
+    got = S.drain(S.breaker(streamed(spark, str(tmp_path), [rows]), 3, 10), "append").orderBy("opened").collect()
+    # Opens at the third failure (hour 2); hours 3 and 4 are refused; the probe at 14 fails; 15 is refused; the probe at 25 succeeds; three more failures open it again.
+    base = got[0]["opened"] - datetime.timedelta(hours=2)
+    assert [((r["opened"] - base).total_seconds() / hour, r["reopened"]) for r in got] == [(2, False), (14, True), (28, False)]
+
+
+def test_jobs_end_done_or_failed(spark, tmp_path):
+    names = ["view", "click", "error", "click", "purchase", "click", "view", "click", "error", "click", "error", "click", "error", "click"]
+    rows = [(n * 60, 5, kind, 1.0) for n, kind in enumerate(names)]
+    got = S.drain(S.job_states(streamed(spark, str(tmp_path), [rows[:6], rows[6:]])), "append").orderBy("ended").collect()
+    assert [(r["outcome"], r["attempts"]) for r in got] == [("done", 2), ("failed", 3)]
+
+
+def test_late_rows_of_closed_windows_are_dropped(spark, tmp_path):
+    hour = 3600
+    files = [[(0, 1, "view", 1.0)], [(10 * hour, 1, "view", 1.0)], [(60, 1, "view", 9.0), (9 * hour + 60, 1, "view", 1.0)], [(20 * hour, 1, "view", 1.0)]]
+    got = S.drain(S.hourly_usage(streamed(spark, str(tmp_path), files)), "append").orderBy("hour").collect()
+    assert [(r["n_items"], r["peak"]) for r in got][:3] == [(1, 1.0), (1, 1.0), (1, 1.0)]
 
 
 def test_segmentation_and_indel_ratio(spark):
