@@ -375,6 +375,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     Null and empty texts have no shingles and are components of their own. Rows that repeat a doc_id with other texts count as one node
     with several sets. Rows without doc_id take the component of an equal set, if any, else null.
     """
+    documents = documents.select("doc_id", "text")
     sketched = written(sketches(documents), "sketches")
     rows = written(sketched.select("doc_id", "n", "d1", "d2"), "digests")
     reps, keyed = meeting_places(documents, sketched)
@@ -396,7 +397,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """``documents`` with one row of each component: the smallest doc_id."""
+    """``documents`` with one document of each component: the smallest doc_id.
+
+    Rows that repeat a doc_id are one document and stay or go together; rows without doc_id stay.
+    """
     judged = near_duplicates(documents)
     gone = written(judged.filter("component_id < doc_id").select("doc_id").distinct(), "near-copies")
     if gone.count() <= MOST_BROADCAST:

@@ -39,3 +39,21 @@ def test_pipeline(spark, tmp_path):
     assert set(kept["best-fit packing"]) == set(kept["benchmark decontamination"])
     whole = queries.QUERIES["pipeline"](spark, str(tmp_path))
     assert {r["doc_id"] for r in whole.collect()} == set(kept["best-fit packing"])
+
+
+CLASHING = ("rep", "set", "group", "row", "bad_id", "bad_row", "seed", "at", "tokens", "score", "digest", "n", "d1", "keys", "point", "_sha", "_rep", "length", "piece")
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    names = ", ".join(f"`{c}` string" for c in CLASHING)
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {names}"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    some = [(1, "a text of some words here", "en", "s", 25), (2, None, None, None, None), (3, "", "en", "s", 0), (4, "A text of some words here", "en", "s", 25), (None, "no id", "en", "s", 5)]
+    for rows, left in (([], []), ([(*r, *CLASHING) for r in some], [None, 3, 4])):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+            if name != "best-fit packing":
+                assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and docs.columns[5:] == list(CLASHING)
+        assert sorted((r["doc_id"] for r in docs.collect()), key=lambda x: -1 if x is None else x) == left
