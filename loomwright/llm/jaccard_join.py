@@ -335,10 +335,13 @@ def representatives(sketched: DataFrame) -> DataFrame:
 
 
 def shared_keys(reps: DataFrame) -> DataFrame:
-    """(group, set) for each key that several representatives have; ``set`` numbers the rows of ``reps``."""
+    """(group, set) for each key that several representatives have; ``set`` numbers the rows of ``reps``.
+
+    Keys grow with the corpus, so they are joined by a shuffle at every size; Spark splits a key that very many sets have.
+    """
     keyed = reps.select("set", "rep", F.explode("keys").alias("group"))
     shared = written(keyed.groupBy("group").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a != b").select("group"), "shared-keys")
-    return written(keyed.select("group", "set").join(small(shared), "group", "left_semi"), "keyed")
+    return written(keyed.select("group", "set").join(shared.hint("merge"), "group"), "keyed")
 
 
 def meeting_places(documents: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -366,7 +369,7 @@ def meeting_places(documents: DataFrame, sketched: DataFrame) -> tuple[DataFrame
         F.count("*").alias("c"), F.min("set").alias("a"), F.max("set").alias("b"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y")
     )
     places = written(members.groupBy("c", "a", "b", "x", "y").agg(F.min("group").alias("group")).select("group"), "places")
-    return reps, keyed.join(small(places), "group", "left_semi")
+    return reps, keyed.join(places.hint("merge"), "group")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
