@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ WINDOW = 8
 STEPS_ALL, STEPS_TOP, BATCH, RATE, SEED = 300, 300, 512, 0.3, 7
 INIT = 0.01
 THRESHOLD = 0.3
-CACHE_WORDS = 100_000
+#: Words whose logits a task keeps, a power of two.
+CACHE_WORDS = 1 << 18
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,9 +62,14 @@ class Model:
     slope: float
     shift: float
 
-    def word_logits(self, words: list[str]) -> list[float]:
-        w = self.weights
-        return [float(w[features(x)].mean()) for x in words]
+    def word_logits(self, words: list[str]) -> np.ndarray:
+        """The mean weight of each word's features."""
+        if not words:
+            return np.empty(0)
+        each = [features(x) for x in words]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.fromiter(chain.from_iterable(each), np.int64, sizes.sum())
+        return np.add.reduceat(self.weights[flat].astype(np.float64), np.cumsum(sizes) - sizes) / sizes
 
     def score(self, top: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -50, 50)))
@@ -229,25 +236,24 @@ def train(documents: DataFrame, labels: DataFrame, held_out: int = 2) -> Model:
 
 
 def _scorer(model: Model):
-    """Scores of lists of texts; keeps the words of its own task in two generations."""
-    young: dict[str, float] = {}
-    old: dict[str, float] = {}
+    """Scores of lists of texts. Words seen lately are kept with their logits in a table of fixed size, by the slot of their hash, where a later word takes the place of an earlier one."""
+    keys, kept = np.zeros(CACHE_WORDS, np.int64), np.zeros(CACHE_WORDS, np.float64)
+
+    def logits(words: list[str]) -> np.ndarray:
+        h = np.fromiter(map(hash, words), np.int64, len(words))
+        h[h == 0] = 1  # 0 is an empty slot
+        slot = h & (CACHE_WORDS - 1)
+        out = kept[slot]
+        missed = np.flatnonzero(keys[slot] != h)
+        if len(missed):
+            fresh = list({words[i] for i in missed})
+            value = dict(zip(fresh, model.word_logits(fresh), strict=True))
+            out[missed] = [value[words[i]] for i in missed]
+            keys[slot[missed]], kept[slot[missed]] = h[missed], out[missed]
+        return out
 
     def scores(texts: list[str | None]) -> np.ndarray:
-        nonlocal young, old
-        tops = []
-        for text in texts:
-            words = words_of(text)
-            fresh = set(words).difference(young)
-            if fresh:
-                if len(young) + len(fresh) > CACHE_WORDS:
-                    young, old = {}, young
-                    fresh = set(words)
-                unseen = [w for w in fresh if w not in old]
-                young.update((w, old[w]) for w in fresh if w in old)
-                young.update(zip(unseen, model.word_logits(unseen), strict=True))
-            tops.append(top_window(np.array([young[w] for w in words]), model.bias))
-        return model.score(np.array(tops, np.float64))
+        return model.score(np.array([top_window(logits(words_of(t)), model.bias) for t in texts], np.float64))
 
     return scores
 
