@@ -15,14 +15,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from string import punctuation
 
 import numpy as np
 import regex
 
-#: Chunks in each of the two generations that one worker process keeps: a bound on memory that changes no id.
-CACHE_CHUNKS = 100_000
+#: Chunks, and pieces of chunks, in each of the two generations that one worker process keeps: a bound on memory that changes no id.
+CACHE_CHUNKS = 150_000
 _RUN = re.compile(r"\s\s")
-_MARKS = tuple(".,;:!?")
 _PLAIN = re.compile("[\n\x20-\x7e\u00a1-\u012f\u0131-\u024f]*")
 #: Fixed values of the public vocabularies: how each splits a text before its merges.
 PATTERNS = {
@@ -62,6 +62,11 @@ class _Chunks(dict):
         self[chunk] = found
         return found
 
+    def next(self) -> "_Chunks":
+        """A new generation, with this one before it and none before that."""
+        self.before = {}
+        return _Chunks(self.make, self)
+
 
 class Encoder:
     """Texts to little-endian id buffers. ``kind``: ``bytes`` (white space kept) or ``words`` (white space dropped)."""
@@ -79,34 +84,33 @@ class Encoder:
         self.split = regex.compile(PATTERNS[kind]).findall
         self.letters = byte_letters()
         self.space = self.letters[32]
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Chunks(self._merged, {})
         self.known = _Chunks(self._chunk, {})
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
+    def _merged(self, piece: str) -> bytes:
         """What the pattern takes as one: straight to the merges."""
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= CACHE_CHUNKS:
-                self.pieces.clear()
-            if piece.isascii() and piece.isprintable():
-                letters = piece.replace(" ", self.space)
-            else:
-                letters = piece.encode().decode("latin-1").translate(self.letters)
-            found = self.pieces[piece] = array(self.code, [t.id for t in self.merge(letters)]).tobytes()
-        return found
+        if piece.isascii() and piece.isprintable():
+            letters = piece.replace(" ", self.space)
+        else:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.merge(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if not _PLAIN.fullmatch(chunk):
             return self._whole(chunk)
         if self.kind == "words":
             chunk = chunk.lower()
-        core, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in _MARKS else (chunk, "")
-        if (core[1:] if core[:1] == " " else core).isalpha():  # one word, and a mark perhaps
-            return self._piece(core) + self._piece(mark) if mark else self._piece(core)
-        return b"".join([self._piece(p) for p in self.split(chunk)])
+        if len(self.pieces) > CACHE_CHUNKS:
+            self.pieces = self.pieces.next()
+        pieces = self.pieces
+        core = chunk.rstrip(punctuation)
+        mark = chunk[len(core) :]
+        if (core[1:] if core[:1] == " " else core).isalpha():  # one word, and marks perhaps, which the pattern takes as one piece
+            return pieces[core] + pieces[mark] if mark else pieces[core]
+        return b"".join([pieces[p] for p in self.split(chunk)])
 
     def _cut(self, text: str) -> list[str] | None:
         """Chunks whose encodings, joined, are the encoding of the text; None: take it whole."""
@@ -124,8 +128,7 @@ class Encoder:
         out: list[bytes] = []
         for text in texts:
             if len(self.known) > CACHE_CHUNKS:
-                self.known = _Chunks(self._chunk, self.known)
-                self.known.before.before = {}
+                self.known = self.known.next()
             chunks = self._cut(text) if text else []
             known = self.known
             out.append(self._whole(text) if chunks is None else b"".join([known[c] for c in chunks]))
