@@ -7,10 +7,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomwright.functions import names as N2
 from loomwright.functions import segment
 from loomwright.functions import text as T
 from loomwright.operators import noisy_or as N
-from loomwright.plans import histories, monitoring, texts, upkeep, vectors
+from loomwright.operators.earliest import earliest
+from loomwright.plans import histories, kinship, monitoring, texts, upkeep, vectors
+from loomwright.sources import files, sinks
 from loomwright.streaming import events as S
 
 
@@ -203,3 +206,85 @@ def test_similar_names_differ_in_their_words_too(spark, tmp_path):
     rows = [("T", "blue bolt", "Brand#10"), ("T", "blue plate", "Brand#10"), ("U", "blue plate", "Brand#10"), ("U", "grey slate", "Brand#20")]
     spark.createDataFrame(rows, "p_type string, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     assert [tuple(r) for r in upkeep.QUERIES["similar_names"](spark, str(tmp_path)).collect()] == [("blue bolt brand#10", "blue plate brand#10", 0.8649)]
+
+
+# ---- lineage, by hand
+
+
+def launch_rows(spark, rows):
+    """id, seconds, name, ticker, logo, refers; seconds None: no launch time."""
+    base = datetime.datetime(2024, 1, 10)
+    data = [(i, None if s is None else base + datetime.timedelta(seconds=s), name, ticker, logo, refers) for i, s, name, ticker, logo, refers in rows]
+    df = spark.createDataFrame(data, "id long, ts timestamp_ntz, name string, ticker string, logo long, refers boolean")
+    return df.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+def lineage_of(spark, rows):
+    return {r["event_id"]: (r["original"], r["how"], r["rank"], r["kind"]) for r in kinship.lineage(launch_rows(spark, rows)).collect()}
+
+
+def test_lineage_prefers_name_and_logo_then_name_then_logo(spark):
+    hour = 3600
+    rows = [
+        (1, 0, "blue widget", "WIDG", 7, False), (2, hour, "red widget", "WIDG", None, False), (3, 2 * hour, "Blue Widget!", "WIDG", 7, False), (4, 3 * hour, "green widget", "WIDG", 9, False),
+        (5, 3 * hour, "other plate", "PLAT", 7, False), (6, 3 * hour + 60, "lone anvil", "ANVI", None, True), (7, 3 * hour + 200, "lone anvil", "ANVI", None, False), (8, None, "x", "X", None, True), (9, None, "y", "Y", None, False),
+    ]
+    got = lineage_of(spark, rows)
+    assert got[1] == (None, None, None, "original")
+    assert got[3] == (1, "both", 3, "early_copy") and got[4] == (1, "name", 4, "copy") and got[2] == (1, "name", 2, "early_copy")
+    assert got[5] == (1, "logo", 3, "early_copy")
+    # Within five minutes a namesake is no source, but the later launch is a copy by rank; the first refers to something known.
+    assert got[6] == (None, None, None, "reference") and got[7] == (None, None, 2, "early_copy")
+    assert got[8] == (None, None, None, "reference") and got[9] == (None, None, None, "unknown")
+
+
+def test_lineage_of_old_names_and_colliding_tickers(spark):
+    day = 86_400
+    rows = [
+        (1, 0, "blue widget", "WIDG", 1, False), (2, 3 * day, "blue widget", "WIDG", 2, False),  # used before, silent for a day, another logo: a reference
+        (3, 0, "green plate", "PLAT", 3, False), (4, 3 * day - 3600, "green plate", "PLAT", 4, False), (5, 3 * day, "green plate", "PLAT", 5, False),  # a wave an hour ago: a late copy
+        (6, 0, "small gear", "GEAR", 6, False), (7, 7200, "red gear", "GEAR", 8, False),  # everyday words and ticker: a collision, no copy
+        (8, 40 * day, "small gear", "GEAR", 6, False),  # out of the window
+    ]
+    got = lineage_of(spark, rows)
+    assert got[2] == (1, "name", 1, "reference")
+    assert got[5] == (3, "name", 2, "late_copy")
+    assert got[7] == (None, None, None, "original") and got[8] == (None, None, None, "original")
+
+
+def test_lineage_of_a_crowd_and_of_close_spellings(spark):
+    rows = [(i, i * 600, "steel widget", "WIDG", None, False) for i in range(14)]
+    rows += [(100, 0, "cosmonaut", "COSM", None, False), (101, 3600, "cosmonautt", "COSM", None, False), (102, 3600, "cosmos", "COSM", None, False)]
+    got = lineage_of(spark, rows)
+    assert got[0][3] == "original" and got[2] == (0, "name", 3, "early_copy") and got[5] == (0, "name", 6, "copy") and got[12] == (0, "name", 13, "late_copy")
+    assert got[101] == (100, "name", 2, "early_copy") and got[102][0] is None
+
+
+def test_earliest_looks_over_empty_days(spark):
+    day = 86_400_000_000
+    at = [(1, 0, "g"), (2, 5 * day + 7, "g"), (3, 12 * day, "g"), (4, 12 * day, "g"), (5, 20 * day, "g"), (6, 20 * day, "h")]
+    got = {r["id"]: (r["first"]["at"], -r["first"]["other"]) for r in earliest(spark.createDataFrame(at, "id long, at long, grp string"), 10).collect()}
+    assert got == {1: (0, 1), 2: (0, 1), 3: (5 * day + 7, 2), 4: (5 * day + 7, 2), 5: (12 * day, 4), 6: (20 * day, 6)}
+
+
+def test_name_functions(spark):
+    assert one(spark, N2.normal_name, "Pеpe​Coin 2.0!!") == "pepe coin 2.0"
+    assert one(spark, lambda c: F.array_join(N2.obfuscation(c), ","), "Pеpe​ soooon h3llo") == "zero_width,homoglyph,repeated_letters,leet"
+    assert one(spark, N2.clean_ticker, " $#ｄｏ ge🐶é ") == "DOGEE"
+    assert one(spark, N2.is_address, "So11111111111111111111111111111111111111112") and not one(spark, N2.is_address, "0" * 40) and not one(spark, N2.is_address, None)
+    assert [one(spark, N2.image_score, d, "int") for d in (0, 8, 14, 20, 21)] == [1.0, 0.9, 0.7, 0.1, 0.0]
+    assert one(spark, lambda c: F.array_join(N2.title_surfaces(c), "|"), "Peanut (squirrel)") == "peanut squirrel|peanut"
+    assert one(spark, N2.duration, 7199.0, "double") == "119 min" and one(spark, N2.dollars, 2_500_000.0, "double") == "$2.5M"
+
+
+def test_sinks(spark, tmp_path):
+    path = f"file://{tmp_path}/v"
+    for rows in ([("a", 1), ("a", 2), ("b", 1)], [("a", 3), ("c", 1)]):
+        sinks.append_versions(spark, path, spark.createDataFrame(rows, "k string, o int"), "k", "o")
+    assert sorted((r["k"], r["o"], r["version"]) for r in spark.read.parquet(path).collect()) == [("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 1), ("c", 1, 1)]
+    assert {r["x"] for r in files.records(spark, write_lines(tmp_path, ['{"x": 1, "old": 2}', "broken", "{}"]), "x long").collect()} == {1, None}
+
+
+def write_lines(folder, lines):
+    (folder / "lines.json").write_text("\n".join(lines))
+    return f"file://{folder}/lines.json"
