@@ -143,11 +143,12 @@ def url_classify(pages: DataFrame) -> DataFrame:
     return u.select("page_id", "host", "first", "number", kind.alias("kind"))
 
 
-@pack.query("events", sql="SELECT event_id, make_timestamp((((event_id * 1000003 + 1000) * 4194304 >> 22) + 1288834974657) * 1000) AS made FROM events")
+@pack.query("events", sql="SELECT event_id, CASE WHEN event_id % 9 != 0 THEN make_timestamp((((event_id * 1000003 + 1000) * 4194304 >> 22) + 1288834974657) * 1000) END AS made FROM events")
 def snowflake_time(events: DataFrame) -> DataFrame:
-    """The time inside a 64-bit id: milliseconds since the service's epoch, above 22 bits."""
-    ident = F.shiftleft(F.col("event_id") * 1000003 + 1000, 22)
-    return events.select("event_id", F.timestamp_millis(F.shiftright(ident, 22) + F.lit(1288834974657)).cast("timestamp_ntz").alias("made"))
+    """The time inside a 64-bit id: milliseconds since the service's epoch, above 22 bits; null for ids from before, which are small."""
+    ident = F.when(F.col("event_id") % 9 == 0, F.col("event_id")).otherwise(F.shiftleft(F.col("event_id") * 1000003 + 1000, 22))
+    made = F.timestamp_millis(F.shiftright(ident, 22) + F.lit(1288834974657)).cast("timestamp_ntz")
+    return events.select("event_id", F.when(ident >= 1000 << 22, made).alias("made"))
 
 
 @pack.query(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.functions.encoders import Letters, best_prompt, unit_vectors
 from loomwright.plans.registry import Pack
 
 pack = Pack()
@@ -118,3 +120,45 @@ def near_dup_hamming(embeddings: DataFrame) -> DataFrame:
     """Pairs of hashes at most 14 bits apart, plain or mirrored."""
     mirrored = F.reverse(F.col("embedding"))
     return hamming_pairs(embeddings.select(F.col("vec_id").alias("id"), sign_hash(F.col("embedding")).alias("hash"), sign_hash(mirrored).alias("mirror")), 14)
+
+
+@pack.query(
+    "embeddings",
+    sql="""
+    WITH h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings),
+    p AS (SELECT a.vec_id AS item, b.vec_id AS other, least(hamming(a.bits, b.bits), hamming(a.bits, reverse(b.bits))) AS d FROM h a JOIN h b ON a.vec_id != b.vec_id)
+    SELECT item, other, d::INT AS distance, CASE WHEN d <= 8 THEN 0.85 ELSE 0.6 END AS strength FROM p WHERE d <= 14 QUALIFY row_number() OVER (PARTITION BY item ORDER BY d, other) <= 10""",
+)
+def near_dup_strength(embeddings: DataFrame) -> DataFrame:
+    """The ten nearest near duplicates of each item, and how strong each is as evidence."""
+    rows = embeddings.select(F.col("vec_id").alias("id"), sign_hash(F.col("embedding")).alias("hash"), sign_hash(F.reverse(F.col("embedding"))).alias("mirror"))
+    pairs = hamming_pairs(rows)
+    both = pairs.select(F.col("a").alias("item"), F.col("b").alias("other"), "distance").unionByName(pairs.select(F.col("b").alias("item"), F.col("a").alias("other"), "distance"))
+    nearest = both.withColumn("n", F.row_number().over(Window.partitionBy("item").orderBy("distance", "other"))).filter("n <= 10")
+    return nearest.select("item", "other", "distance", F.when(F.col("distance") <= 8, 0.85).otherwise(0.6).alias("strength"))
+
+
+#: Letters that stand for a text, and prompts of each label.
+LETTERS, PROMPTS = "aeinorst", {"late": ["tttoo s", "other rest"], "early": ["eee aa", "inner near"], "plain": ["soon iron"]}
+_PROMPTS = ", ".join(f"('{label}', '{text}')" for label, texts in PROMPTS.items() for text in texts)
+_LETTER_COUNTS = f"list_transform(string_split('{LETTERS}', ''), lambda c: (length(t) - length(replace(t, c, '')))::DOUBLE)"
+
+
+@pack.query(
+    "benchmark",
+    sql=f"""WITH b AS (SELECT item_id, lower(text) AS t FROM benchmark), v AS (SELECT item_id, {_LETTER_COUNTS} AS v FROM b), q AS (SELECT label, {_LETTER_COUNTS} AS q FROM (VALUES {_PROMPTS}) p(label, t)),
+    s AS (SELECT item_id, label, max(list_cosine_similarity(v, q)) AS score FROM v, q GROUP BY ALL), r AS (SELECT *, lead(score) OVER (PARTITION BY item_id ORDER BY score DESC) AS second, row_number() OVER (PARTITION BY item_id ORDER BY score DESC) AS n FROM s)
+    SELECT item_id, label, round(score, 6) AS score, round(least(0.4, 0.25 + 0.15 * (score - 0.45) / 0.2), 6) AS weight FROM r WHERE n = 1 AND score >= 0.45 AND score - second >= 0.03""",
+)
+def encoded_texts(benchmark: DataFrame) -> DataFrame:
+    """Texts encoded in batches by an injected encoder, and the label whose prompt is nearest if it leads clearly."""
+    encoder = Letters(LETTERS)
+
+    def unit(text):
+        v = encoder.encode([text])[0]
+        return v / np.sqrt((v * v).sum())
+
+    prompts = {label: [unit(t) for t in texts] for label, texts in PROMPTS.items()}
+    rows = benchmark.select("item_id", unit_vectors(F.lower("text"), encoder).alias("v"))
+    best = rows.select("item_id", best_prompt(F.col("v"), prompts, 0.45, 0.03).alias("b")).filter("b IS NOT NULL")
+    return best.select("item_id", "b.label", F.round("b.score", 6).alias("score"), F.round("b.weight", 6).alias("weight"))
