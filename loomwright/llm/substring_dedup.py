@@ -13,7 +13,12 @@ A word is removed if a window of ``WINDOW`` words around it also starts in a doc
 4. *Removal*: the maximal spans are cut from the documents.
 
 A passage may occur in a third of all documents: it is counted by partial sums, its reference text is in one shard
-once, and that shard's probes are dealt to as many tasks as their number of words asks for.
+once, and that shard's probes are dealt to as many tasks as their number of words asks for. Texts are cut into pieces of
+``PIECE_WORDS`` words that overlap by all but one word of a window, so every window is whole in a piece; a reference document with more
+words than a shard is dealt to several shards, which all of its probes pass.
+
+Shards are sent to the tasks that probe them, not broadcast: all shards together grow with the corpus. Which window repeats where is told by 64-bit
+hashes, so a repeat whose hash another window of a smaller document has as well may be looked for in the wrong place; no word is removed for a hash alone.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from loomwright.llm.jaccard_join import mixed, word_hashes
 WINDOW, GRAM = 50, 16
 #: Reference words of one automaton, and probed words of one task.
 SHARD_WORDS, PROBE_WORDS = 60_000, 600_000
+#: Words of one piece of text.
+PIECE_WORDS = 20_000
 #: Anchor hashes that are broadcast at most, 8 bytes each.
 MOST_BROADCAST = 2_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -226,6 +233,7 @@ def removed_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     first = written(first, "first-windows")  # then the join below reads two tables, and Spark can split a window that very many documents have
     routes = windows.join(first, "hash").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("routes"))
 
+    step = max(1, PIECE_WORDS - window + 1)
     text_schema = pa.schema([("home", pa.int64()), ("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
 
     def cut_texts(batches):
@@ -237,10 +245,12 @@ def removed_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
                 home = np.array([r["first"] for r in routes], np.int64)
                 cuts = [0, *(np.flatnonzero((np.diff(at) != 1) | (np.diff(home) != 0)) + 1).tolist(), len(at)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    start, end = int(at[a]), int(at[b - 1]) + window
-                    value = (home[a], int(home[a] != doc_id), row, doc_id, start, end - start, b" ".join(words[start:end]))
-                    for column, x in zip(out, value, strict=True):
-                        column.append(x)
+                    first, last = int(at[a]), int(at[b - 1])
+                    for start in range(first, last + 1, step):
+                        end = min(start + step - 1, last) + window
+                        value = (home[a], int(home[a] != doc_id), row, doc_id, start, end - start, b" ".join(words[start:end]))
+                        for column, x in zip(out, value, strict=True):
+                            column.append(x)
             yield _batch(out, text_schema)
 
     texts = shared.join(routes, "row").mapInArrow(cut_texts, "home long, kind int, row long, doc_id long, start int, n int, words binary")
@@ -248,7 +258,16 @@ def removed_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     discard(windows, first)
     total = texts.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    texts = texts.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)))
+    large = texts.filter("kind = 0").groupBy("home").agg(F.ceil(F.sum("n") / SHARD_WORDS).cast("int").alias("blocks")).filter("blocks > 1")
+    large = written(large, "large-references")
+    if large.isEmpty():
+        texts = texts.withColumn("block", F.lit(0))
+    else:
+        # A reference piece is in one block, a probe passes them all.
+        texts = texts.join(large, "home", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        mine = F.array(F.pmod(F.xxhash64("row", "start"), F.col("blocks")).cast("int"))
+        texts = texts.withColumn("block", F.explode(F.when(F.col("kind") == 0, mine).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))).drop("blocks")
+    texts = texts.withColumn("shard", F.pmod(F.xxhash64("home", "block"), F.lit(shards)))
     loads = texts.filter("kind = 1").groupBy("shard").agg(F.ceil(F.sum("n") / PROBE_WORDS).cast("int").alias("splits"))
     texts = texts.join(loads, "shard")
     split = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("splits") - 1)).otherwise(F.array(F.pmod(F.xxhash64("row", "start"), F.col("splits")).cast("int")))

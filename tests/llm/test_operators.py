@@ -376,7 +376,10 @@ def test_labels_are_those_of_all_links(verify):
     assert jaccard_join.spanning_labels(sizes, points, sets if verify else None).tolist() == label.tolist()
 
 
-def test_substrings(docs, empty):
+@pytest.mark.parametrize("shard_words,piece_words", [(60_000, 20_000), (300, 130)])
+def test_substrings(docs, empty, monkeypatch, shard_words, piece_words):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(substring_dedup, "PIECE_WORDS", piece_words)
     rows = [(i, (t or "").encode().split()) for i, t in fixture()]
     first = {}
     for i, w in rows:
@@ -687,3 +690,22 @@ def test_digest_index_look_up(spark):
     for _ in range(2):  # from the runs, then from the compacted level
         assert {(bytes(r["digest"]), r["rank"], r["n"]) for r in index.look_up(digests).collect()} == want
         index.compact()
+
+
+def test_scores_are_those_of_the_most_toxic_window(spark):
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32), 0.2, 0.7, -0.1)
+    rows = [(1, "One two"), (2, "the quick brown fox jumps over the lazy dog and runs away from all of them"), (3, None), (4, " ".join(f"w{i % 700}" for i in range(5000))), (4, "repeated id"), (None, "no id")]
+
+    def plain(text):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        logit = [sum(float(model.weights[f]) for f in toxicity.features(w)) / len(toxicity.features(w)) for w in words]
+        width = min(len(words), toxicity.WINDOW)
+        top = max((sum(logit[i : i + width]) / width for i in range(len(words) - width + 1)), default=0.0) if words else 0.0
+        return 1 / (1 + math.exp(-(model.slope * (model.bias + top) + model.shift)))
+
+    found = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    want = sorted((i or 0, plain(t)) for i, t in rows)
+    got = sorted((r["doc_id"] or 0, r["score"]) for r in found)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-6)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in found)
