@@ -317,10 +317,11 @@ def occurrences(documents: DataFrame, surfaces: DataFrame) -> DataFrame:
     A place asks for surfaces that begin with its next two words, or are its one word; only there the following words are compared. Whatever the
     longest surface is, a place makes two rows, of six words at most.
     """
-    d = documents.select("doc_id", T.words(F.col("text")).alias("w")).withColumn("at", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))))
-    one, two = F.get("w", F.col("at")), F.concat_ws(" ", F.get("w", F.col("at")), F.get("w", F.col("at") + 1))
-    keys = F.array(one, F.when(F.col("at") + 1 < F.size("w"), two))
-    places = d.select("doc_id", "at", F.slice("w", F.col("at") + 1, F.lit(MOST_SURFACE_WORDS)).alias("ahead"), F.explode(F.array_compact(keys)).alias("key"))
+    d = documents.select("doc_id", T.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    ahead = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.slice("w", k, F.lit(MOST_SURFACE_WORDS)))
+    d = d.select("doc_id", F.posexplode(ahead).alias("at", "ahead"))  # a place carries its own words only, however long the document is
+    one, two = F.get("ahead", F.lit(0)), F.concat_ws(" ", F.get("ahead", F.lit(0)), F.get("ahead", F.lit(1)))
+    places = d.select("doc_id", "at", "ahead", F.explode(F.array(one, F.when(F.size("ahead") > 1, two))).alias("key")).filter("key IS NOT NULL")
     begins = F.when(F.col("n") == 1, F.col("surface")).otherwise(F.substring_index("surface", " ", 2))
     found = places.join(surfaces.withColumn("key", begins), "key")
     same = (F.col("n") <= 2) | (F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ") == F.col("surface"))

@@ -80,6 +80,13 @@ def sign_hash(embedding):
     return total
 
 
+def image_hashes(embeddings: DataFrame) -> DataFrame:
+    """id, hash and the hash of the mirrored image: the signs of half a vector, twice."""
+    half = F.slice("embedding", 1, DIMENSIONS // 2)
+    whole = F.concat(half, half)
+    return embeddings.select(F.col("vec_id").alias("id"), sign_hash(whole).alias("hash"), sign_hash(F.reverse(whole)).alias("mirror"))
+
+
 def near_masks(width: int, most: int) -> list[int]:
     """Numbers of ``width`` bits with at most ``most`` of them set."""
     return [sum(1 << k for k in bits) for n in range(most + 1) for bits in combinations(range(width), n)]
@@ -112,27 +119,25 @@ def hamming_pairs(hashes: DataFrame, most: int = MOST_BITS, bands: int = 5) -> D
 @pack.query(
     "embeddings",
     sql="""
-    WITH h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings)
+    WITH h AS (SELECT vec_id, repeat(array_to_string(list_transform(embedding[1:32], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), ''), 2) AS bits FROM embeddings)
     SELECT a.vec_id AS a, b.vec_id AS b, least(hamming(a.bits, b.bits), hamming(a.bits, reverse(b.bits)))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id
     WHERE least(hamming(a.bits, b.bits), hamming(a.bits, reverse(b.bits))) <= 14""",
 )
 def near_dup_hamming(embeddings: DataFrame) -> DataFrame:
     """Pairs of hashes at most 14 bits apart, plain or mirrored."""
-    mirrored = F.reverse(F.col("embedding"))
-    return hamming_pairs(embeddings.select(F.col("vec_id").alias("id"), sign_hash(F.col("embedding")).alias("hash"), sign_hash(mirrored).alias("mirror")), 14)
+    return hamming_pairs(image_hashes(embeddings))
 
 
 @pack.query(
     "embeddings",
     sql="""
-    WITH h AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings),
+    WITH h AS (SELECT vec_id, repeat(array_to_string(list_transform(embedding[1:32], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), ''), 2) AS bits FROM embeddings),
     p AS (SELECT a.vec_id AS item, b.vec_id AS other, least(hamming(a.bits, b.bits), hamming(a.bits, reverse(b.bits))) AS d FROM h a JOIN h b ON a.vec_id != b.vec_id)
     SELECT item, other, d::INT AS distance, CASE WHEN d <= 8 THEN 0.85 ELSE 0.6 END AS strength FROM p WHERE d <= 14 QUALIFY row_number() OVER (PARTITION BY item ORDER BY d, other) <= 10""",
 )
 def near_dup_strength(embeddings: DataFrame) -> DataFrame:
     """The ten nearest near duplicates of each item, and how strong each is as evidence."""
-    rows = embeddings.select(F.col("vec_id").alias("id"), sign_hash(F.col("embedding")).alias("hash"), sign_hash(F.reverse(F.col("embedding"))).alias("mirror"))
-    pairs = hamming_pairs(rows)
+    pairs = hamming_pairs(image_hashes(embeddings))
     both = pairs.select(F.col("a").alias("item"), F.col("b").alias("other"), "distance").unionByName(pairs.select(F.col("b").alias("item"), F.col("a").alias("other"), "distance"))
     nearest = both.withColumn("n", F.row_number().over(Window.partitionBy("item").orderBy("distance", "other"))).filter("n <= 10")
     return nearest.select("item", "other", "distance", F.when(F.col("distance") <= 8, 0.85).otherwise(0.6).alias("strength"))
