@@ -134,7 +134,7 @@ _LINEAGE = f"""l AS (SELECT event_id AS id, CASE WHEN event_id % 101 != 0 THEN t
     {_AGREES},
     p AS (SELECT a.id, b.id AS other, a.ts - b.ts AS gap, a.ticker = b.ticker AS namesake, a.ticker = b.ticker AND EXISTS (SELECT 1 FROM ag WHERE ag.ticker = a.ticker AND ag.a = a.name AND ag.b = b.name) AS agrees, coalesce(a.logo = b.logo, false) AS logo
       FROM l a JOIN l b ON a.id != b.id AND (a.ticker = b.ticker OR a.logo = b.logo) AND b.ts BETWEEN a.ts - INTERVAL {WINDOW_DAYS} DAY AND a.ts),
-    g AS (SELECT id, arg_max(other, gap::VARCHAR) AS nothing,
+    g AS (SELECT id,
         max(struct_pack(gap := gap, other := other)) FILTER (WHERE gap > INTERVAL {MIN_GAP} SECOND AND namesake AND logo) AS b, max(struct_pack(gap := gap, other := other)) FILTER (WHERE gap > INTERVAL {MIN_GAP} SECOND AND agrees) AS n,
         max(struct_pack(gap := gap, other := other)) FILTER (WHERE gap > INTERVAL {MIN_GAP} SECOND AND logo) AS lo, coalesce(bool_or(gap > INTERVAL 0 SECOND AND (agrees OR namesake AND logo)), false) AS crowd,
         coalesce(bool_or(gap > INTERVAL 0 SECOND AND logo), false) AS any_logo, coalesce(bool_or(gap > INTERVAL 0 SECOND AND agrees AND gap <= INTERVAL {QUIET_HOURS} HOUR), false) AS live,
