@@ -62,23 +62,21 @@ def descend(df: DataFrame, key: Column, leaves: list[Leaf], out: str) -> DataFra
     for leaf in leaves:
         tree.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
     region, rack = F.col(f"{out}_region"), F.col(f"{out}_rack")
-
-    def by_path(value: dict[tuple[int, ...], float], nodes: tuple[Column, ...], kind: str) -> Column:
-        """What ``value`` has for the nodes chosen so far, else null."""
-        same = lambda path: reduce(lambda a, b: a & b, [node == F.lit(n) for node, n in zip(nodes, path, strict=True)])
-        return reduce(lambda rest, x: F.when(same(x[0]), F.lit(x[1]).cast(kind)).otherwise(rest), value.items(), F.lit(None).cast(kind))
-
-    weight = lambda some: sum(x.weight for x in some)
-    regions = [(F.lit(a), F.lit(float(sum(map(weight, racks.values()))))) for a, racks in sorted(tree.items())]
-    df = df.withColumn(f"{out}_region", _lowest(key, [], regions))
-    racks = sorted({b for some in tree.values() for b in some})
-    of_rack = [(F.lit(b), by_path({(a,): float(weight(some[b])) for a, some in tree.items() if b in some}, (region,), "double")) for b in racks]
-    df = df.withColumn(f"{out}_rack", _lowest(key, [region], of_rack))
-    # The k-th shard of the chosen rack, by its own number.
+    n_regions, n_racks = max(tree) + 1, max(b for some in tree.values() for b in some) + 1
     most = max(len(x) for some in tree.values() for x in some.values())
-    kth = [{(a, b): x[k] for a, some in tree.items() for b, x in some.items() if k < len(x)} for k in range(most)]
-    shards = [(by_path({p: x.shard for p, x in at.items()}, (region, rack), "int"), by_path({p: x.weight for p, x in at.items()}, (region, rack), "double")) for at in kth]
-    return df.withColumn(out, _lowest(key, [region, rack], shards))
+    at = lambda a, b: tree.get(a, {}).get(b, [])
+    # What a node is and weighs is looked up by the place of the nodes above it: short expressions, however many nodes there are.
+    table = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
+    weight = lambda some: sum(x.weight for x in some) or None
+    regions = [(F.lit(a), F.lit(float(sum(x.weight for some in racks.values() for x in some)))) for a, racks in sorted(tree.items())]
+    df = df.withColumn(f"{out}_region", _lowest(key, [], regions))
+    rack_weights = table([weight(at(a, b)) for a in range(n_regions) for b in range(n_racks)], "double")
+    df = df.withColumn(f"{out}_rack", _lowest(key, [region], [(F.lit(b), F.get(rack_weights, region * n_racks + b)) for b in range(n_racks)]))
+    places = [at(a, b) + [None] * (most - len(at(a, b))) for a in range(n_regions) for b in range(n_racks)]
+    shard_ids = table([x and x.shard for some in places for x in some], "int")
+    shard_weights = table([x and x.weight for some in places for x in some], "double")
+    first = (region * n_racks + rack) * most
+    return df.withColumn(out, _lowest(key, [region, rack], [(F.get(shard_ids, first + k), F.get(shard_weights, first + k)) for k in range(most)]))
 
 
 def number(rows: DataFrame, shard: str, key: str, order: list[str], out: str = "slot") -> DataFrame:
