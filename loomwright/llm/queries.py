@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loomwright.llm import decontaminate, exact_dedup, html_extract, jaccard_join, packing, sharding, sstable, substring_dedup, toxicity, url_filter
+from loomwright.llm import (
+    decontaminate, exact_dedup, filter_audit, html_extract, jaccard_join, packing, resampling, sharding, sstable, substring_dedup, token_counts, toxicity, url_filter,
+)
 from loomwright.sources.tables import table
 
 
@@ -57,6 +59,21 @@ def op10_sstable_ids(spark, sf_dir):
     return sstable.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_first_failures(spark, sf_dir):
+    """What five filters remove at every step of every order, for each language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_heap_counts(spark, sf_dir):
+    """Every document's tokens, counted."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_sort_count(spark, sf_dir):
+    """A quarter of the documents, drawn towards the benchmark's words."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     """The corpus pipeline from documents to packed sequences."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -64,6 +81,6 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_model, op2_hash_tree, op3_spaced_seeds, op4_suffix_automata, op5_site_templates, op6_exact_dedup, op7_best_fit_packing, op8_count_rtree, op9_toxicity, op10_sstable_ids, pipeline)
+    for f in (op1_url_model, op2_hash_tree, op3_spaced_seeds, op4_suffix_automata, op5_site_templates, op6_exact_dedup, op7_best_fit_packing, op8_count_rtree, op9_toxicity, op10_sstable_ids, op11_first_failures, op12_heap_counts, op13_sort_count, pipeline)
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_model": url_filter.oracle_sql(), "op6_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_model": url_filter.oracle_sql(), "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op11_first_failures": filter_audit.ORACLE_SQL}
