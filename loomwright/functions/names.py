@@ -71,7 +71,7 @@ def ticker_base(ticker: Column, known: list[str], suffixes: list[str], prefixes:
         for s in by_length(suffixes):
             out = out.when(t.endswith(s) & (F.length(t) - len(s) >= least), F.left(t, F.length(t) - len(s)))
         for p in by_length(prefixes):
-            out = out.when(t.startswith(p) & (F.length(t) - len(p) >= least), F.substring(t, len(p) + 1, 64))
+            out = out.when(t.startswith(p) & (F.length(t) - len(p) >= least), F.substring(t, len(p) + 1, T.REST))
         return out.otherwise(t)
 
     return reduce(lambda t, _: F.transform(F.array(t), step)[0], range(rounds), F.upper(ticker))
@@ -92,9 +92,9 @@ def prefer_acronym(parts: Column, words: list[str]) -> Column:
     def joins(k: Column) -> Column:
         one, nxt = F.get(parts, k), F.get(parts, k + 1)
         low = F.lower(nxt)
-        return F.coalesce(one.rlike("^[A-Z]$") & nxt.rlike("^[A-Z][a-z]{2,}$") & ~F.array_contains(known, low) & F.array_contains(known, F.substring(low, 2, 64)), F.lit(False))
+        return F.coalesce(one.rlike("^[A-Z]$") & nxt.rlike("^[A-Z][a-z]{2,}$") & ~F.array_contains(known, low) & F.array_contains(known, F.substring(low, 2, T.REST)), F.lit(False))
 
-    return F.transform(parts, lambda p, k: F.when(joins(k), F.concat(p, F.left(F.get(parts, k + 1), F.lit(1)))).when((k > 0) & joins(k - 1), F.substring(p, 2, 64)).otherwise(p))
+    return F.transform(parts, lambda p, k: F.when(joins(k), F.concat(p, F.left(F.get(parts, k + 1), F.lit(1)))).when((k > 0) & joins(k - 1), F.substring(p, 2, T.REST)).otherwise(p))
 
 
 def title_surfaces(title: Column, least: int = 4) -> Column:

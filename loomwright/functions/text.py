@@ -24,6 +24,10 @@ SCRIPTS = {
 }
 
 
+#: As the length of a substring: up to the end of the text.
+REST = (1 << 31) - 1
+
+
 def compact(text: Column) -> Column:
     """Lower-cased letters and digits only."""
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]", "")

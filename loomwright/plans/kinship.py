@@ -15,6 +15,7 @@ from loomwright.operators.earliest import earliest
 from loomwright.operators.trailing import SECOND, micros
 from loomwright.plans.registry import Pack
 from loomwright.plans.upkeep import close_pairs
+from loomwright.sources.scratch import written
 
 pack = Pack()
 QUERIES, ORACLE_SQL = pack.queries, pack.sql
@@ -60,8 +61,9 @@ def agreement_keys(names: DataFrame) -> DataFrame:
 
 
 def launches(events: DataFrame, part: DataFrame) -> DataFrame:
-    """id, ts, at, name, ticker, logo, refers."""
-    named = events.withColumn("k", F.col("event_id") % 200).join(part.select("p_partkey", "p_name"), F.col("k") == F.col("p_partkey"))
+    """id, ts, at, name, ticker, logo, refers. Launches are dealt over all parts by their number; those that meet no part are not launches."""
+    last = part.agg(F.max("p_partkey").alias("last"))  # one row
+    named = events.crossJoin(F.broadcast(last)).withColumn("k", F.col("event_id") % (F.col("last") + 1)).join(part.select("p_partkey", "p_name"), F.col("k") == F.col("p_partkey"))
     ts = F.when(F.col("event_id") % 101 != 0, F.col("ts"))
     rows = named.select(
         F.col("event_id").alias("id"), ts.alias("ts"), F.col("p_name").alias("name"), F.upper(F.left(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(4))).alias("ticker"),
@@ -79,15 +81,23 @@ def kind_of(rank: Column, age: Column) -> Column:
 
 
 def lineage(rows: DataFrame) -> DataFrame:
-    """id, original, how (both, name, logo), rank and kind of every launch."""
+    """id, original, how (both, name, logo), rank and kind of every launch.
+
+    Three tables are written on the way: the launches, the keys of each distinct name, and the groups that each launch is in.
+    """
+    rows = written(rows, "launches")
     timed = rows.filter("at IS NOT NULL")
-    keys = agreement_keys(rows.select("ticker", "name").distinct())
-    named = timed.join(keys, ["ticker", "name"]).select("id", "at", F.concat(F.lit("n:"), "ticker", F.lit("|"), "key").alias("grp"))
-    logos = timed.filter("logo IS NOT NULL").select("id", "at", F.concat(F.lit("l:"), F.col("logo").cast("string")).alias("grp"))
-    both = timed.filter("logo IS NOT NULL").select("id", "at", F.concat(F.lit("b:"), "ticker", F.lit("|"), F.col("logo").cast("string")).alias("grp"))
+    keys = written(agreement_keys(written(rows.select("ticker", "name").distinct(), "launch-names")), "name-keys").groupBy("ticker", "name").agg(F.collect_list("key").alias("keys"))
+    logo = F.col("logo").cast("string")
+    groups = F.concat(
+        F.transform(F.coalesce("keys", F.array().cast("array<string>")), lambda k: F.concat(F.lit("n:"), "ticker", F.lit("|"), k)),
+        F.array_compact(F.array(F.concat(F.lit("l:"), logo), F.concat(F.lit("b:"), "ticker", F.lit("|"), logo))),
+    )
+    entries = written(timed.join(keys, ["ticker", "name"], "left").select("id", "at", F.explode(groups).alias("grp")), "launch-groups")
     kind = F.left("grp", F.lit(1))
     pick = lambda k: F.min(F.when(kind == k, F.col("first"))).alias(k)
-    firsts = earliest(named.unionByName(logos).unionByName(both), WINDOW_DAYS).groupBy("id").agg(pick("b"), pick("n"), pick("l"))
+    firsts = earliest(entries, WINDOW_DAYS).groupBy("id").agg(pick("b"), pick("n"), pick("l"))
+    named = entries.filter(F.col("grp").startswith("n:"))
     live = trailing.own(trailing.sliced(named.withColumn("ts", F.timestamp_micros("at")), "ts", QUIET_HOURS * 3600).withColumn("before", F.count("*").over(trailing.window(["grp"], QUIET_HOURS * 3600, -1))))
     live = live.groupBy("id").agg(F.max("before").alias("live"))
     dealt = trailing.sliced(timed.select("id", "ts", "ticker", "logo"), "ts", _DAY)
@@ -130,7 +140,7 @@ _AGREES = f"""nm AS (SELECT DISTINCT ticker, name, regexp_replace(lower(name), '
         lambda row, j: list_append(row, CASE WHEN ascii(y[j[1]]) = c[1] THEN acc[j[1]] + 1 ELSE greatest(acc[j[1] + 1], row[j[1]]) END), [0::BIGINT]), list_transform(range(0, length(y) + 1), lambda j: 0::BIGINT))) AS common FROM pr),
     ag AS (SELECT ticker, a, b FROM lc WHERE same OR (least(length(x), length(y)) >= {FUZZY_LETTERS} AND 2.0 * common / (length(x) + length(y)) >= {FUZZY}))"""
 _LINEAGE = f"""l AS (SELECT event_id AS id, CASE WHEN event_id % 101 != 0 THEN ts END AS ts, p_name AS name, upper(left(split_part(p_name, ' ', 2), 4)) AS ticker,
-      CASE WHEN event_type != 'error' THEN user_id * 3 + event_id % 3 END AS logo, event_type = 'signup' AS refers FROM events JOIN part ON p_partkey = event_id % 200),
+      CASE WHEN event_type != 'error' THEN user_id * 3 + event_id % 3 END AS logo, event_type = 'signup' AS refers FROM events JOIN part ON p_partkey = event_id % (SELECT max(p_partkey) + 1 FROM part)),
     {_AGREES},
     p AS (SELECT a.id, b.id AS other, a.ts - b.ts AS gap, a.ticker = b.ticker AS namesake, a.ticker = b.ticker AND EXISTS (SELECT 1 FROM ag WHERE ag.ticker = a.ticker AND ag.a = a.name AND ag.b = b.name) AS agrees, coalesce(a.logo = b.logo, false) AS logo
       FROM l a JOIN l b ON a.id != b.id AND (a.ticker = b.ticker OR a.logo = b.logo) AND b.ts BETWEEN a.ts - INTERVAL {WINDOW_DAYS} DAY AND a.ts),
@@ -156,8 +166,8 @@ def lineage_full(events: DataFrame, part: DataFrame) -> DataFrame:
     return lineage(launches(events, part))
 
 
-@pack.query("events", "part", sql=f"WITH l AS (SELECT DISTINCT p_name AS name, upper(left(split_part(p_name, ' ', 2), 4)) AS ticker FROM part), {_AGREES} SELECT ticker, a AS name, count(*) AS agreeing FROM ag GROUP BY ALL")
-def name_agreement(events: DataFrame, part: DataFrame) -> DataFrame:
+@pack.query("part", sql=f"WITH l AS (SELECT DISTINCT p_name AS name, upper(left(split_part(p_name, ' ', 2), 4)) AS ticker FROM part), {_AGREES} SELECT ticker, a AS name, count(*) AS agreeing FROM ag GROUP BY ALL")
+def name_agreement(part: DataFrame) -> DataFrame:
     """How many names of the same ticker agree with each name: equal, equal without filler, of close spelling, or with a distinctive word in common."""
     names = part.select(F.upper(F.left(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(4))).alias("ticker"), F.col("p_name").alias("name")).distinct()
     keys = agreement_keys(names)

@@ -165,6 +165,6 @@ def compound_parts(part: DataFrame) -> DataFrame:
     """Known pieces at the start or end of words that are fused with something else; the longest piece of each word."""
     words = part.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("word")).distinct().filter("length(word) >= 6")
     cuts = words.withColumn("i", F.explode(F.sequence(F.lit(3), F.length("word") - 2)))
-    ends = F.array(F.struct(F.left("word", F.col("i")).alias("piece"), (F.length("word") - F.col("i")).alias("rest")), F.struct(F.substring(F.col("word"), F.col("i") + 1, F.lit(64)).alias("piece"), F.col("i").alias("rest")))
+    ends = F.array(F.struct(F.left("word", F.col("i")).alias("piece"), (F.length("word") - F.col("i")).alias("rest")), F.struct(F.substring(F.col("word"), F.col("i") + 1, F.length("word")).alias("piece"), F.col("i").alias("rest")))
     found = cuts.select("word", F.inline(ends)).filter(F.col("piece").isin(*PIECES) & (F.length("piece") >= 4) & (F.col("rest") >= 2))
     return found.groupBy("word").agg(F.min_by("piece", F.struct(-F.length("piece"), F.col("piece"))).alias("piece"))

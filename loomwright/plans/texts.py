@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.operators import phrases
 from loomwright.plans.monitoring import D, now
 from loomwright.plans.registry import Pack
 from loomwright.plans.upkeep import close_pairs
@@ -311,21 +311,10 @@ def dictionary(benchmark: DataFrame) -> DataFrame:
     return payloads(benchmark).select("n", "surface").distinct()
 
 
-def occurrences(documents: DataFrame, surfaces: DataFrame) -> DataFrame:
-    """Every place where a surface occurs: doc_id, at, n, surface.
-
-    A place asks for surfaces that begin with its next two words, or are its one word; only there the following words are compared. Whatever the
-    longest surface is, a place makes two rows, of six words at most.
-    """
-    d = documents.select("doc_id", T.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    ahead = F.transform(F.sequence(F.lit(1), F.size("w")), lambda k: F.slice("w", k, F.lit(MOST_SURFACE_WORDS)))
-    d = d.select("doc_id", F.posexplode(ahead).alias("at", "ahead"))  # a place carries its own words only, however long the document is
-    one, two = F.get("ahead", F.lit(0)), F.concat_ws(" ", F.get("ahead", F.lit(0)), F.get("ahead", F.lit(1)))
-    places = d.select("doc_id", "at", "ahead", F.explode(F.array(one, F.when(F.size("ahead") > 1, two))).alias("key")).filter("key IS NOT NULL")
-    begins = F.when(F.col("n") == 1, F.col("surface")).otherwise(F.substring_index("surface", " ", 2))
-    found = places.join(surfaces.withColumn("key", begins), "key")
-    same = (F.col("n") <= 2) | (F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ") == F.col("surface"))
-    return found.filter(same).select("doc_id", "at", "n", "surface")
+def occurrences(documents: DataFrame, surfaces: DataFrame, longest: bool = False) -> DataFrame:
+    """Every place where a surface occurs, or those that a sweep from left to right keeps (``longest``): doc_id, at, n, surface."""
+    texts = documents.select("doc_id", F.array_join(T.words(F.col("text")), " ").alias("text"), F.lit(False).alias("fused"))
+    return phrases.find(texts, surfaces, longest).select("doc_id", "at", "n", "surface")
 
 
 @pack.query("documents", "benchmark", sql=f"WITH {_PHRASES}, {_FOUND} SELECT doc_id, sum(n)::BIGINT AS words, count(*) AS n_matches FROM (SELECT doc_id, pos, max(n) AS n FROM o GROUP BY ALL) GROUP BY doc_id")
@@ -335,28 +324,6 @@ def dict_candidates(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return longest.groupBy("doc_id").agg(F.sum("n").alias("words"), F.count("*").alias("n_matches"))
 
 
-def left_to_right(matches: DataFrame) -> DataFrame:
-    """Of matches (doc_id, at, n, surface) those that a sweep keeps: the longest of those that begin first, then none that overlaps it.
-
-    Documents are sorted inside partitions and swept as they stream by, so a document with very many matches is never gathered.
-    """
-
-    def sweep(batches):
-        document, upto = None, 0
-        for batch in batches:
-            kept = []
-            for k, (doc_id, at, n) in enumerate(zip(*(batch[c].to_pylist() for c in ("doc_id", "at", "n")), strict=True)):
-                if doc_id != document:
-                    document, upto = doc_id, 0
-                if at >= upto:
-                    kept.append(k)
-                    upto = at + n
-            yield batch.take(pa.array(kept, pa.int64()))
-
-    dealt = matches.select("doc_id", "at", "n", "surface").repartition("doc_id").sortWithinPartitions("doc_id", "at", F.desc("n"))
-    return dealt.mapInArrow(sweep, "doc_id long, at int, n int, surface string")
-
-
 _SWEPT = f"""RECURSIVE {_PHRASES}, {_FOUND}, l AS (SELECT doc_id, pos - 1 AS p0, max(n) AS n, arg_max(surface, n) AS surface FROM o GROUP BY doc_id, pos),
     x AS (SELECT l.*, k.p0 AS following FROM l ASOF LEFT JOIN (SELECT doc_id, p0 FROM l) k ON l.doc_id = k.doc_id AND l.p0 + l.n <= k.p0),
     r AS (SELECT * FROM x WHERE (doc_id, p0) IN (SELECT (doc_id, min(p0)) FROM x GROUP BY doc_id) UNION ALL SELECT x.* FROM r JOIN x ON r.doc_id = x.doc_id AND r.following = x.p0)"""
@@ -365,13 +332,13 @@ _SWEPT = f"""RECURSIVE {_PHRASES}, {_FOUND}, l AS (SELECT doc_id, pos - 1 AS p0,
 @pack.query("documents", "benchmark", sql=f"WITH {_SWEPT} SELECT doc_id, p0::INT AS \"at\", n::INT AS n, surface FROM r")
 def dict_longest_match(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Dictionary matches from left to right: of those that begin first the longest, then none that overlaps it."""
-    return left_to_right(occurrences(documents, dictionary(benchmark)))
+    return occurrences(documents, dictionary(benchmark), longest=True)
 
 
 @pack.query("documents", "benchmark", sql=f"WITH {_SWEPT} SELECT item_id, count(*) AS n_matches, count(DISTINCT doc_id) AS documents FROM r JOIN pl USING (surface) GROUP BY item_id")
 def dict_payloads(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """What the kept matches stand for: all items of a surface count."""
-    found = left_to_right(occurrences(documents, dictionary(benchmark))).groupBy("surface", "doc_id").agg(F.count("*").alias("c"))
+    found = occurrences(documents, dictionary(benchmark), longest=True).groupBy("surface", "doc_id").agg(F.count("*").alias("c"))
     named = found.join(payloads(benchmark).select("item_id", "surface"), "surface")
     return named.groupBy("item_id").agg(F.sum("c").alias("n_matches"), F.count_distinct("doc_id").alias("documents"))
 
@@ -434,7 +401,7 @@ _VARIANTS = """n AS (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN
 def known_item_match(part: DataFrame) -> DataFrame:
     """Names and tickers matched with known items: the same ticker, and the best of equal, contained and close names; signals combine, weak single ones go, five items at most for each name.
 
-    Distinct names are matched, not rows. Containment meets through the pieces of a name, close spellings through rare pairs of letters, so no two lists are crossed.
+    Distinct names are matched, not rows. Contained names are found by an automaton of all names, close spellings through rare pairs of letters, so no two lists are crossed.
     """
     rest = F.col("p_partkey") % 4
     noun = lambda c: F.upper(F.left(F.split_part(c, F.lit(" "), F.lit(2)), F.lit(4)))
@@ -444,10 +411,8 @@ def known_item_match(part: DataFrame) -> DataFrame:
     names = rows.select("name", "ticker").distinct().withColumn("x", F.replace("name", F.lit(" "), F.lit("")))
     items = part.select(F.col("p_name").alias("item")).distinct().select("item", F.replace("item", F.lit(" "), F.lit("")).alias("y"), F.concat(noun(F.col("item")), size(F.col("item"))).alias("symbol"))
     compacts = names.select("x").distinct()
-    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.length("x") - 3, F.lit(1))))
-    pieces = compacts.withColumn("a", starts).withColumn("l", F.explode(F.sequence(F.lit(4), F.greatest(F.length("x") - F.col("a") + 1, F.lit(4)))))
-    pieces = pieces.select("x", F.substring(F.col("x"), F.col("a"), F.col("l")).alias("y")).distinct()
-    contained = pieces.join(items, "y").filter((F.length("x") <= F.length("y") + 12) & (F.length("y") >= 4)).select("x", "item", F.when(F.col("x") == F.col("y"), 0.85).otherwise(0.55).alias("w"))
+    held = phrases.find(compacts.select("x", F.col("x").alias("text"), F.lit(True).alias("fused")), items.select(F.col("y").alias("surface"))).select("x", F.col("surface").alias("y")).distinct()
+    contained = held.join(items, "y").filter((F.length("x") <= F.length("y") + 12) & (F.length("y") >= 4)).select("x", "item", F.when(F.col("x") == F.col("y"), 0.85).otherwise(0.55).alias("w"))
     spelled = compacts.select(F.lit("").alias("p_type"), F.col("x").alias("name")).union(items.select(F.lit(""), "y"))
     close = close_pairs(spelled, 0.86)
     close = close.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))).filter("length(x) >= 4")

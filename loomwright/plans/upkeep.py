@@ -108,7 +108,9 @@ def split_names(names: DataFrame, words: DataFrame) -> DataFrame:
     """compact and words of each distinct name, by a table of words (w, n) of any size: each name asks for the counts of its own pieces."""
     names = names.distinct()
     starts = F.explode(F.sequence(F.lit(1), F.length("compact")))
-    pieces = names.filter("compact != ''").withColumn("a", starts).withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(S.LONGEST), F.length("compact") - F.col("a") + 1))))
+    longest = words.agg(F.coalesce(F.max(F.length("w")), F.lit(1)).alias("longest"))  # one row
+    pieces = names.filter("compact != ''").crossJoin(F.broadcast(longest)).withColumn("a", starts)
+    pieces = pieces.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.col("longest"), F.length("compact") - F.col("a") + 1))))
     pieces = pieces.select("compact", F.substring(F.col("compact"), F.col("a"), F.col("l")).alias("w")).distinct()
     known = pieces.join(words, "w").groupBy("compact").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("counts"))  # one entry for each piece of a name at most
     total = words.agg(F.sum("n").alias("total"))

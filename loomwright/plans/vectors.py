@@ -80,11 +80,23 @@ def sign_hash(embedding):
     return total
 
 
+def images(embeddings: DataFrame) -> DataFrame:
+    """id and numbers of every vector, and below zero those of copies: of every eighth vector with five or four of its numbers turned round, and of the next one read from its end."""
+    turned = F.transform("embedding", lambda x, i: F.when((i + F.col("vec_id")) % 13 == 0, -x).otherwise(x))
+    rest, copy = F.col("vec_id") % 8, (-F.col("vec_id") - 1).alias("id")
+    copies = embeddings.filter(rest == 0).select(copy, turned.alias("numbers")).union(embeddings.filter(rest == 1).select(copy, F.reverse(turned)))
+    return embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("numbers")).union(copies)
+
+
 def image_hashes(embeddings: DataFrame) -> DataFrame:
-    """id, hash and the hash of the mirrored image: the signs of half a vector, twice."""
-    half = F.slice("embedding", 1, DIMENSIONS // 2)
-    whole = F.concat(half, half)
-    return embeddings.select(F.col("vec_id").alias("id"), sign_hash(whole).alias("hash"), sign_hash(F.reverse(whole)).alias("mirror"))
+    """id, hash and the hash of the mirrored image: the signs of all 64 numbers, from either end. A missing number counts as not positive."""
+    return images(embeddings).select("id", sign_hash(F.col("numbers")).alias("hash"), sign_hash(F.reverse("numbers")).alias("mirror"))
+
+
+#: Twin of the hashes: 64 letters for each image.
+_BITS = """t AS (SELECT vec_id, embedding, list_transform(embedding, lambda x, i: CASE WHEN (i - 1 + vec_id) % 13 = 0 THEN -x ELSE x END) AS turned FROM embeddings),
+    im AS (SELECT vec_id, embedding AS v FROM t UNION ALL SELECT -vec_id - 1, turned FROM t WHERE vec_id % 8 = 0 UNION ALL SELECT -vec_id - 1, list_reverse(turned) FROM t WHERE vec_id % 8 = 1),
+    h AS (SELECT vec_id, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM im)"""
 
 
 def near_masks(width: int, most: int) -> list[int]:
@@ -118,8 +130,8 @@ def hamming_pairs(hashes: DataFrame, most: int = MOST_BITS, bands: int = 5) -> D
 
 @pack.query(
     "embeddings",
-    sql="""
-    WITH h AS (SELECT vec_id, repeat(array_to_string(list_transform(embedding[1:32], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), ''), 2) AS bits FROM embeddings)
+    sql=f"""
+    WITH {_BITS}
     SELECT a.vec_id AS a, b.vec_id AS b, least(hamming(a.bits, b.bits), hamming(a.bits, reverse(b.bits)))::INT AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id
     WHERE least(hamming(a.bits, b.bits), hamming(a.bits, reverse(b.bits))) <= 14""",
 )
@@ -130,8 +142,8 @@ def near_dup_hamming(embeddings: DataFrame) -> DataFrame:
 
 @pack.query(
     "embeddings",
-    sql="""
-    WITH h AS (SELECT vec_id, repeat(array_to_string(list_transform(embedding[1:32], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), ''), 2) AS bits FROM embeddings),
+    sql=f"""
+    WITH {_BITS},
     p AS (SELECT a.vec_id AS item, b.vec_id AS other, least(hamming(a.bits, b.bits), hamming(a.bits, reverse(b.bits))) AS d FROM h a JOIN h b ON a.vec_id != b.vec_id)
     SELECT item, other, d::INT AS distance, CASE WHEN d <= 8 THEN 0.85 ELSE 0.6 END AS strength FROM p WHERE d <= 14 QUALIFY row_number() OVER (PARTITION BY item ORDER BY d, other) <= 10""",
 )
