@@ -43,15 +43,15 @@ def topology(n_shards: int, regions: int = 3, racks: int = 2, weights: dict[int,
     return [Leaf(s, *place(s), weights.get(s, 1.0)) for s in range(n_shards)]
 
 
-def _lowest(key: Column, path: list[Column], options: list[tuple[Column, Column]]) -> Column:
-    """The node with the lowest draw among ``options`` (node, weight), below the nodes of ``path``; nodes of no weight are not there."""
+def _lowest(key: Column, path: list[Column], options: Column) -> Column:
+    """The node with the lowest draw among ``options``, an array of (node, weight) below the nodes of ``path``."""
 
-    def draw(node: Column, weight: Column) -> Column:
+    def draw(option: Column) -> Column:
         # 53 bits of the hash, never 0
-        unit = (F.shiftrightunsigned(F.xxhash64(key, F.lit(len(path)), *path, node), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-        return F.struct(F.coalesce(-F.ln(unit) / weight, F.lit(float("inf"))).alias("draw"), node.alias("node"))
+        unit = (F.shiftrightunsigned(F.xxhash64(key, F.lit(len(path)), *path, option["node"]), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+        return F.struct((-F.ln(unit) / option["weight"]).alias("draw"), option["node"].alias("node"))
 
-    return F.array_min(F.array(*[draw(node, weight) for node, weight in options]))["node"]
+    return F.array_min(F.transform(options, draw))["node"]
 
 
 def descend(df: DataFrame, key: Column, leaves: list[Leaf], out: str) -> DataFrame:
@@ -63,20 +63,16 @@ def descend(df: DataFrame, key: Column, leaves: list[Leaf], out: str) -> DataFra
         tree.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
     region, rack = F.col(f"{out}_region"), F.col(f"{out}_rack")
     n_regions, n_racks = max(tree) + 1, max(b for some in tree.values() for b in some) + 1
-    most = max(len(x) for some in tree.values() for x in some.values())
-    at = lambda a, b: tree.get(a, {}).get(b, [])
-    # What a node is and weighs is looked up by the place of the nodes above it: short expressions, however many nodes there are.
-    table = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values])
-    weight = lambda some: sum(x.weight for x in some) or None
-    regions = [(F.lit(a), F.lit(float(sum(x.weight for some in racks.values() for x in some)))) for a, racks in sorted(tree.items())]
+    total = lambda some: float(sum(x.weight for x in some))
+    # The options below each node are constants, found by the place of the node: code of one size, however many nodes there are.
+    none = F.lit(None).cast("array<struct<node:int,weight:double>>")
+    nodes = lambda some: F.array(*[F.struct(F.lit(n).cast("int").alias("node"), F.lit(w).alias("weight")) for n, w in some]) if some else none
+    racks_of = F.array(*[nodes([(b, total(some)) for b, some in sorted(tree.get(a, {}).items())]) for a in range(n_regions)])
+    shards_of = F.array(*[nodes([(x.shard, x.weight) for x in tree.get(a, {}).get(b, [])]) for a in range(n_regions) for b in range(n_racks)])
+    regions = nodes([(a, total(x for some in racks.values() for x in some)) for a, racks in sorted(tree.items())])
     df = df.withColumn(f"{out}_region", _lowest(key, [], regions))
-    rack_weights = table([weight(at(a, b)) for a in range(n_regions) for b in range(n_racks)], "double")
-    df = df.withColumn(f"{out}_rack", _lowest(key, [region], [(F.lit(b), F.get(rack_weights, region * n_racks + b)) for b in range(n_racks)]))
-    places = [at(a, b) + [None] * (most - len(at(a, b))) for a in range(n_regions) for b in range(n_racks)]
-    shard_ids = table([x and x.shard for some in places for x in some], "int")
-    shard_weights = table([x and x.weight for some in places for x in some], "double")
-    first = (region * n_racks + rack) * most
-    return df.withColumn(out, _lowest(key, [region, rack], [(F.get(shard_ids, first + k), F.get(shard_weights, first + k)) for k in range(most)]))
+    df = df.withColumn(f"{out}_rack", _lowest(key, [region], F.get(racks_of, region)))
+    return df.withColumn(out, _lowest(key, [region, rack], F.get(shards_of, region * n_racks + rack)))
 
 
 def number(rows: DataFrame, shard: str, key: str, order: list[str], out: str = "slot") -> DataFrame:
