@@ -30,7 +30,7 @@ MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 8), (0, 1, 2, 6, 8), (0,), (0, 1), (0, 1,
 #: Items of at least so many words use the first three masks. Shorter ones use the last: cut into one part more than changes are allowed, one part is unchanged, and has three words.
 LONG = 11
 #: Seed rows (seed, item, position) of one broadcast, and the most broadcasts over the documents.
-MOST_BROADCAST, MOST_BLOCKS = 1_000_000, 32
+MOST_BROADCAST, MOST_BLOCKS = 1_000_000, 4
 
 
 def masks_for(length: int) -> tuple[int, ...]:
@@ -95,7 +95,7 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that overlap: doc_id, item_id, matched (tokens of the item found on the best diagonal), item_tokens.
 
     Empty and null texts and items without any word overlap nothing. Every row is judged by its own text; repeated rows, and rows that share a doc_id
-    or have none, give one row for each doc_id and item_id.
+    or have none, give one row for each doc_id and item_id. So do items that share an item_id or have none: each is sought by its own text.
     """
     matched = F.aggregate("agree", F.lit(0), lambda a, x: a + x)
     return judged(documents, benchmark).groupBy("doc_id", "item_id").agg(F.max(matched).alias("matched"), F.max(F.size("item")).alias("item_tokens"))
@@ -109,11 +109,12 @@ def text_key(text: Column) -> Column:
 def judged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each diagonal on which a document and an item overlap: doc_id, row (``text_key``), item_id, item, agree."""
     items = benchmark.select("item_id", tokens_of(F.col("text")).alias("tokens")).filter(F.array_max("tokens") != "")
-    items = written(items.dropDuplicates(["item_id", "tokens"]), "items")
+    # Items are known by a digest of id and text from here on, so none needs an id and ids may repeat.
+    items = written(items.dropDuplicates(["item_id", "tokens"]).withColumn("item_key", F.xxhash64("item_id", "tokens")), "items")
     n = F.size("hashes")
     own = [F.when(F.lit(m).isin(0, 1, 2) & (n >= LONG) | ~F.lit(m).isin(0, 1, 2) & (n < LONG) & (F.least(n, F.lit(3)) + 2 == m), seed(m, "hashes", "item_at")) for m in range(len(MASKS))]
-    keyed = seeds(items.select("item_id", hashed(F.col("tokens")).alias("hashes"), F.size("tokens").alias("item_size")), "item_at", own)
-    keyed = written(keyed.select("seed", "item_id", "item_at", "item_size").distinct(), "seeds")
+    keyed = seeds(items.select("item_key", hashed(F.col("tokens")).alias("hashes"), F.size("tokens").alias("item_size")), "item_at", own)
+    keyed = written(keyed.select("seed", "item_key", "item_at", "item_size").distinct(), "seeds")
     used = {m for r in keyed.select("item_size").distinct().collect() for m in masks_for(r[0])}  # lengths of items only
     docs = spread(documents.select("doc_id", "text")).select("doc_id", text_key(F.col("text")).alias("row"), tokens_of(F.col("text")).alias("tokens"))
     scanned = seeds(docs.select("doc_id", "row", hashed(F.col("tokens")).alias("hashes")), "at", [seed(m, "hashes", "at") for m in sorted(used)] or [F.lit(None).cast("long")])
@@ -123,11 +124,12 @@ def judged(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     else:
         parts = [scanned.join(F.broadcast(keyed.filter(F.pmod("seed", F.lit(blocks)) == k) if blocks > 1 else keyed), "seed") for k in range(max(1, blocks))]
         hits = reduce(DataFrame.union, parts)
-    hits = written(hits.select("doc_id", "row", "item_id", "item_size", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "diagonals")
-    few = hits.count() <= MOST_BROADCAST
-    found = hits.select(F.col("doc_id").alias("found_id"), F.col("row").alias("found_row"), "item_id", "item_size", "shift")
-    found = found.join(items.select("item_id", F.size("tokens").alias("item_size"), F.col("tokens").alias("item")), ["item_id", "item_size"])
-    hits = docs.join(F.broadcast(found) if few else found, (F.col("row") == F.col("found_row")) & F.col("doc_id").eqNullSafe(F.col("found_id")))
+    hits = written(hits.select("doc_id", "row", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "diagonals")
+    # A broadcast holds places only; items join by key afterwards, by whichever way their size allows.
+    found = hits.select(F.col("doc_id").alias("found_id"), F.col("row").alias("found_row"), "item_key", "shift")
+    found = F.broadcast(found) if hits.count() <= MOST_BROADCAST else found
+    hits = docs.join(found, (F.col("row") == F.col("found_row")) & F.col("doc_id").eqNullSafe(F.col("found_id")))
+    hits = hits.join(items.select("item_key", "item_id", F.col("tokens").alias("item")), "item_key")
     hits = hits.withColumn("agree", agreement(F.col("tokens"), F.col("item"), F.col("shift")))
     return hits.filter(best_span(F.col("agree")) >= needed(F.size("item"))).select("doc_id", "row", "item_id", "item", "agree")
 
