@@ -11,11 +11,11 @@ elements, if they hold enough of its words, else the deepest element that holds
 of the host's pages, and running text on as many and on ``LEAST_INSIDE`` pages too; headings and the items and cells of lists and tables
 are deleted only with the whole they are part of, and nothing that recurs is deleted where it would be most of a page's main text.
 
-Adverts and notices come with other words each time, so their subtrees never recur. What recurs is the *frame*: the path of
-tags, classes and ids that leads to an element. Elements whose class or id names them as no main text are deleted if
-their frame recurs on the host; on hosts with too few pages to tell, outside the main container, by the name alone. A
-name counts as a whole ("share-buttons", not "related-work"). HTML's own elements for menus, footers, sidebars and forms
-are never main text, and adverts, reader comments and share buttons that are named exactly so aren't either.
+Adverts and notices come with other words each time, so their subtrees never recur. Outside the main container an element goes
+whose class or id names it as no main text, on every host alike, and so does a box of links alone (a menu). Inside, only adverts and reader comments
+go by their name; whatever else is named so ("share", "notice") goes if its *frame*, the path of tags, classes and ids that leads to it,
+recurs on the host. A name counts as a whole ("share-buttons", not "related-work"). No name deletes what is the page's text: an element that holds most of
+the words stays, unless articles or main elements elsewhere have any. HTML's own elements for menus, footers, sidebars and forms are never main text; formulas are.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import spread, written
 
 LEAST_PAGES, LEAST_SHARE, LEAST_INSIDE, INSIDE_SHARE = 4, 0.005, 8, 0.5
+#: Links of a box that has no other words, from which on it is a menu.
+MENU_LINKS = 3
 #: Of a page's words that its articles (or main elements) hold at least, and that an element must hold of its parent's to be taken for the main container.
 NAMED_SHARE, MOST_OF = 0.25, 0.6
 #: Template hashes that are broadcast at most, 8 bytes each.
@@ -40,7 +42,8 @@ MOST_BROADCAST = 1_000_000
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+FORMULA = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mspace mtable mtr mtd semantics".split())
+INLINE = FORMULA | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: What an opening tag ends: names, and where the search for them stops.
 SIBLINGS = {
@@ -50,16 +53,18 @@ SIBLINGS = {
 }
 
 #: Marks of what is not main text.
-DROPPED = frozenset("script style textarea title xmp noembed noframes iframe noscript template svg math canvas object audio video nav footer aside form button select dialog menu head".split())
+DROPPED = frozenset("script style textarea title xmp noembed noframes iframe noscript template svg annotation annotation-xml canvas object audio video nav footer aside form button select dialog menu head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus"
     " footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted"
     " recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-#: Words that say what an element is for only together with one of the above, and those that are marks wherever they stand.
+#: Words that say what an element is for only together with one of the above, and those that are marks inside an article too.
 HELPERS = frozenset("area bar block bottom box button buttons container count form group header icon icons inner item items left line link links list main outer page panel right row section site slot text thread title top unit wrap wrapper zone".split())
-CERTAIN = frozenset("ad ads adbox adslot advert adverts advertisement advertising comments disqus share sharing sponsored".split())
+CERTAIN = frozenset("ad ads adbox adslot advert adverts advertisement advertising comments disqus sponsored".split())
+#: Sharing is a topic too; with one of these words it is a row of controls.
+SHARES, CONTROLS = frozenset("share sharing social".split()), frozenset("bar button buttons icon icons link links toolbar".split())
 #: Parts that go only with what they are part of, and blocks that hold text rather than other blocks.
 PARTS = frozenset("h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot caption figcaption summary br".split())
 TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt figcaption br".split())
@@ -72,10 +77,10 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Node:
     """An element: children are nodes and texts in page order."""
 
-    __slots__ = ("tag", "attributes", "children", "hash", "words")
+    __slots__ = ("tag", "attributes", "children", "hash", "words", "links")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children, self.hash, self.words = tag, attributes, [], 0, 0
+        self.tag, self.attributes, self.children, self.hash, self.words, self.links = tag, attributes, [], 0, 0, 0
 
 
 def parse(page: str) -> Node:
@@ -139,25 +144,27 @@ def parse(page: str) -> Node:
 
 
 def hash_subtrees(root: Node) -> None:
-    """Sets each element's hash: of tag, class, id, and the texts (white space as one space) and hashes below; 0 without any text. Also how many words stand outside links in it."""
+    """Sets each element's hash: of tag, class, id, and the texts (white space as one space) and hashes below; 0 without any text. Also how many words stand outside links in it, and how many links have text."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in node.children if type(c) is Node)
     for node in reversed(order):
-        parts, worded, words = [node.tag, node.attributes.get("class", ""), node.attributes.get("id", "")], False, 0
+        parts, worded, words, links = [node.tag, node.attributes.get("class", ""), node.attributes.get("id", "")], False, 0, 0
         for child in node.children:
             if type(child) is Node:
                 if child.hash:
                     worded = True
                     words += child.words
+                    links += child.links
                     parts.append(f"\x01{child.hash:x}")
             elif text := " ".join(child.split()):
                 worded = True
                 words += text.count(" ") + 1 if any(map(str.isalnum, text)) else 0
                 parts.append(text)
         node.words = 0 if node.tag == "a" or node.tag in DROPPED else words
+        node.links = 1 if node.tag == "a" and worded else links
         node.hash = xxhash.xxh64_intdigest("\x02".join(parts).encode("utf-8", "surrogatepass")) if worded else 0
 
 
@@ -179,7 +186,7 @@ def mark(node: Node) -> str:
         parts = {w.lower() for w in _NAME.findall(name)}
         own = parts & WORDS or ("header" in parts and {"header"})
         if own and parts <= WORDS | HELPERS | {w for w in parts if w.isdigit()}:
-            if own & CERTAIN:
+            if own & CERTAIN or own & SHARES and parts & CONTROLS:
                 return "certain"
             found = "named"
     return found
@@ -241,6 +248,7 @@ class Page:
         self.ids = {id(n) for n in self.mains}
         self.whole = self.mains == [self.root]
         self.holders = self._holders()
+        self.kept = self._kept()
 
     def _holders(self) -> set[int]:
         """Elements that hold a main container, or are one."""
@@ -255,6 +263,34 @@ class Page:
                 out.add(id(node))
         return out
 
+    def _kept(self) -> set[int]:
+        """Elements that no name deletes: those with most of the page's words, if no article or main element has words outside of them."""
+        chain, node = [], self.root
+        while node.words and (node := next((c for c in node.children if type(c) is Node and 2 * c.words > self.root.words and not excluded(c, False)), None)):
+            chain.append(node)
+        if not any(mark(n) for n in chain):
+            return set()
+        above = {id(n): k for k, n in enumerate(chain)}
+        found, stack = [], [(self.root, -1)]  # outermost articles and main elements, and how far down the chain they are
+        while stack:
+            node, depth = stack.pop()
+            depth = above.get(id(node), depth)
+            if node.tag in ("article", "main"):
+                found.append((node, depth))
+            else:
+                stack.extend((c, depth) for c in node.children if type(c) is Node and not excluded(c, False))
+        total, out = sum(n.words for n, _ in found), set()
+        holder = next((above[id(n)] for n, _ in found if id(n) in above), len(chain))
+        for k, node in enumerate(chain):
+            inside = node.words if k > holder else sum(n.words for n, depth in found if depth >= k)
+            if inside == total:
+                out.add(id(node))
+        return out
+
+    def menu(self, node: Node) -> bool:
+        """Whether the element is a box of links alone, on a page that has other words."""
+        return not node.words and node.links >= MENU_LINKS and node.tag not in INLINE and node.tag not in PARTS and self.root.words > 0
+
     def kind(self, node: Node, inside: bool) -> int | None:
         """How an element's subtree is counted; None: not at all."""
         if not node.hash or id(node) in self.holders or node.tag in ("html", "body"):
@@ -282,12 +318,11 @@ class Page:
         return out
 
     def site(self) -> int:
-        """Stands for the host itself: it is among the templates if the host has enough pages to count."""
+        """Stands for the host itself, whose pages are counted with it."""
         return template_hash(self.host, 0, FRAME)
 
     def text(self, template) -> str:
         """The blocks that remain, joined by newlines."""
-        counted = self.site() in template
         recurs = lambda node, kind: template_hash(self.host, node.hash, kind) in template
         gone = 0
         if template:
@@ -315,7 +350,9 @@ class Page:
             if id(node) in self.holders:
                 return False
             named = mark(node)
-            if named and (named == "certain" or not inside and not counted or template_hash(self.host, frame, FRAME) in template):
+            if named and id(node) not in self.kept and (not inside or named == "certain" or template_hash(self.host, frame, FRAME) in template):
+                return True
+            if not inside and self.menu(node):
                 return True
             kind = self.kind(node, inside)
             return kind is not None and recurs(node, kind) and not (kind == RUNNING and most)
@@ -359,7 +396,7 @@ def subtree_rows(page: str | None, url: str | None) -> tuple[int, int, list[int]
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """Hashes (``subtree``, host included) of the subtrees and frames that recur on a host, and of hosts with enough pages."""
+    """Hashes (``subtree``, host included) of the subtrees and frames that recur on a host."""
 
     def count(batches):
         for batch in batches:
@@ -381,11 +418,11 @@ def site_templates(pages: DataFrame) -> DataFrame:
     share = F.when(inside, INSIDE_SHARE).when(kind == OUTSIDE, LEAST_SHARE).otherwise(0.0)
     least = F.when(kind == RUNNING, LEAST_INSIDE).otherwise(LEAST_PAGES)
     recurring = many.filter((F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))).select("subtree")
-    return recurring.union(sizes.filter(F.col("pages") >= LEAST_PAGES).select(F.col("site").alias("subtree")))
+    return recurring
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Every page's page_id, url, text and n_chars. Null and empty pages have empty text; null urls share one host."""
+    """Every page's page_id, url, text and n_chars. Null and empty pages have empty text; null urls share one host. Rows with repeated or null page_ids are pages of their own."""
     templates = written(site_templates(pages), "templates")
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     fields = ["page_id", "url", "text", "n_chars"]
@@ -409,15 +446,15 @@ def extract(pages: DataFrame) -> DataFrame:
     def pairs(batches):
         for batch in batches:
             out: tuple[list, ...] = ([], [])
-            for page_id, url, page in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                _, site, found = subtree_rows(page, url)
-                found.append(site)
-                out[0].extend([page_id] * len(found))
+            for key, url, page in zip(*(batch[c].to_pylist() for c in ("key", "url", "html")), strict=True):
+                found = subtree_rows(page, url)[2]
+                out[0].extend([key] * len(found))
                 out[1].extend(found)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["page_id", "subtree"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["key", "subtree"])
 
-    own = pages.mapInArrow(pairs, "page_id long, subtree long").join(templates, "subtree").groupBy("page_id").agg(F.collect_set("subtree").alias("template"))
-    joined = pages.join(own, pages["page_id"].eqNullSafe(own["page_id"]), "left").select(pages["*"], "template")
+    pages = pages.withColumn("key", F.xxhash64("url", "html"))  # pages with one key have the same subtrees
+    own = pages.mapInArrow(pairs, "key long, subtree long").join(templates, "subtree").groupBy("key").agg(F.collect_set("subtree").alias("template"))
+    joined = pages.join(own, "key", "left").drop("key")
 
     def read_own(batches):
         for batch in batches:
