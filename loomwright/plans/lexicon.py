@@ -13,6 +13,7 @@ from loomwright.functions import text as T
 from loomwright.operators import phrases
 from loomwright.plans.registry import Pack
 from loomwright.plans.texts import _PHRASES, payloads
+from loomwright.sources.scratch import written
 
 pack = Pack()
 QUERIES, ORACLE_SQL = pack.queries, pack.sql
@@ -40,8 +41,8 @@ def singular(names: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("singular", F.when(F.col("plurals").isNull(), F.col("tokens")).otherwise(one)).drop("plurals")
 
 
-def field_texts(items: DataFrame, known: DataFrame) -> DataFrame:
-    """id, field, written (the name's words, in its own passes), factor, text and fused: a row for each pass of each item (id, tokens, symbol, description).
+def name_texts(items: DataFrame, known: DataFrame) -> DataFrame:
+    """id, field, written (the name's words, in its own passes), factor, text and fused: a row for each pass over the name and the symbol of each item (id, tokens, symbol).
 
     A name without plurals has no singular pass, as it would find the same.
     """
@@ -54,7 +55,6 @@ def field_texts(items: DataFrame, known: DataFrame) -> DataFrame:
         said("name", fused, letters=True),
         said("name", F.when(one != name, one)),
         said("symbol", F.when(F.length("symbol") >= SYMBOL_LETTERS, F.lower("symbol")), SYMBOL_FACTOR),
-        said("description", F.col("description")),
     )
     return rows.select("id", F.inline(passes)).filter("text IS NOT NULL")
 
@@ -73,8 +73,10 @@ def evidence(items: DataFrame, dictionary: DataFrame, everyday: DataFrame) -> Da
     one everyday word that stands for something little known.
     """
     dictionary = dictionary.filter("surface != ''").groupBy("surface", "item_id").agg(F.bool_and("name_only").alias("name_only"), F.max("popularity").alias("popularity"))
+    dictionary = written(dictionary, "dictionary")  # read for every pass
     known = dictionary.select(F.explode(F.split("surface", " ")).alias("word")).distinct()
-    texts = field_texts(items, known)
+    texts = written(name_texts(written(items.select("id", "tokens", "symbol"), "names"), known), "name-texts")
+    told = items.select("id", F.lit("description").alias("field"), F.lit(None).cast("array<string>").alias("written"), F.lit(1.0).alias("factor"), F.col("description").alias("text"), F.lit(False).alias("fused"))
     inside = F.col("field") == "name"
     # A name-only surface must not cover another one outside of names, so each kind of pass seeks among its own.
     anywhere = dictionary.groupBy("surface").agg(F.bool_and("name_only").alias("name_only"))
@@ -82,7 +84,7 @@ def evidence(items: DataFrame, dictionary: DataFrame, everyday: DataFrame) -> Da
     found = (
         phrases.find(texts.filter(inside & ~F.col("fused")), anywhere, longest=True)
         .unionByName(phrases.find(texts.filter(inside & F.col("fused")), anywhere.filter(fused), longest=True))
-        .unionByName(phrases.find(texts.filter(~inside), anywhere.filter("NOT name_only"), longest=True))
+        .unionByName(phrases.find(texts.filter(~inside).unionByName(told), anywhere.filter("NOT name_only"), longest=True))
     )
     found = found.filter(F.col("written").isNull() | ~tail_of_word(F.col("surface"), F.col("written")))
     found = found.groupBy("id", "field", "surface").agg(F.max("factor").alias("factor"))
