@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from loomwright.functions import segment as S
 from loomwright.functions import text as T
 
 #: Characters without width, and where emoji are (fixed values).
@@ -135,7 +136,7 @@ def explain_ticker(ticker: Column, base: Column, tokens: Column, known: list[str
         ((F.length(t) >= 3) & (F.left(t, F.lit(1)) == F.left(compact, F.lit(1))) & spelled_inside(t, compact), "subsequence", 0.8),
         (F.exists(tokens, lambda x: (F.length(no_vowels(x)) >= 3) & near(no_vowels(x), t)), "vowel_drop", 0.85),
         (t.contains("w") & (F.contains(compact, F.replace(t, F.lit("w"), F.lit("r"))) | F.contains(compact, F.replace(t, F.lit("w"), F.lit("l")))), "baby_talk", 0.6),
-        ((F.length(t) >= 4) & F.exists(F.sequence(F.lit(0), F.greatest(F.length(compact) - F.length(t), F.lit(0))), lambda k: F.levenshtein(F.substring(compact, k + 1, F.length(t)), t) <= 1) & (F.length(compact) >= F.length(t)), "fuzzy", 0.6),
+        ((F.length(t) >= 3) & (S.partial_ratio(t, compact) >= 0.85 - 1e-9), "fuzzy", 0.6),
     ]
     chain = reduce(lambda rest, r: F.when(r[0], F.struct(F.lit(r[1]).alias("rule"), F.lit(r[2]).alias("confidence"))).otherwise(rest), reversed(rules), F.struct(F.lit("unrelated").alias("rule"), F.lit(0.4).alias("confidence")))
     return chain

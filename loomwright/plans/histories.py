@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.operators import trailing
 from loomwright.operators.earliest import earliest
+from loomwright.operators.history import running_median
 from loomwright.operators.trailing import SECOND, micros
 from loomwright.plans.monitoring import D, latest, now, within
 from loomwright.plans.registry import Pack
@@ -327,6 +328,21 @@ def spike_ratio(events: DataFrame) -> DataFrame:
     )
 
 
+@pack.query(
+    "events",
+    sql="""
+    WITH d AS (SELECT user_id, ts::DATE AS day, sum(floor(value * 100)::BIGINT)::DOUBLE AS v FROM events WHERE ts IS NOT NULL GROUP BY ALL)
+    SELECT user_id, day::VARCHAR AS day, v AS cents, count(v) OVER w AS n_before, median(v) OVER w AS usual, CASE WHEN median(v) OVER w IS NOT NULL THEN round(v / greatest(median(v) OVER w, 5000), 6) END AS spike
+    FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+def spike_history(events: DataFrame) -> DataFrame:
+    """Every term's total on every day against the median of all its days before, with a floor; null on the first."""
+    days = events.filter("ts IS NOT NULL").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum(F.floor(F.col("value") * 100).cast("long")).alias("cents"))
+    rows = running_median(days, "user_id", "day", "cents")
+    spike = F.when(F.col("usual").isNotNull(), F.round(F.col("cents") / F.greatest("usual", F.lit(5000.0)), 6))
+    return rows.select("user_id", F.col("day").cast("string").alias("day"), "cents", "n_before", "usual", spike.alias("spike"))
+
+
 @pack.query(
     "events",
     sql="""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loomwright.operators import trailing
 from loomwright.operators.earliest import earliest
 from loomwright.operators.trailing import SECOND, micros
+from loomwright.operators.trailing_counts import counts_before
 from loomwright.plans.registry import Pack
 from loomwright.plans.upkeep import close_pairs
 from loomwright.sources.scratch import written
@@ -60,6 +61,67 @@ def agreement_keys(names: DataFrame) -> DataFrame:
     return plain.unionByName(named.join(close, ["ticker", "core"]).select("ticker", "name", "key")).distinct()
 
 
+#: Keys of a name up to which the union of its groups is counted over all their intersections.
+MOST_KEYS = 5
+
+
+def telling_keys(keys: DataFrame) -> DataFrame:
+    """``keys`` (ticker, name, key) without those that add nothing: a key all of whose names have another one in common."""
+    sizes = keys.groupBy("ticker", "key").agg(F.count("*").alias("n"))
+    other = keys.select("ticker", "name", F.col("key").alias("wider"))
+    both = keys.join(other, ["ticker", "name"]).filter("key != wider").groupBy("ticker", "key", "wider").agg(F.count("*").alias("both"))
+    both = both.join(sizes, ["ticker", "key"]).join(sizes.select("ticker", F.col("key").alias("wider"), F.col("n").alias("m")), ["ticker", "wider"])
+    covered = both.filter("both = n AND (m > n OR wider < key)").select("ticker", "key").distinct()
+    return keys.join(covered, ["ticker", "key"], "left_anti")
+
+
+def subsets(keys: Column) -> Column:
+    """All subsets of a sorted array but the empty one, as (group, size)."""
+    masks = F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size(keys)) - 1).cast("int"))
+    chosen = lambda m: F.filter(keys, lambda _, k: F.pmod(F.floor(m / F.pow(F.lit(2.0), k)), F.lit(2)) == 1)
+    return F.when(F.size(keys) > 0, F.transform(masks, lambda m: F.struct(F.concat(F.lit("s:"), F.array_join(chosen(m), "\x1f")).alias("grp"), F.size(chosen(m)).alias("size"))))
+
+
+def collisions(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """id and same_ticker: earlier launches in the window that have a launch's ticker, but neither an agreeing name nor its logo.
+
+    They are all of the ticker less the union of the groups that the launch shares with others: one for each key of its name, and ticker with logo. The union is counted by
+    inclusion and exclusion over the groups' intersections, of which every launch is a member too, so no launches are paired. Names of more than ``MOST_KEYS`` telling keys are
+    rare; they are counted over the distinct names that agree with them.
+    """
+    telling = written(telling_keys(keys), "telling-keys")
+    named = telling.groupBy("ticker", "name").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # keys of one name
+    named = written(named, "names-with-keys")
+    logo = F.concat(F.lit("b:"), F.col("logo").cast("string"))
+    timed = written(rows.filter("at IS NOT NULL AND ticker IS NOT NULL").select("id", "at", "ticker", "name", logo.alias("logo")).join(named, ["ticker", "name"], "left"), "timed-launches")
+    few = F.col("keys").isNull() | (F.size("keys") <= MOST_KEYS)
+    own = lambda ks: F.array_compact(F.concat(F.coalesce(ks, F.array().cast("array<string>")), F.array("logo")))
+    ticker = F.concat(F.lit("t:"), "ticker")
+    in_ticker = lambda grp: F.concat(F.col("ticker"), F.lit("|"), grp)
+    groups = timed.filter(few).select("id", "at", "ticker", F.explode(subsets(own(F.col("keys")))).alias("s")).select("id", "at", in_ticker(F.col("s.grp")).alias("grp"), F.when(F.col("s.size") % 2 == 1, -1).otherwise(1).alias("sign"))
+    groups = written(groups, "shared-groups")
+    all_of = timed.select("id", "at", ticker.alias("grp"), F.lit(1).alias("sign"))
+    members, questions = groups.select("grp", "at").unionByName(all_of.select("grp", "at")), groups.unionByName(all_of)
+    many = named.filter(F.size("keys") > MOST_KEYS)
+    if not many.isEmpty():
+        # Names that agree, in which one has many keys: few, as such names are.
+        crowd = telling.join(many.select("ticker", F.col("name").alias("long")).join(telling.withColumnRenamed("name", "long"), ["ticker", "long"]), ["ticker", "key"])
+        pairs = written(crowd.groupBy("ticker", "long", "name").agg(F.array_sort(F.collect_list("key")).alias("shared")), "long-names")
+        # As members they are in the intersections of what they share with names of few keys.
+        short = pairs.join(named.filter(F.size("keys") <= MOST_KEYS).select("ticker", "name"), ["ticker", "name"])
+        met = short.select("ticker", F.col("long").alias("name"), "shared").distinct()
+        long_rows = timed.filter(~few)
+        joined = long_rows.join(met, ["ticker", "name"], "left").select("id", "at", "ticker", F.explode(subsets(own(F.col("shared")))).alias("s")).select("id", "at", in_ticker(F.col("s.grp")).alias("grp")).distinct()
+        members = members.unionByName(joined.select("grp", "at"))
+        # As questions they go through the names that agree with them, one by one, and take those of their logo once.
+        by_name = timed.select("at", F.explode(F.array_compact(F.array(in_ticker(F.concat(F.lit("N:"), "name")), in_ticker(F.concat(F.lit("N:"), "name", F.lit("|"), "logo"))))).alias("grp"))
+        asked = long_rows.select("id", "at", "ticker", F.col("name").alias("long"), "logo").join(pairs.select("ticker", "long", "name"), ["ticker", "long"])
+        asked = asked.select("id", "at", F.inline(F.array(F.struct(in_ticker(F.concat(F.lit("N:"), "name")).alias("grp"), F.lit(-1).alias("sign")), F.struct(in_ticker(F.concat(F.lit("N:"), "name", F.lit("|"), "logo")).alias("grp"), F.lit(1).alias("sign")))))
+        by_logo = long_rows.filter("logo IS NOT NULL").select("id", "at", in_ticker(F.concat(F.lit("s:"), "logo")).alias("grp"), F.lit(-1).alias("sign"))
+        members, questions = members.unionByName(by_name.select("grp", "at")), questions.unionByName(asked).unionByName(by_logo)
+    return counts_before(members, questions, WINDOW_DAYS * _DAY).select("id", F.col("n").alias("same_ticker"))
+
+
 def launches(events: DataFrame, part: DataFrame) -> DataFrame:
     """id, ts, at, name, ticker, logo, refers. Launches are dealt over all parts by their number; those that meet no part are not launches."""
     last = part.agg(F.max("p_partkey").alias("last"))  # one row
@@ -81,13 +143,14 @@ def kind_of(rank: Column, age: Column) -> Column:
 
 
 def lineage(rows: DataFrame) -> DataFrame:
-    """id, original, how (both, name, logo), rank and kind of every launch.
+    """event_id, original, how (both, name, logo), rank, kind and same_ticker (see ``collisions``) of every launch.
 
     Three tables are written on the way: the launches, the keys of each distinct name, and the groups that each launch is in.
     """
     rows = written(rows, "launches")
     timed = rows.filter("at IS NOT NULL")
-    keys = written(agreement_keys(written(rows.select("ticker", "name").distinct(), "launch-names")), "name-keys").groupBy("ticker", "name").agg(F.collect_list("key").alias("keys"))
+    name_keys = written(agreement_keys(written(rows.select("ticker", "name").distinct(), "launch-names")), "name-keys")
+    keys = name_keys.groupBy("ticker", "name").agg(F.collect_list("key").alias("keys"))
     logo = F.col("logo").cast("string")
     groups = F.concat(
         F.transform(F.coalesce("keys", F.array().cast("array<string>")), lambda k: F.concat(F.lit("n:"), "ticker", F.lit("|"), k)),
@@ -104,7 +167,7 @@ def lineage(rows: DataFrame) -> DataFrame:
     rank = F.count("*").over(trailing.window(["ticker"], _DAY, -1)) + 1
     logo_rank = F.count("*").over(trailing.window(["logo"], _DAY, -(MIN_GAP * SECOND + 1))) + 1
     places = trailing.own(dealt.withColumns({"name_rank": rank, "logo_rank": logo_rank})).select("id", "name_rank", "logo_rank")
-    e = rows.join(firsts, "id", "left").join(live, "id", "left").join(places, "id", "left")
+    e = rows.join(firsts, "id", "left").join(live, "id", "left").join(places, "id", "left").join(collisions(rows, name_keys), "id", "left")
     gap = lambda k: F.col("at") - F.col(f"{k}.at")
     old = lambda k: F.coalesce(gap(k) > MIN_GAP * SECOND, F.lit(False))
     earlier = lambda k: F.coalesce(gap(k) > 0, F.lit(False))
@@ -125,7 +188,7 @@ def lineage(rows: DataFrame) -> DataFrame:
         .otherwise(copied)
     )
     shown = F.when(F.col("how").isNotNull() | crowd, F.col("rank"))
-    return e.select(F.col("id").alias("event_id"), (-F.col("chosen.other")).alias("original"), "how", shown.alias("rank"), final.alias("kind"))
+    return e.select(F.col("id").alias("event_id"), (-F.col("chosen.other")).alias("original"), "how", shown.alias("rank"), final.alias("kind"), "same_ticker")
 
 
 def _in(words) -> str:
@@ -148,9 +211,10 @@ _LINEAGE = f"""l AS (SELECT event_id AS id, CASE WHEN event_id % 101 != 0 THEN t
         max(struct_pack(gap := gap, other := other)) FILTER (WHERE gap > INTERVAL {MIN_GAP} SECOND AND namesake AND logo) AS b, max(struct_pack(gap := gap, other := other)) FILTER (WHERE gap > INTERVAL {MIN_GAP} SECOND AND agrees) AS n,
         max(struct_pack(gap := gap, other := other)) FILTER (WHERE gap > INTERVAL {MIN_GAP} SECOND AND logo) AS lo, coalesce(bool_or(gap > INTERVAL 0 SECOND AND (agrees OR namesake AND logo)), false) AS crowd,
         coalesce(bool_or(gap > INTERVAL 0 SECOND AND logo), false) AS any_logo, coalesce(bool_or(gap > INTERVAL 0 SECOND AND agrees AND gap <= INTERVAL {QUIET_HOURS} HOUR), false) AS live,
+        count(*) FILTER (WHERE namesake AND gap > INTERVAL 0 SECOND AND NOT agrees AND NOT logo) AS same_ticker,
         1 + count(*) FILTER (WHERE namesake AND gap > INTERVAL 0 SECOND AND gap <= INTERVAL 24 HOUR) AS name_rank, 1 + count(*) FILTER (WHERE logo AND gap > INTERVAL {MIN_GAP} SECOND AND gap <= INTERVAL 24 HOUR) AS logo_rank FROM p GROUP BY id),
     e AS (SELECT l.*, CASE WHEN b IS NOT NULL THEN 'both' WHEN n IS NOT NULL THEN 'name' WHEN lo IS NOT NULL THEN 'logo' END AS how, coalesce(b, n, lo) AS x, coalesce(any_logo, false) AS any_logo, coalesce(live, false) AS live,
-        coalesce(name_rank, 1) AS name_rank, coalesce(logo_rank, 1) AS logo_rank, coalesce(crowd, false) OR (length(ticker) >= 4 AND lower(ticker) NOT IN {_in(EVERYDAY)}) AS crowd FROM l LEFT JOIN g USING (id)),
+        coalesce(same_ticker, 0) AS same_ticker, coalesce(name_rank, 1) AS name_rank, coalesce(logo_rank, 1) AS logo_rank, coalesce(crowd, false) OR (length(ticker) >= 4 AND lower(ticker) NOT IN {_in(EVERYDAY)}) AS crowd FROM l LEFT JOIN g USING (id)),
     f AS (SELECT *, CASE WHEN how = 'logo' THEN logo_rank ELSE name_rank END AS place FROM e),
     k AS (SELECT *, CASE WHEN place >= {LATE_RANK} OR x.gap > INTERVAL {LATE_HOURS} HOUR THEN 'late_copy' WHEN place <= {EARLY_RANK} AND coalesce(x.gap < INTERVAL {EARLY_HOURS} HOUR, true) THEN 'early_copy' ELSE 'copy' END AS copied FROM f)"""
 
@@ -159,7 +223,7 @@ _LINEAGE = f"""l AS (SELECT event_id AS id, CASE WHEN event_id % 101 != 0 THEN t
     "events", "part",
     sql=f"""WITH {_LINEAGE} SELECT id AS event_id, x.other AS original, how, CASE WHEN ts IS NOT NULL AND (how IS NOT NULL OR (name_rank > 1 AND crowd)) THEN place END AS rank,
       CASE WHEN ts IS NULL THEN CASE WHEN refers THEN 'reference' ELSE 'unknown' END WHEN how IS NULL THEN CASE WHEN name_rank > 1 AND crowd THEN copied WHEN refers THEN 'reference' ELSE 'original' END
-        WHEN copied = 'late_copy' AND place < {LATE_RANK} AND NOT any_logo AND NOT live THEN 'reference' ELSE copied END AS kind FROM k""",
+        WHEN copied = 'late_copy' AND place < {LATE_RANK} AND NOT any_logo AND NOT live THEN 'reference' ELSE copied END AS kind, CASE WHEN ts IS NOT NULL THEN same_ticker END AS same_ticker FROM k""",
 )
 def lineage_full(events: DataFrame, part: DataFrame) -> DataFrame:
     """Each launch's original (name and logo, else name, else logo; over five minutes older, the earliest in thirty days), its place, and its kind."""

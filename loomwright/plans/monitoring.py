@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.plans.registry import AS_OF, Pack
@@ -350,6 +350,28 @@ def pending_by_priority(orders: DataFrame) -> DataFrame:
     return counts.withColumn("ahead", F.sum("n_items").over(Window.orderBy("o_orderpriority").rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def failure_runs(events: DataFrame, failed: Column) -> DataFrame:
+    """user_id, began, ended and n_failed of every run of failures in a row, in order of (ts, event_id).
+
+    Two levels: runs inside an hour, then those that touch its ends are joined over the hours. No task orders a whole key, only one of its hours or a list of its hours.
+    """
+    rows = events.select("user_id", "ts", "event_id", F.coalesce(failed, F.lit(False)).alias("failed")).withColumn("hour", F.date_trunc("hour", "ts"))
+    inside = Window.partitionBy("user_id", "hour").orderBy("ts", "event_id")
+    rows = rows.withColumns({"place": F.row_number().over(inside), "upto": F.sum(F.col("failed").cast("int")).over(inside), "size": F.count("*").over(Window.partitionBy("user_id", "hour"))})
+    hours = rows.groupBy("user_id", "hour").agg(F.max_by("failed", "place").alias("ends_failed"))
+    before = F.lag("ends_failed", 1, False).over(Window.partitionBy("user_id").orderBy("hour"))
+    hours = hours.select(F.col("user_id").alias("_user"), F.col("hour").alias("_hour"), before.alias("was_failed"))
+    runs = rows.filter("failed").groupBy("user_id", "hour", (F.col("place") - F.col("upto")).alias("island")).agg(
+        F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("n_failed"), F.min("place").alias("first"), (F.max("place") == F.max("size")).alias("open")
+    )
+    runs = runs.join(hours, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("hour") == F.col("_hour"))).withColumn("goes_on", (F.col("first") == 1) & F.col("was_failed"))
+    whole = runs.filter("NOT goes_on AND NOT open").select("user_id", "began", "ended", "n_failed")
+    ends = runs.filter("goes_on OR open")
+    chain = F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(Window.partitionBy("user_id").orderBy("hour", "began"))
+    joined = ends.withColumn("chain", chain).groupBy("user_id", "chain").agg(F.min("began").alias("began"), F.max("ended").alias("ended"), F.sum("n_failed").alias("n_failed"))
+    return whole.unionByName(joined.drop("chain"))
+
+
 @pack.query(
     "events",
     sql="""
@@ -358,7 +380,4 @@ def pending_by_priority(orders: DataFrame) -> DataFrame:
 )
 def breaker_runs(events: DataFrame) -> DataFrame:
     """Runs of three or more failures in a row: when a circuit would have opened."""
-    failed = F.col("event_type") == "error"
-    island = F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - F.row_number().over(Window.partitionBy("user_id", failed).orderBy("ts"))
-    runs = events.withColumn("island", island).filter(failed).groupBy("user_id", "island")
-    return runs.agg(F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("n_failed")).filter("n_failed >= 3").drop("island")
+    return failure_runs(events.filter("ts IS NOT NULL"), F.col("event_type") == "error").filter("n_failed >= 3")

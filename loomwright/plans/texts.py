@@ -159,9 +159,15 @@ def snowflake_time(events: DataFrame) -> DataFrame:
 )
 def ordinal_rank(orders: DataFrame) -> DataFrame:
     """Place among the rows of a key, in words."""
-    w = Window.partitionBy("o_custkey")
-    n = F.rank().over(w.orderBy("o_orderdate", "o_orderkey"))
-    r = orders.select("o_orderkey", n.alias("n"), F.count("*").over(w).alias("m"))
+    # Two levels, so that no task orders all rows of a key: places inside a month, and the rows of the months before.
+    rows = orders.select("o_custkey", "o_orderdate", "o_orderkey", F.trunc("o_orderdate", "month").alias("month"))
+    months = rows.groupBy("o_custkey", "month").agg(F.count("*").alias("size"))
+    of_key = Window.partitionBy("o_custkey")
+    before = F.coalesce(F.sum("size").over(of_key.orderBy(F.asc_nulls_first("month")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    months = months.select(F.col("o_custkey").alias("_key"), F.col("month").alias("_month"), before.alias("before"), F.sum("size").over(of_key).alias("m"))
+    inside = F.rank().over(Window.partitionBy("o_custkey", "month").orderBy("o_orderdate", "o_orderkey"))
+    same = F.col("o_custkey").eqNullSafe(F.col("_key")) & F.col("month").eqNullSafe(F.col("_month"))
+    r = rows.withColumn("inside", inside).join(months, same).select("o_orderkey", (F.col("before") + F.col("inside")).alias("n"), "m")
     return r.select("o_orderkey", F.concat(T.ordinal(F.col("n")), F.lit(" of "), F.col("m").cast("string")).alias("place"))
 
 

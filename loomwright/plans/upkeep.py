@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions import records as R
 from loomwright.functions import segment as S
 from loomwright.plans.monitoring import D, now
 from loomwright.plans.registry import Pack
@@ -78,6 +79,36 @@ def decode_records(events: DataFrame) -> DataFrame:
     return rows.select(little_endian(F.col("data"), 1, 8).alias("event_id"), little_endian(F.col("data"), 9, 4).alias("user_id"), little_endian(F.col("data"), 0, 1).alias("flag"))
 
 
+#: An account as bytes: a kind, a padded name, a type, sizes behind a flag, a supply behind a flag.
+ACCOUNT = [(None, "u8"), ("name", "text"), ("type", "text"), ("sizes", ("optional", ("many", "u8"))), ("supply", ("optional", "u64"))]
+
+
+@pack.query(
+    "part",
+    sql="""SELECT p_partkey, CASE WHEN ok THEN p_name END AS name, CASE WHEN ok THEN p_type END AS type, CASE WHEN ok AND p_partkey % 3 > 0 THEN CASE WHEN p_partkey % 3 = 2 THEN p_size * 2 ELSE p_size END END::BIGINT AS sizes,
+      CASE WHEN ok AND p_partkey % 2 = 0 THEN p_partkey END AS supply FROM (SELECT *, p_partkey % 11 != 0 AND p_partkey % 13 != 0 AS ok FROM part)""",
+)
+def account_records(part: DataFrame) -> DataFrame:
+    """Records with length-prefixed, optional and repeated fields read from bytes; those cut off or with a length beyond their end give nulls. ``sizes`` is the sum of the repeated field."""
+
+    def little(value, size):
+        digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+        return F.concat(*[F.substring(digits, 2 * (size - 1 - k) + 1, 2) for k in range(size)])
+
+    text = lambda t, size: F.concat(little(size, 4), F.hex(t.cast("binary")))
+    key = F.col("p_partkey")
+    name = F.rpad("p_name", 20, "\0")
+    named = F.when(key % 13 == 0, F.concat(F.lit("FFFFFFFF"), F.hex(name.cast("binary")))).otherwise(text(name, F.octet_length(name)))
+    sizes = F.when(key % 3 == 0, F.lit("00")).otherwise(F.concat(F.lit("01"), little(key % 3, 4), F.repeat(little(F.col("p_size"), 1), (key % 3).cast("int"))))
+    supply = F.when(key % 2 == 0, F.concat(F.lit("01"), little(key, 8))).otherwise(F.lit("00"))
+    digits = F.concat(F.lit("04"), named, text(F.col("p_type"), F.octet_length("p_type")), sizes, supply)
+    data = F.unhex(F.when(key % 11 == 0, F.left(digits, F.length(digits) - 2)).otherwise(digits))
+    record = R.decoded(data, ACCOUNT, "name string, type string, sizes array<long>, supply long")
+    rows = part.select("p_partkey", record.alias("r"))
+    total = F.aggregate("r.sizes", F.lit(0).cast("long"), lambda t, x: t + x)
+    return rows.select("p_partkey", "r.name", "r.type", total.alias("sizes"), "r.supply")
+
+
 @pack.query("orders", sql="SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-01-01' AND (o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%')")
 def optional_filters(orders: DataFrame) -> DataFrame:
     """A search whose parameters may be missing: only those given become predicates, and reach the scan."""
@@ -104,6 +135,53 @@ def segment_words(part: DataFrame) -> DataFrame:
     return split_names(part.select(F.replace("p_name", F.lit(" "), F.lit("")).alias("compact")), words)
 
 
+#: Fixed values of the choice between two readings of a name: what a known word gains, what a lone letter, a pair of letters and any token cost, letters of a token that is
+#: looked at again inside a name of several, and how often a word of the vocabulary counts at least.
+KNOWN_WORD, LONE_LETTER, TWO_LETTERS, EACH_TOKEN, LONG_TOKEN, BOOST = 2.0, 1.5, 0.4, 0.15, 9, 500_000_000
+
+
+def resegmented(names: DataFrame, words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """name and words of each distinct name (lower case, spaced): a name of one token, and long tokens of others, are split where the pieces score better.
+
+    ``words`` (w, n) says how often words occur, and words of ``vocabulary`` (w) count as if they were very frequent. A reading gains for each token of the vocabulary and loses for lone letters, for pairs
+    of letters that aren't one, and for every token. Only letters are split. Distinct tokens are split once; a null name is left out, an empty one stays empty.
+    """
+    names = names.select("name").filter("name IS NOT NULL").distinct()
+    vocabulary = vocabulary.select("w").filter("w != ''").distinct()
+    boosted = words.select("w", "n").unionByName(vocabulary.select("w", F.lit(BOOST).cast("long").alias("n"))).groupBy("w").agg(F.max("n").alias("n"))
+    tokens = F.filter(F.split("name", " +"), lambda t: t != "")
+    rows = names.withColumn("tokens", tokens)
+    again = F.filter("tokens", lambda t: t.rlike(r"^[a-z]+$") & ((F.length(t) >= LONG_TOKEN) | (F.size("tokens") == 1)))
+    asked = rows.select(F.explode(again).alias("compact")).distinct()
+    split = split_names(asked, boosted).select(F.col("compact").alias("token"), F.split("words", " ").alias("parts")).filter(F.size("parts") > 1)
+    pieces = split.select("token", F.posexplode(F.concat(F.array("token"), "parts")).alias("at", "w"))
+    scored = pieces.join(vocabulary.withColumn("known", F.lit(True)), "w", "left")
+    points = F.when(F.col("known"), KNOWN_WORD).when(F.length("w") == 1, -LONE_LETTER).when(F.length("w") == 2, -TWO_LETTERS).otherwise(0.0) - EACH_TOKEN
+    better = scored.groupBy("token").agg(F.sum(F.when(F.col("at") == 0, points)).alias("whole"), F.sum(F.when(F.col("at") > 0, points)).alias("cut")).filter("cut > whole + 1e-9")
+    chosen = split.join(better.select("token"), "token")
+    found = rows.select("name", F.posexplode("tokens").alias("at", "token")).join(chosen, "token", "left")
+    found = found.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("parts", F.array("token")).alias("parts")))).alias("all"))  # tokens of one name
+    whole = rows.join(found, "name", "left")
+    return whole.select("name", F.coalesce(F.array_join(F.flatten(F.transform("all", lambda x: x["parts"])), " "), F.lit("")).alias("words"))
+
+
+_WRITTEN = "CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '') WHEN 2 THEN 'my ' || replace(p_name, ' ', '') || 'coin' ELSE 'qzx' || split_part(p_name, ' ', 2) END"
+
+
+@pack.query(
+    "part",
+    sql=f"""SELECT DISTINCT {_WRITTEN} AS name, CASE p_partkey % 4 WHEN 2 THEN 'my ' || p_name || ' coin' WHEN 3 THEN 'qzx ' || split_part(p_name, ' ', 2) ELSE p_name END AS words FROM part""",
+)
+def resegment_names(part: DataFrame) -> DataFrame:
+    """Names written apart, in one word, inside a longer one and behind letters that nobody knows, read again where another reading scores better."""
+    name, noun, rest = F.col("p_name"), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_partkey") % 4
+    fused = F.replace(name, F.lit(" "), F.lit(""))
+    written = F.when(rest == 0, name).when(rest == 1, fused).when(rest == 2, F.concat(F.lit("my "), fused, F.lit("coin"))).otherwise(F.concat(F.lit("qzx"), noun))
+    words = part.select(F.explode(F.split("p_name", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    vocabulary = words.select("w").union(part.sparkSession.range(1).select(F.lit("coin")))
+    return resegmented(part.select(written.alias("name")), words, vocabulary)
+
+
 def split_names(names: DataFrame, words: DataFrame) -> DataFrame:
     """compact and words of each distinct name, by a table of words (w, n) of any size: each name asks for the counts of its own pieces."""
     names = names.distinct()

@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomwright.plans.registry import Pack
 from loomwright.sources.scratch import new_folder
+from loomwright.streaming import ordered
 
 pack = Pack()
 QUERIES, ORACLE_SQL = pack.queries, pack.sql
@@ -22,10 +23,11 @@ QUERIES, ORACLE_SQL = pack.queries, pack.sql
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The stream of event files of a folder, with ``at`` as event time."""
+def read_events(spark: SparkSession, folder: str, at_once: int | None = None, pattern: str = "events*.parquet") -> DataFrame:
+    """The stream of event files of a folder, with ``at`` as event time. ``at_once`` bounds the files of a micro-batch: for files that come in order of time but for the delay of the stream's watermark."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    files = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").parquet(folder)
+    reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern)
+    files = (reader.option("maxFilesPerTrigger", at_once) if at_once else reader).parquet(folder)
     return files.withColumn("at", F.col("ts").cast("timestamp"))
 
 
@@ -91,8 +93,9 @@ def waves(events: DataFrame) -> DataFrame:
 
 
 def single_flight(events: DataFrame) -> DataFrame:
-    """One row for each key, however often it is asked for."""
-    return events.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
+    """One row for each key, however often it is asked for within ``QUIET``; then its state goes."""
+    rows = events.withWatermark("at", QUIET).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return rows.select("user_id", "event_type")
 
 
 def reuse_flight(events: DataFrame, hours: int = 12) -> DataFrame:
@@ -148,6 +151,29 @@ def job_states(events: DataFrame, attempts: int = 3) -> DataFrame:
     return keyed(events, ("none", 0), advance, "ended timestamp_ntz, outcome string, attempts int", "state string, tried int")
 
 
+#: How late rows may come for the ordered streams; rows that are newer than this before the last one still wait when the stream ends.
+ORDERED_DELAY = "1 day"
+
+
+def job_leases(events: DataFrame) -> DataFrame:
+    """How the job of each user ends: done, failed after three attempts, or expired, its lease having run out on the third. Views enqueue (or defer, if they are worth 50 or more while it runs), clicks
+    claim for twelve hours, signups renew, purchases complete, errors fail, with an hour before the next attempt."""
+    kind = F.col("event_type")
+    what = F.when((kind == "view") & (F.col("value") >= 50), "defer").when(kind == "view", "enqueue").when(kind == "click", "claim").when(kind == "signup", "renew").when(kind == "purchase", "complete").otherwise("fail")
+    rows = events.select("user_id", "event_id", "at", F.unix_micros("at").alias("us"), what.alias("what"))
+    ends = ordered.in_order(rows, "user_id", ordered.Jobs(("user_id", "ended", "outcome", "attempts")), "user_id long, ended long, outcome string, attempts int", ORDERED_DELAY)
+    return ends.withColumn("ended", F.timestamp_micros("ended").cast("timestamp_ntz"))
+
+
+def trend_index(events: DataFrame) -> DataFrame:
+    """Each time that a term (user) was on the lists: an event is a place on one, by its property k. What has not been shown for 24 hours leaves; the last 48 hours before the last place count."""
+    rows = events.select("user_id", "event_id", "at", F.unix_micros("at").alias("us"), (F.get_json_object("props", "$.k").cast("int") + 1).alias("place")).filter("place IS NOT NULL")
+    names = ("user_id", "since", "last", "times", "best", "first_place", "last_place", "direction")
+    schema = "user_id long, since long, last long, times int, best int, first_place int, last_place int, direction string"
+    found = ordered.in_order(rows, "user_id", ordered.Listed(names), schema, ORDERED_DELAY)
+    return found.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("since", "last")})
+
+
 def _register(name, stream, mode, sql):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return drain(stream(read_events(spark, sf_dir)), mode)
@@ -193,3 +219,33 @@ _register(
       FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
     SELECT user_id, ts AS ended, outcome, used AS attempts FROM r WHERE outcome IS NOT NULL""",
 )
+
+#: Rows that the watermark has passed at the end: all but those of the last day, to the millisecond.
+_PASSED = "p AS (SELECT *, (SELECT make_timestamp((epoch_us(max(ts)) // 1000 - 86400000) * 1000) FROM events) AS mark FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM p WHERE ts <= mark)"
+
+_register(
+    "stream_job_leases", job_leases, "append",
+    f"""WITH RECURSIVE {_PASSED}, w AS (SELECT user_id, n, ts, mark, CASE WHEN event_type = 'view' AND value >= 50 THEN 'defer' WHEN event_type = 'view' THEN 'enqueue' WHEN event_type = 'click' THEN 'claim' WHEN event_type = 'signup' THEN 'renew' WHEN event_type = 'purchase' THEN 'complete' ELSE 'fail' END AS what FROM o),
+    r AS (SELECT user_id, n, mark, ts, CASE WHEN what = 'enqueue' THEN 'waiting' ELSE 'none' END AS state, ts AS until, 0 AS tried, NULL::TIMESTAMP AS gone, 0 AS gone_tried, NULL::VARCHAR AS outcome, 0 AS used FROM w WHERE n = 1
+      UNION ALL SELECT user_id, n, mark, ts,
+        CASE WHEN s = 'none' THEN CASE WHEN what = 'enqueue' THEN 'waiting' ELSE 'none' END WHEN s = 'waiting' THEN CASE WHEN what = 'claim' AND ts >= u THEN 'running' ELSE 'waiting' END
+          WHEN what = 'complete' OR (what = 'fail' AND t >= 3) THEN 'none' WHEN what IN ('defer', 'fail') THEN 'waiting' ELSE 'running' END,
+        CASE WHEN s = 'none' THEN ts WHEN s = 'waiting' THEN CASE WHEN what = 'claim' AND ts >= u THEN ts + INTERVAL 12 HOUR ELSE u END
+          WHEN what = 'renew' THEN ts + INTERVAL 12 HOUR WHEN what = 'defer' THEN ts + INTERVAL 2 HOUR WHEN what = 'fail' THEN ts + INTERVAL 1 HOUR ELSE u END,
+        CASE WHEN s = 'none' THEN 0 WHEN s = 'waiting' THEN CASE WHEN what = 'claim' AND ts >= u THEN t + 1 ELSE t END WHEN what = 'defer' THEN greatest(0, t - 1) WHEN what = 'complete' OR (what = 'fail' AND t >= 3) THEN 0 ELSE t END,
+        gone, gone_tried, CASE WHEN s = 'running' AND what = 'complete' THEN 'done' WHEN s = 'running' AND what = 'fail' AND t >= 3 THEN 'failed' END, t
+      FROM (SELECT w.user_id, w.n, w.mark, w.ts, w.what, out_ AND tried >= 3 AS lost, CASE WHEN out_ THEN CASE WHEN tried >= 3 THEN 'none' ELSE 'waiting' END ELSE state END AS s, until AS u,
+          CASE WHEN out_ AND tried >= 3 THEN 0 ELSE tried END AS t, CASE WHEN out_ AND tried >= 3 THEN until END AS gone, tried AS gone_tried
+        FROM (SELECT *, state = 'running' AND until <= next_ts AS out_ FROM (SELECT r.*, x.ts AS next_ts FROM r JOIN w x ON x.user_id = r.user_id AND x.n = r.n + 1)) q JOIN w ON w.user_id = q.user_id AND w.n = q.n + 1)),
+    z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1)
+    SELECT user_id, ts AS ended, outcome, used AS attempts FROM r WHERE outcome IS NOT NULL UNION ALL SELECT user_id, gone, 'expired', gone_tried FROM r WHERE gone IS NOT NULL
+    UNION ALL SELECT user_id, until, 'expired', tried FROM z WHERE state = 'running' AND until <= mark AND tried >= 3""",
+)
+_register(
+    "stream_trend_index", trend_index, "append",
+    f"""WITH {_PASSED}, g AS (SELECT user_id, event_id, ts, mark, (props->>'k')::INT + 1 AS place, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 24 HOUR THEN 0 ELSE 1 END AS fresh FROM o WHERE props->>'k' IS NOT NULL),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS stay FROM g), m AS (SELECT *, min(ts) OVER k AS since, max(ts) OVER k AS last FROM s WINDOW k AS (PARTITION BY user_id, stay)),
+    a AS (SELECT user_id, stay, any_value(since) AS since, any_value(last) AS last, count(*)::INT AS times, min(place) AS best, arg_min(place, (ts, event_id)) AS first_place, arg_max(place, (ts, event_id)) AS last_place
+      FROM m WHERE ts > last - INTERVAL 48 HOUR AND last + INTERVAL 24 HOUR <= mark GROUP BY user_id, stay)
+    SELECT user_id, since, last, times, best, first_place, last_place, CASE WHEN last_place >= best + 10 THEN 'falling' WHEN last_place < first_place THEN 'rising' ELSE 'steady' END AS direction FROM a""",
+)

@@ -72,3 +72,17 @@ def test_words_of_any_length_are_known():
         cuts = itertools.chain.from_iterable(itertools.combinations(range(1, len(text)), k) for k in range(len(text)))
         best = max(sum(price(text[a:b]) for a, b in itertools.pairwise([0, *c, len(text)])) for c in cuts)
         assert sum(map(price, segment.best_split(text, known, 30))) == pytest.approx(best)
+
+
+def test_resegmented(spark):
+    from loomwright.plans.upkeep import resegmented
+
+    words = [("deep", 5), ("seek", 7), ("robo", 2), ("taxi", 3), ("a", 50), ("cat", 9), ("in", 20)]
+    vocabulary = ["deep", "seek", "dog", "hat", "cat", "wif", "dogwifhat"]
+    cases = {
+        "deepseek": "deep seek", "dogwifhat": "dogwifhat", "catwifhat": "cat wif hat", "my catwifhat now": "my cat wif hat now", "my catdog now": "my catdog now",  # short tokens of a longer name stay
+        "deep seek": "deep seek", "zzzz": "zzzz", "": "", "catwifhät x": "catwifhät x", "dogs": "dog s", "robotaxi": "robotaxi",
+    }
+    df = spark.createDataFrame([(n,) for n in cases] * 2 + [(None,)], "name string").select("*", *[__import__("pyspark").sql.functions.lit(1).alias("tokens_")])
+    found = resegmented(df, spark.createDataFrame(words, "w string, n long"), spark.createDataFrame([(v,) for v in vocabulary], "w string")).collect()
+    assert {r["name"]: r["words"] for r in found} == cases and len(found) == len(cases)
