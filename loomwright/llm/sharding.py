@@ -22,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import written
+
 #: Rows of one shard and bucket, about, that one task numbers; and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 4096, 65_536
 
@@ -103,9 +105,9 @@ def shard_documents(documents: DataFrame, n_shards: int = 24) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
     )
     placed = descend(rows, F.col("doc_id"), topology(n_shards), "shard")
-    numbered = number(placed, "shard", "doc_id", ["doc_id", "size", "text_crc32"])
-    grown = descend(numbered, F.col("doc_id"), topology(n_shards + 1, founding=n_shards), "grown_shard")
-    return grown.select(
+    grown = descend(placed, F.col("doc_id"), topology(n_shards + 1, founding=n_shards), "grown_shard")
+    placed = written(grown.drop("grown_shard_region", "grown_shard_rack"), "placed")  # some bytes a document: texts are read and trees descended once
+    return number(placed, "shard", "doc_id", ["doc_id", "size", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard",
         F.col("shard_region").alias("region"), F.col("shard_rack").alias("rack"),
     )
