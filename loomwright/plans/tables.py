@@ -59,7 +59,7 @@ def replace_partitions(events: DataFrame) -> DataFrame:
     rows = events.select("event_id", "value", "event_type")
     sinks.replace_partitions(path, rows, "event_type")
     sinks.replace_partitions(path, rows.filter(F.col("event_type").isin("click", "error")).withColumn("value", F.col("value") * 2), "event_type")
-    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("n_items"), F.round(F.sum("value"), 3).alias("total"))
+    return spark.read.schema(rows.schema).parquet(path).groupBy("event_type").agg(F.count("*").alias("n_items"), F.round(F.sum("value"), 3).alias("total"))
 
 
 _MAYBE = "CASE WHEN {k} % 5 != 0 THEN {k} % 3 END"

@@ -45,6 +45,10 @@ def least(name: str) -> Column:
     return F.min(name)
 
 
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+
 class StoredTable:
     """A table of rows with unique ``keys`` and a rule for each further column: how stored and new values of a key become one.
 
@@ -108,7 +112,7 @@ class StoredTable:
         return self.spark.read.schema(state["schema"]).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def read(self) -> DataFrame:
-        """The table as of the last commit."""
+        """The table as of the last commit; before the first one it has no columns of its own."""
         state = self.state()
         rows = self._stored(state)
         return rows if rows is not None else self.spark.createDataFrame([], state["schema"] or "none int")
@@ -123,7 +127,7 @@ class StoredTable:
         made = [f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory()]
         folders = {b: f for b, f in state["folders"].items() if int(b) not in touched}
         folders |= {name.partition("=")[2]: f"{folder}/{name}" for name in made if name.startswith("_bucket=")}
-        return state | {"folders": folders, "schema": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)}
+        return state | {"folders": folders, "schema": _ddl(rows)}
 
     def _merged(self, stored: DataFrame | None, batch: DataFrame, order: Column | None) -> DataFrame:
         names = [*self.keys, *self.rules]
@@ -139,7 +143,10 @@ class StoredTable:
         if state["applied"].get(source, -1) >= number:
             return False
         touched = sorted(r[0] for r in batch.select(self._bucket(state["buckets"]).alias("b")).distinct().collect())  # partition numbers
-        state = self._write(self._merged(self._stored(state, touched), batch, order), state, touched) if touched else state
+        if touched:
+            state = self._write(self._merged(self._stored(state, touched), batch, order), state, touched)
+        elif not state["schema"]:
+            state = state | {"schema": _ddl(self._merged(None, batch, order).select(*self.keys, *self.rules))}
         self._commit(state | {"applied": state["applied"] | {source: number}})
         return True
 
