@@ -6,26 +6,35 @@ and slice, and what lies before a slice comes from a list with one row for each
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MICRO = 1_000_000
 
 
-def counts_before(members: DataFrame, questions: DataFrame, seconds: int, slice_seconds: int = 3600) -> DataFrame:
+def counts_before(members: DataFrame | None, questions: DataFrame | None, seconds: int, slice_seconds: int = 3600, own: DataFrame | None = None) -> DataFrame:
     """id and n: for each id the sum over its ``questions`` (id, grp, at, sign) of sign times the number of ``members`` (grp, at) of the group from ``seconds`` before ``at`` up to just before it.
 
-    Times are in microseconds. Rows without a time or group are left out; an id whose questions find nothing has 0. Members that repeat count each.
+    ``own`` (id, grp, at, sign) are both at once, in half as many rows. Times are in microseconds. Rows without a time or group are left out; an id whose questions find nothing has 0. Members that
+    repeat count each. Groups are told apart by 96 bits of their hash, which are shorter to order than names.
     """
     none = F.lit(None).cast("long")
-    points = members.select("grp", F.col("at").alias("t"), none.alias("id"), none.alias("sign"), F.lit(1).alias("member"))
-    for sign, t in ((1, F.col("at")), (-1, F.col("at") - seconds * MICRO)):
-        points = points.unionByName(questions.select("grp", t.alias("t"), "id", (F.col("sign") * sign).cast("long").alias("sign"), F.lit(0).alias("member")))
-    points = points.filter("grp IS NOT NULL AND t IS NOT NULL").withColumn("slice", F.floor(F.col("t") / (slice_seconds * MICRO)).cast("long"))
-    order = Window.partitionBy("grp", "slice").orderBy("t", "member").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = points.withColumn("inside", F.sum("member").over(order)).filter("member = 0")
-    slices = points.groupBy("grp", "slice").agg(F.sum("member").alias("size"))
-    before = F.sum("size").over(Window.partitionBy("grp").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    slices = slices.select("grp", "slice", F.coalesce(before, F.lit(0)).alias("before"))
-    counted = inside.join(slices, ["grp", "slice"])
+    row = lambda df, t, id_, sign, member: df.select("grp", t.alias("t"), id_.alias("id"), sign.cast("long").alias("sign"), F.lit(member).alias("member"))
+    parts, start = [], F.col("at") - seconds * MICRO
+    if own is not None:
+        parts += [row(own, F.col("at"), F.col("id"), F.col("sign"), 1), row(own, start, F.col("id"), -F.col("sign"), 0)]
+    if members is not None:
+        parts.append(row(members, F.col("at"), none, none, 1))
+    if questions is not None:
+        parts += [row(questions, F.col("at"), F.col("id"), F.col("sign"), 0), row(questions, start, F.col("id"), -F.col("sign"), 0)]
+    points = reduce(DataFrame.union, parts).filter("grp IS NOT NULL AND t IS NOT NULL")
+    points = points.select(F.xxhash64("grp").alias("g"), F.crc32("grp").alias("h"), F.floor(F.col("t") / (slice_seconds * MICRO)).cast("long").alias("slice"), "t", "id", "sign", "member")
+    earlier = Window.partitionBy("g", "h", "slice").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    inside = points.withColumn("inside", F.coalesce(F.sum("member").over(earlier), F.lit(0))).filter("id IS NOT NULL")
+    slices = points.groupBy("g", "h", "slice").agg(F.sum("member").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("g", "h").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.select("g", "h", "slice", F.coalesce(before, F.lit(0)).alias("before"))
+    counted = inside.join(slices, ["g", "h", "slice"])
     return counted.groupBy("id").agg(F.sum(F.col("sign") * (F.col("before") + F.col("inside"))).alias("n"))

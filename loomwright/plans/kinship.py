@@ -89,22 +89,23 @@ def collisions(rows: DataFrame, keys: DataFrame) -> DataFrame:
     inclusion and exclusion over the groups' intersections, of which every launch is a member too, so no launches are paired. Names of more than ``MOST_KEYS`` telling keys are
     rare; they are counted over the distinct names that agree with them.
     """
-    telling = written(telling_keys(keys), "telling-keys")
-    named = telling.groupBy("ticker", "name").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # keys of one name
+    named = telling_keys(keys).groupBy("ticker", "name").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # keys of one name
     named = written(named, "names-with-keys")
     logo = F.concat(F.lit("b:"), F.col("logo").cast("string"))
-    timed = written(rows.filter("at IS NOT NULL AND ticker IS NOT NULL").select("id", "at", "ticker", "name", logo.alias("logo")).join(named, ["ticker", "name"], "left"), "timed-launches")
+    timed = rows.filter("at IS NOT NULL AND ticker IS NOT NULL").select("id", "at", "ticker", "name", logo.alias("logo")).join(named, ["ticker", "name"], "left")
     few = F.col("keys").isNull() | (F.size("keys") <= MOST_KEYS)
     own = lambda ks: F.array_compact(F.concat(F.coalesce(ks, F.array().cast("array<string>")), F.array("logo")))
     ticker = F.concat(F.lit("t:"), "ticker")
     in_ticker = lambda grp: F.concat(F.col("ticker"), F.lit("|"), grp)
-    groups = timed.filter(few).select("id", "at", "ticker", F.explode(subsets(own(F.col("keys")))).alias("s")).select("id", "at", in_ticker(F.col("s.grp")).alias("grp"), F.when(F.col("s.size") % 2 == 1, -1).otherwise(1).alias("sign"))
-    groups = written(groups, "shared-groups")
-    all_of = timed.select("id", "at", ticker.alias("grp"), F.lit(1).alias("sign"))
-    members, questions = groups.select("grp", "at").unionByName(all_of.select("grp", "at")), groups.unionByName(all_of)
+    shared = F.when(few, F.transform(subsets(own(F.col("keys"))), lambda x: F.struct(in_ticker(x["grp"]).alias("grp"), F.when(x["size"] % 2 == 1, -1).otherwise(1).alias("sign"))))
+    of_ticker = F.array(F.struct(ticker.alias("grp"), F.lit(1).alias("sign")))
+    own_groups = timed.select("id", "at", F.inline(F.concat(of_ticker, F.coalesce(shared, F.array().cast("array<struct<grp:string,sign:int>>")))))
+    own_groups = written(own_groups, "shared-groups")
+    members = questions = None
     many = named.filter(F.size("keys") > MOST_KEYS)
     if not many.isEmpty():
         # Names that agree, in which one has many keys: few, as such names are.
+        telling = named.select("ticker", "name", F.explode("keys").alias("key"))
         crowd = telling.join(many.select("ticker", F.col("name").alias("long")).join(telling.withColumnRenamed("name", "long"), ["ticker", "long"]), ["ticker", "key"])
         pairs = written(crowd.groupBy("ticker", "long", "name").agg(F.array_sort(F.collect_list("key")).alias("shared")), "long-names")
         # As members they are in the intersections of what they share with names of few keys.
@@ -112,14 +113,14 @@ def collisions(rows: DataFrame, keys: DataFrame) -> DataFrame:
         met = short.select("ticker", F.col("long").alias("name"), "shared").distinct()
         long_rows = timed.filter(~few)
         joined = long_rows.join(met, ["ticker", "name"], "left").select("id", "at", "ticker", F.explode(subsets(own(F.col("shared")))).alias("s")).select("id", "at", in_ticker(F.col("s.grp")).alias("grp")).distinct()
-        members = members.unionByName(joined.select("grp", "at"))
+        members = joined.select("grp", "at")
         # As questions they go through the names that agree with them, one by one, and take those of their logo once.
         by_name = timed.select("at", F.explode(F.array_compact(F.array(in_ticker(F.concat(F.lit("N:"), "name")), in_ticker(F.concat(F.lit("N:"), "name", F.lit("|"), "logo"))))).alias("grp"))
         asked = long_rows.select("id", "at", "ticker", F.col("name").alias("long"), "logo").join(pairs.select("ticker", "long", "name"), ["ticker", "long"])
         asked = asked.select("id", "at", F.inline(F.array(F.struct(in_ticker(F.concat(F.lit("N:"), "name")).alias("grp"), F.lit(-1).alias("sign")), F.struct(in_ticker(F.concat(F.lit("N:"), "name", F.lit("|"), "logo")).alias("grp"), F.lit(1).alias("sign")))))
         by_logo = long_rows.filter("logo IS NOT NULL").select("id", "at", in_ticker(F.concat(F.lit("s:"), "logo")).alias("grp"), F.lit(-1).alias("sign"))
-        members, questions = members.unionByName(by_name.select("grp", "at")), questions.unionByName(asked).unionByName(by_logo)
-    return counts_before(members, questions, WINDOW_DAYS * _DAY).select("id", F.col("n").alias("same_ticker"))
+        members, questions = members.unionByName(by_name.select("grp", "at")), asked.unionByName(by_logo)
+    return counts_before(members, questions, WINDOW_DAYS * _DAY, own=own_groups).select("id", F.col("n").alias("same_ticker"))
 
 
 def launches(events: DataFrame, part: DataFrame) -> DataFrame:
