@@ -99,15 +99,15 @@ def plain_evidence(items, dictionary, everyday):
 
 def test_evidence(spark):
     items = [
-        (1, ["deep", "seek", "dogs"], "DEEP", "a deep seek in the deep"), (2, ["deepseek"], "XI", None), (3, ["niggy", "pops"], "POP", "iggy pop pop"), (4, ["hawk", "tuah", "farm"], None, "hawk tuah hawk"),
-        (5, None, None, None), (6, [], "", ""), (7, ["glass", "bus"], "GLAS", "dogs and deep sea"), (8, ["just", "a", "chill", "guy"], "CHILL", "chill guy"), (8, ["just", "a", "chill", "guy"], "CHILL", "chill guy"),
+        (1, ["calm", "lake", "ferns"], "CALM", "a calm lake in the calm"), (2, ["calmlake"], "XI", None), (3, ["xalder", "pines"], "PINE", "alder pine pine"), (4, ["crane", "lift", "yard"], None, "crane lift crane"),
+        (5, None, None, None), (6, [], "", ""), (7, ["glass", "bus"], "GLAS", "ferns and calm sea"), (8, ["such", "a", "quiet", "rain"], "QUIET", "quiet rain"), (8, ["such", "a", "quiet", "rain"], "QUIET", "quiet rain"),
     ]
     dictionary = [
-        ("deep seek", 1, False, 0.91), ("deep", 2, False, 0.31), ("dog", 3, False, 0.47), ("iggy", 4, True, 0.63), ("iggy pop", 4, False, 0.63), ("pop", 5, True, 0.11), ("hawk", 6, False, 0.27), ("hawk tuah", 7, False, 0.83),
-        ("chill guy", 8, False, 0.57), ("just a chill guy", 9, False, 0.57), ("chill", 10, True, 0.33), ("deep", 11, True, 0.93), ("glas", 12, False, 0.21), ("", 13, False, 0.5), ("dog", 3, True, 0.49), ("tuah farm", 14, False, 0.13),
+        ("calm lake", 1, False, 0.91), ("calm", 2, False, 0.31), ("fern", 3, False, 0.47), ("alder", 4, True, 0.63), ("alder pine", 4, False, 0.63), ("pine", 5, True, 0.11), ("crane", 6, False, 0.27), ("crane lift", 7, False, 0.83),
+        ("quiet rain", 8, False, 0.57), ("such a quiet rain", 9, False, 0.57), ("quiet", 10, True, 0.33), ("calm", 11, True, 0.93), ("glas", 12, False, 0.21), ("", 13, False, 0.5), ("fern", 3, True, 0.49), ("lift yard", 14, False, 0.13),
     ]
     dictionary = [(*d[:3], d[3] + 0.0013) for d in dictionary]  # no weight in the middle between two thousandths
-    everyday = {"deep", "hawk", "pop"}
+    everyday = {"calm", "crane", "pine"}
     found = lexicon.evidence(
         spark.createDataFrame(items, "id long, tokens array<string>, symbol string, description string").select("*", F.lit("x").alias("text")),
         spark.createDataFrame(dictionary, "surface string, item_id long, name_only boolean, popularity double"),
@@ -116,7 +116,7 @@ def test_evidence(spark):
     got = {tuple(r[c] for c in ("id", "field", "surface", "item_id", "weight", "generic")) for r in found}
     assert len(found) == len(got)
     assert got == plain_evidence(items, dictionary, everyday)
-    assert (2, "name", "deep seek", 1) in {r[:4] for r in got} and (1, "name", "dog", 3) in {r[:4] for r in got} and (3, "name", "iggy", 4) not in {r[:4] for r in got}
+    assert (2, "name", "calm lake", 1) in {r[:4] for r in got} and (1, "name", "fern", 3) in {r[:4] for r in got} and (3, "name", "alder", 4) not in {r[:4] for r in got}
 
 
 def test_evidence_of_random_items(spark):

@@ -19,14 +19,14 @@ def test_fuzzy_part_loses_none():
 
 
 CASES = [  # name, ticker, post -> how the name is matched, its score, how the ticker is, longest run
-    (["chill", "guy"], "CHILL", "just a Chill Guy today", "exact", 1.0, "none", 2),
-    (["dog"], "DOG", "a hotdog stand", "none", 0.0, "none", 0),
-    (["deep", "seek"], "DEEP", "the deepseek model", "fused", 0.9, "none", 0),
-    (["deepseek"], "SEEK", "deep seek is out", "fused", 0.9, "bare", 0),
-    (["guy", "chill"], "GC", "chill guy", "words", 0.8, "none", 1),
-    (["moo", "deng", "of"], "MOODENG", "deng was seen", "words", 0.3, "none", 1),
-    (["peanut"], "PNUT", "the peanyt is here, $pnut", "none", 0.0, "cashtag", 0),
-    (["squirrel"], "PNUT", "squirel ran $PNUX", "fuzzy", round(0.45 * 14 / 15, 3), "one off", 0),
+    (["quiet", "rain"], "QUIET", "such a Quiet Rain today", "exact", 1.0, "none", 2),
+    (["fern"], "FERN", "a treefern stand", "none", 0.0, "none", 0),
+    (["calm", "lake"], "CALM", "the calmlake model", "fused", 0.9, "none", 0),
+    (["calmlake"], "LAKE", "calm lake is out", "fused", 0.9, "bare", 0),
+    (["rain", "quiet"], "RQ", "quiet rain", "words", 0.8, "none", 1),
+    (["boo", "leng", "of"], "BOOLENG", "leng was seen", "words", 0.3, "none", 1),
+    (["walnut"], "WLNT", "the walnyt is here, $wlnt", "none", 0.0, "cashtag", 0),
+    (["marigold"], "MRGD", "marigod ran $MRGX", "fuzzy", round(0.45 * 14 / 15, 3), "one off", 0),
     (["x"], "CAT", "#cat", "none", 0.0, "hashtag", 0),
     (["x"], "CAT", "my cat", "none", 0.0, "none", 0),
     (["x"], "CAT", "my CAT", "none", 0.0, "bare", 0),
@@ -39,13 +39,13 @@ CASES = [  # name, ticker, post -> how the name is matched, its score, how the t
 def test_verdicts(spark):
     rows = [(k, name, ticker, post) for k, (name, ticker, post, *_) in enumerate(CASES)]
     df = spark.createDataFrame(rows, "k long, name array<string>, ticker string, post string").select("*", F.lit(1).alias("plain_"), F.lit("x").alias("word"))
-    everyday = spark.createDataFrame([("cat",), ("CAT",), ("dog",), ("chill",), ("deep",)], "word string")
+    everyday = spark.createDataFrame([("cat",), ("CAT",), ("fern",), ("quiet",), ("calm",)], "word string")
     found = {r["k"]: r for r in matching.verdicts(df, everyday).collect()}
     assert len(found) == len(CASES)
     for k, (*_, how, score, ticker_how, run) in enumerate(CASES):
         r = found[k]
         if k == 6:  # a changed letter is two edits of eleven
-            assert r["name_how"] == ("fuzzy" if plain_partial("peanut", "thepeanytisherepnut") >= 0.88 else "none")
+            assert r["name_how"] == ("fuzzy" if plain_partial("walnut", "thewalnytisherewlnt") >= 0.88 else "none")
             continue
         assert (r["name_how"], r["name_score"], r["ticker_how"], r["run"]) == (how, score, ticker_how, run), (k, r)
     assert found[0]["verdict"] == "match" and found[5]["verdict"] == "partial" and found[12]["verdict"] == "none"

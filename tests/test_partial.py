@@ -77,11 +77,11 @@ def test_words_of_any_length_are_known():
 def test_resegmented(spark):
     from loomwright.plans.upkeep import resegmented
 
-    words = [("deep", 5), ("seek", 7), ("robo", 2), ("taxi", 3), ("a", 50), ("cat", 9), ("in", 20)]
-    vocabulary = ["deep", "seek", "dog", "hat", "cat", "wif", "dogwifhat"]
+    words = [("calm", 5), ("lake", 7), ("tram", 2), ("ride", 3), ("a", 50), ("cat", 9), ("in", 20)]
+    vocabulary = ["calm", "lake", "fern", "hat", "cat", "wob", "fernwobhat"]
     cases = {
-        "deepseek": "deep seek", "dogwifhat": "dogwifhat", "catwifhat": "cat wif hat", "my catwifhat now": "my cat wif hat now", "my catdog now": "my catdog now",  # short tokens of a longer name stay
-        "deep seek": "deep seek", "zzzz": "zzzz", "": "", "catwifhät x": "catwifhät x", "dogs": "dog s", "robotaxi": "robotaxi",
+        "calmlake": "calm lake", "fernwobhat": "fernwobhat", "catwobhat": "cat wob hat", "my catwobhat now": "my cat wob hat now", "my catfern now": "my catfern now",  # short tokens of a longer name stay
+        "calm lake": "calm lake", "zzzz": "zzzz", "": "", "catwobhät x": "catwobhät x", "ferns": "fern s", "tramride": "tramride",
     }
     df = spark.createDataFrame([(n,) for n in cases] * 2 + [(None,)], "name string").select("*", *[__import__("pyspark").sql.functions.lit(1).alias("tokens_")])
     found = resegmented(df, spark.createDataFrame(words, "w string, n long"), spark.createDataFrame([(v,) for v in vocabulary], "w string")).collect()
