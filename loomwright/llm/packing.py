@@ -48,7 +48,7 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str
         width = 4 * capacity
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode.buffers(batch["text"].to_pylist()), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode.buffers(batch["text"]), strict=True):
                 ids += end
                 cuts = [0, *range((len(ids) - 1) % width + 1, len(ids) + 1, width)]
                 for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

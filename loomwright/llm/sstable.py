@@ -223,7 +223,7 @@ def write_shards(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY
     def encode(batches):
         tool, end = encoder(vocabulary, "words", f"<u{width}"), np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
-            ids = [x + end for x in tool.buffers(batch["text"].to_pylist())]
+            ids = [x + end for x in tool.buffers(batch["text"])]
             shard = np.searchsorted(cuts, batch["doc_id"].fill_null(-(1 << 63)).to_numpy(), side="left").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch["doc_id"], pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
 

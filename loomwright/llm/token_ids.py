@@ -1,4 +1,4 @@
-"""Whole texts to token ids with the ``tokenizers`` library, each distinct chunk encoded once.
+"""Whole texts to token ids with the ``tokenizers`` library, each distinct word of a batch looked up once.
 
 Both vocabularies used here never merge across a space that stands before a word, so a text may be cut
 there and every chunk encoded by itself. A byte-level vocabulary keeps white space as tokens; its texts
@@ -8,6 +8,9 @@ space goes through the tokenizer in one piece, as does any text with the literal
 space and newline. Chunks of Latin letters, digits and ASCII marks, for which all versions of Unicode agree,
 are split by the vocabulary's own pattern and given to the library's merge model directly; all others, and
 texts that cannot be cut, go through its whole encoder. The ids are the library's own in either case.
+
+A batch is cut at byte places of its Arrow buffer. Its chunks are dictionary-encoded, the distinct ones are cut once more into
+word and marks, and only what is distinct among those is looked up or encoded; NumPy lays the ids out in the order of the texts.
 """
 
 from __future__ import annotations
@@ -18,12 +21,19 @@ from array import array
 from string import punctuation
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-#: Chunks, and pieces of chunks, in each of the two generations that one worker process keeps: a bound on memory that changes no id.
+#: Words, marks and other chunks in each of the two generations that one worker process keeps: a bound on memory that changes no id.
 CACHE_CHUNKS = 150_000
-_RUN = re.compile(r"\s\s")
+#: Look-ups between two checks of that bound.
+LOOK_UPS = 10_000
+#: Two characters of white space, whatever version of Unicode the engine knows.
+_RUN = "[" + "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace()) + "]{2}"
 _PLAIN = re.compile("[\n\x20-\x7e\u00a1-\u012f\u0131-\u024f]*")
+#: A plain word with at most one space before it, which the patterns take as one piece.
+_WORD = "^ ?[" + "".join(c for c in map(chr, range(0x250)) if c.isalpha() and _PLAIN.fullmatch(c)) + "]+$"
 #: Fixed values of the public vocabularies: how each splits a text before its merges.
 PATTERNS = {
     "bytes": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
@@ -84,7 +94,6 @@ class Encoder:
         self.split = regex.compile(PATTERNS[kind]).findall
         self.letters = byte_letters()
         self.space = self.letters[32]
-        self.pieces = _Chunks(self._merged, {})
         self.known = _Chunks(self._chunk, {})
 
     def _whole(self, text: str) -> bytes:
@@ -103,36 +112,88 @@ class Encoder:
             return self._whole(chunk)
         if self.kind == "words":
             chunk = chunk.lower()
-        if len(self.pieces) > CACHE_CHUNKS:
-            self.pieces = self.pieces.next()
-        pieces = self.pieces
-        core = chunk.rstrip(punctuation)
-        mark = chunk[len(core) :]
-        if (core[1:] if core[:1] == " " else core).isalpha():  # one word, and marks perhaps, which the pattern takes as one piece
-            return pieces[core] + pieces[mark] if mark else pieces[core]
-        return b"".join([pieces[p] for p in self.split(chunk)])
-
-    def _cut(self, text: str) -> list[str] | None:
-        """Chunks whose encodings, joined, are the encoding of the text; None: take it whole."""
-        for literal in self.literals:
-            if literal in text:
-                return None
-        if self.kind == "words":
-            return text.replace("\n", " ").split(" ")
-        if _RUN.search(text) or "\0" in text:
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
+            return self._merged(chunk)
+        parts = self.split(chunk)
+        return b"".join([self.known[p] for p in parts]) if len(parts) > 1 else self._merged(parts[0]) if parts else b""
+
+    def _uncut(self, texts: pa.Array) -> np.ndarray:
+        """Which texts are taken whole."""
+        out = np.full(len(texts), "" in self.literals)
+        for literal in filter(None, self.literals):
+            out |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
+        if self.kind == "bytes":
+            out |= pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)
+        return out
 
-    def buffers(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as one buffer; null: empty."""
-        out: list[bytes] = []
-        for text in texts:
+    def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Chunks whose encodings, joined, are the encodings of the texts, and how many stand before each text's end."""
+        starts, data = _places(texts)
+        text = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data else np.empty(0, np.uint8)
+        line = text == 10
+        cut = np.zeros(len(text) + 1, bool)
+        cut[:-1] = line | (text == 32)
+        if self.kind == "bytes":  # a newline is a chunk of its own; elsewhere a chunk begins with the space or newline before it
+            cut[1:] |= line
+        cut[starts - starts[0]] = True
+        cuts = np.flatnonzero(cut)
+        return _strings(cuts + starts[0], data), np.searchsorted(cuts, starts[1:] - starts[0])
+
+    def _ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the parts one after the other, and where each part's end."""
+        found: list[bytes] = []
+        for at in range(0, len(parts), LOOK_UPS):
             if len(self.known) > CACHE_CHUNKS:
                 self.known = self.known.next()
-            chunks = self._cut(text) if text else []
             known = self.known
-            out.append(self._whole(text) if chunks is None else b"".join([known[c] for c in chunks]))
-        return out
+            found += [known[p] for p in parts.slice(at, LOOK_UPS).to_pylist()]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // self.dtype.itemsize
+        return np.frombuffer(b"".join(found), self.dtype), ends
+
+    def buffers(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of each text as one buffer; null: empty."""
+        texts = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()), "")
+        uncut = self._uncut(texts)
+        if uncut.all():
+            return [self._whole(t) for t in texts.to_pylist()]
+        chunks, last = self._chunks(texts.filter(pa.array(~uncut)) if uncut.any() else texts)
+        chunks = chunks.dictionary_encode()
+        distinct = chunks.dictionary if self.kind == "bytes" else pc.utf8_ltrim(chunks.dictionary, " \n")
+        words = pc.utf8_rtrim(distinct, punctuation)
+        size = pc.binary_length(pc.if_else(pc.match_substring_regex(words, _WORD), words, distinct)).to_numpy()
+        starts, data = _places(distinct)
+        halves = np.empty(2 * len(distinct) + 1, np.int64)  # each distinct chunk's word and the marks after it, or all of it and nothing
+        halves[::2], halves[1::2] = starts, starts[:-1] + size
+        halves = _strings(halves, data).dictionary_encode()
+        ids, ends = _laid_out(*self._ids(halves.dictionary), halves.indices.to_numpy())
+        ids, ends = _laid_out(ids, ends[1::2], chunks.indices.to_numpy())
+        ends = np.concatenate([np.zeros(1, np.int64), ends])[np.concatenate([np.zeros(1, np.int64), last])] * self.dtype.itemsize
+        joined = memoryview(ids.tobytes())
+        cut = (bytes(joined[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False))
+        if not uncut.any():
+            return list(cut)
+        return [self._whole(texts[n].as_py()) if whole else next(cut) for n, whole in enumerate(uncut.tolist())]
+
+
+def _places(texts: pa.Array) -> tuple[np.ndarray, pa.Buffer | None]:
+    """Byte places of a large string array without nulls, and its bytes."""
+    _, places, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(1, np.int64), data
+    return np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1], data
+
+
+def _strings(places: np.ndarray, data: pa.Buffer | None) -> pa.Array:
+    """The strings between neighbouring byte places."""
+    return pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(np.ascontiguousarray(places, np.int64)), data or pa.py_buffer(b""))
+
+
+def _laid_out(ids: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of entries (``ends``: where each one's end) in a given order, and where they end there."""
+    size = np.diff(ends, prepend=0)
+    first, size = (ends - size)[order], size[order]
+    out = np.cumsum(size)
+    return ids[np.arange(out[-1] if len(out) else 0) + np.repeat(first - out + size, size)], out
 
 
 def encoder(name: str, kind: str, dtype: str = "<u4") -> Encoder:

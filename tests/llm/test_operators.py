@@ -11,6 +11,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -77,6 +78,34 @@ def test_encoder_gives_the_librarys_ids(name, kind):
     assert [np.frombuffer(b, "<u4").tolist() for b in tool.buffers(texts)] == want
 
 
+@pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")])
+def test_encoder_looks_each_word_of_a_batch_up_once(name, kind):
+    tool = token_ids.Encoder(token_ids.vocabulary_path(name), kind)
+    asked = collections.Counter()
+
+    class Counting(token_ids._Chunks):
+        def __getitem__(self, chunk):
+            asked[chunk] += 1
+            return super().__getitem__(chunk)
+
+    tool.known = Counting(tool._chunk, {})
+    texts = ["One two, two; two.\nthree three! two" + " two" * 50, None, "", "two three, two three.", "two  two <|endoftext|> two", "中 two, 中."] * 20
+    want = [tool.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    batch = pa.array(["cut off", *texts])[1:]  # as Arrow gives a slice of a column
+    assert [np.frombuffer(b, "<u4").tolist() for b in tool.buffers(batch)] == want
+    assert asked and max(asked.values()) == 1
+    assert tool.buffers(batch[:0]) == [] and tool.buffers(pa.nulls(2, pa.string())) == [b"", b""]
+
+
+def test_encoder_with_a_small_table(monkeypatch):
+    monkeypatch.setattr(token_ids, "CACHE_CHUNKS", 3)
+    monkeypatch.setattr(token_ids, "LOOK_UPS", 2)
+    tool = token_ids.Encoder(token_ids.vocabulary_path("byte_bpe_50k.json"), "bytes")
+    texts = [t for _, t in fixture()]
+    assert [np.frombuffer(b, "<u4").tolist() for b in tool.buffers(texts)] == [tool.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(tool.known) < 20
+
+
 @pytest.mark.parametrize("name,kind,known", [("byte_bpe_50k.json", "bytes", [64, 220, 50256, 275]), ("word_bpe_49k.json", "words", [320, 49407, 321])])
 def test_added_tokens_are_those_of_the_librarys_default(name, kind, known):
     from tokenizers import Tokenizer
