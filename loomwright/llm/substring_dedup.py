@@ -219,19 +219,21 @@ def removed_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     clean = sorted_out.filter("hits IS NULL").select("doc_id", "n_words", "kept_sha256")
     shared = sorted_out.filter("hits IS NOT NULL").select("row", "doc_id", "text", "hits")
 
-    window_schema = pa.schema([("hash", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
+    # The place follows the hash at once: of a shuffled row, the codec then stores these two alone, as the rest repeats the row before.
+    window_schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("at", pa.int32())])
 
     def find_windows(batches):
         for batch in batches:
             for row, doc_id, text, own in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text", "hits")), strict=True):
                 h = word_hashes(words_of(text))
                 at = np.flatnonzero(np.isin(anchors(h, window, gram), np.array(own, np.int64).view(np.uint64)))
-                yield _batch((run_hashes(h, window, at).view(np.int64), np.full(len(at), row), np.full(len(at), doc_id), at.astype(np.int32)), window_schema)
+                yield _batch((np.full(len(at), row), np.full(len(at), doc_id), run_hashes(h, window, at).view(np.int64), at.astype(np.int32)), window_schema)
 
-    windows = written(shared.mapInArrow(find_windows, "hash long, row long, doc_id long, at int"), "windows")
+    windows = written(shared.mapInArrow(find_windows, "row long, doc_id long, hash long, at int"), "windows")
     first = windows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last").select("hash", "first")
     first = written(first, "first-windows")  # then the join below reads two tables, and Spark can split a window that very many documents have
-    routes = windows.join(first, "hash").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("routes"))
+    # Two lists of plain numbers, filled row by row and so in the same order; as one list of structs they take 32 bytes a window.
+    routes = windows.join(first, "hash").groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("first").alias("first"))
 
     step = max(1, PIECE_WORDS - window + 1)
     text_schema = pa.schema([("home", pa.int64()), ("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
@@ -239,21 +241,22 @@ def removed_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     def cut_texts(batches):
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for row, doc_id, text, routes in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text", "routes")), strict=True):
+            places = zip(*(([x.values.to_numpy() for x in batch[c]]) for c in ("at", "first")), strict=True)
+            for row, doc_id, text, (at, home) in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text")), places, strict=True):
                 words = words_of(text)
-                at = np.array([r["at"] for r in routes], np.int64)
-                home = np.array([r["first"] for r in routes], np.int64)
+                order = np.argsort(at)  # a row has one window at a place
+                at, home = at[order].astype(np.int64), home[order]
                 cuts = [0, *(np.flatnonzero((np.diff(at) != 1) | (np.diff(home) != 0)) + 1).tolist(), len(at)]
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     first, last = int(at[a]), int(at[b - 1])
                     for start in range(first, last + 1, step):
                         end = min(start + step - 1, last) + window
-                        value = (home[a], int(home[a] != doc_id), row, doc_id, start, end - start, b" ".join(words[start:end]))
+                        value = (int(home[a]), int(home[a] != doc_id), row, doc_id, start, end - start, b" ".join(words[start:end]))
                         for column, x in zip(out, value, strict=True):
                             column.append(x)
             yield _batch(out, text_schema)
 
-    texts = shared.join(routes, "row").mapInArrow(cut_texts, "home long, kind int, row long, doc_id long, start int, n int, words binary")
+    texts = shared.select("row", "doc_id", "text").join(routes, "row").mapInArrow(cut_texts, "home long, kind int, row long, doc_id long, start int, n int, words binary")
     texts = written(texts, "span-texts")
     discard(windows, first)
     total = texts.filter("kind = 0").agg(F.sum("n")).first()[0] or 0

@@ -430,6 +430,27 @@ def test_substrings(docs, empty, monkeypatch, shard_words, piece_words):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_texts_meet_their_routes_in_few_columns(docs, monkeypatch):
+    sides = []
+
+    def joined(plan):
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        if "Join" in plan.nodeName():
+            sides.extend({f"{c.output().apply(i).name()} {c.output().apply(i).dataType().simpleString()}" for i in range(c.output().size())} for c in children)
+        for c in children:
+            joined(c)
+
+    def seen(df, name, write=substring_dedup.written):
+        if name == "span-texts":
+            joined(df._jdf.queryExecution().sparkPlan())
+        return write(df, name)
+
+    monkeypatch.setattr(substring_dedup, "written", seen)
+    assert substring_dedup.removed_spans(docs)
+    assert {"row bigint", "doc_id bigint", "text string"} in sides  # no anchors beside the text
+    assert {"row bigint", "at array<int>", "first array<bigint>"} in sides
+
+
 def test_automaton_against_search():
     rng = random.Random(9)
     for _ in range(60):
