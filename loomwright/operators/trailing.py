@@ -30,6 +30,15 @@ def window(keys: list[str], seconds_back: int, upto_micros: int = 0):
     return Window.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(-seconds_back * SECOND, upto_micros)
 
 
+def count(keys: list[str], seconds_back: int, upto_micros: int = 0) -> Column:
+    """How many rows of the same keys ``window`` holds, on sliced rows: what runs up to its end less what runs up to its start.
+
+    Spark goes through a frame with two moving ends anew for every row; running counts are kept from row to row, so a crowded slice costs its rows once.
+    """
+    running = lambda end: F.count("*").over(Window.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(Window.unboundedPreceding, end))
+    return running(upto_micros) - running(-seconds_back * SECOND - 1)
+
+
 def own(df: DataFrame) -> DataFrame:
     """Without the context rows."""
     return df.filter("_own")

@@ -161,10 +161,14 @@ def copy_rank(events: DataFrame) -> DataFrame:
     sql="SELECT event_id, " + ", ".join(f"count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL {h} HOUR PRECEDING AND CURRENT ROW) AS n_{h}h" for h in (1, 6, 24)) + " FROM events",
 )
 def siblings(events: DataFrame) -> DataFrame:
-    """Rows of the same key in the last 1, 6 and 24 hours, the row itself included."""
-    dealt = trailing.sliced(events.select("event_id", "event_type", "ts"), "ts", 86_400)
-    counts = {f"n_{h}h": F.count("*").over(trailing.window(["event_type"], h * 3600)) for h in (1, 6, 24)}
-    return trailing.own(dealt.withColumns(counts)).select("event_id", *counts)
+    """Rows of the same key in the last 1, 6 and 24 hours, the row itself included; rows without a time are together."""
+    rows, hours = events.select("event_id", "event_type", "ts"), (1, 6, 24)
+    dealt = trailing.sliced(rows.filter("ts IS NOT NULL"), "ts", 86_400)
+    timed = trailing.own(dealt.withColumns({f"n_{h}h": trailing.count(["event_type"], h * 3600) for h in hours}))
+    untimed = rows.filter("ts IS NULL")
+    together = untimed.groupBy(F.col("event_type").alias("key")).agg(F.count("*").alias("n"))
+    untimed = untimed.join(together, F.col("event_type").eqNullSafe(F.col("key"))).select("event_id", *[F.col("n").alias(f"n_{h}h") for h in hours])
+    return timed.select("event_id", *[f"n_{h}h" for h in hours]).unionByName(untimed)
 
 
 @pack.query(
