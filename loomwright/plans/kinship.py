@@ -247,10 +247,9 @@ def name_agreement(part: DataFrame) -> DataFrame:
 def lineage_siblings(events: DataFrame, part: DataFrame) -> DataFrame:
     """Launches of the last 1, 6 and 24 hours that share the ticker or the logo, this one included: counted by each and by both."""
     dealt = trailing.sliced(launches(events, part).filter("ts IS NOT NULL").select("id", "ts", "ticker", "logo"), "ts", _DAY)
-
-    def within(hours: int) -> Column:
-        count = lambda *keys: F.count("*").over(trailing.window(list(keys), hours * 3600))
-        return count("ticker") + F.when(F.col("logo").isNotNull(), count("logo") - count("ticker", "logo")).otherwise(0)
-
-    counts = {f"siblings_{h}h": within(h) for h in (1, 6, 24)}
-    return trailing.own(dealt.withColumns(counts)).select(F.col("id").alias("event_id"), *counts)
+    hours = (1, 6, 24)
+    # Ticker before both: its rows lie together already.
+    counted = dealt.withColumns({f"t{h}": trailing.count(["ticker"], h * 3600) for h in hours}).withColumns({f"b{h}": trailing.count(["ticker", "logo"], h * 3600) for h in hours})
+    counted = counted.withColumns({f"l{h}": trailing.count(["logo"], h * 3600) for h in hours})
+    within = lambda h: F.col(f"t{h}") + F.when(F.col("logo").isNotNull(), F.col(f"l{h}") - F.col(f"b{h}")).otherwise(0)
+    return trailing.own(counted).select(F.col("id").alias("event_id"), *[within(h).alias(f"siblings_{h}h") for h in hours])

@@ -3,8 +3,10 @@
 import datetime
 import random
 
+from pyspark.sql import functions as F
+
 from loomwright.operators import trailing
-from loomwright.plans import histories
+from loomwright.plans import histories, kinship
 
 START = datetime.datetime(2024, 1, 10)
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -49,3 +51,16 @@ def test_siblings(spark):
         want = [sum(k == key and (s is None if at is None else s is not None and 0 <= at - s <= h * 3600) for _, s, k in rows) for h in (1, 6, 24)]
         assert got[i] == tuple(want)
     assert len(got) == len(rows)
+
+
+def test_lineage_siblings(spark):
+    rows, df = crowd(spark)
+    part = spark.createDataFrame([(k, name) for k, name in enumerate(["old ring", "hot ring", "new bolt", "odd"])], "p_partkey long, p_name string")
+    found = kinship.lineage_siblings(df.withColumn("event_type", F.coalesce("event_type", F.lit("error"))), part)
+    assert not moving(found)
+    launch = {i: (at, i % 4 // 2 if i % 4 < 3 else "odd", i % 7 * 3 + i % 3 if key else None) for i, at, key in rows if at is not None and i % 101}
+    got = {r["event_id"]: tuple(r)[1:] for r in found.collect()}
+    assert got.keys() == launch.keys()
+    for i, (at, ticker, logo) in launch.items():
+        near = [at - s for s, t, g in launch.values() if s <= at and (t == ticker or logo is not None and g == logo)]
+        assert got[i] == tuple(sum(gap <= h * 3600 for gap in near) for h in (1, 6, 24))
