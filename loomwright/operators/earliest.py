@@ -25,6 +25,6 @@ def earliest(entries: DataFrame, days: int) -> DataFrame:
     found = rows.unionByName(probes).withColumn("here", F.last("row", ignorenulls=True).over(order)).filter("probe IS NOT NULL")
     starts = rows.groupBy("grp", "day").agg(F.min("row").alias("row"))
     asked = found.select("grp", "day").distinct().join(starts, ["grp", "day"], "full")
-    following = Window.partitionBy("grp").orderBy("day").rowsBetween(1, Window.unboundedFollowing)
-    later = asked.withColumn("next", F.first("row", ignorenulls=True).over(following)).select("grp", "day", "next")
+    following = Window.partitionBy("grp").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    later = asked.withColumn("next", F.last("row", ignorenulls=True).over(following)).select("grp", "day", "next")
     return found.join(later, ["grp", "day"]).select("grp", F.col("probe").alias("id"), F.coalesce("here", "next").alias("first"))

@@ -23,12 +23,15 @@ def counts_before(members: DataFrame | None, questions: DataFrame | None, second
     none = F.lit(None).cast("long")
     row = lambda df, t, id_, sign, member: df.select("grp", t.alias("t"), id_.alias("id"), sign.cast("long").alias("sign"), F.lit(member).alias("member"))
     parts, start = [], F.col("at") - seconds * MICRO
+    # Before the first member there is nothing to count, so windows that begin there have no point at their beginning.
+    begin = reduce(DataFrame.union, [df.select("at") for df in (own, members) if df is not None]).agg(F.min("at").alias("begin"))  # one row
+    late = lambda df: df.crossJoin(F.broadcast(begin)).filter(start > F.col("begin"))
     if own is not None:
-        parts += [row(own, F.col("at"), F.col("id"), F.col("sign"), 1), row(own, start, F.col("id"), -F.col("sign"), 0)]
+        parts += [row(own, F.col("at"), F.col("id"), F.col("sign"), 1), row(late(own), start, F.col("id"), -F.col("sign"), 0)]
     if members is not None:
         parts.append(row(members, F.col("at"), none, none, 1))
     if questions is not None:
-        parts += [row(questions, F.col("at"), F.col("id"), F.col("sign"), 0), row(questions, start, F.col("id"), -F.col("sign"), 0)]
+        parts += [row(questions, F.col("at"), F.col("id"), F.col("sign"), 0), row(late(questions), start, F.col("id"), -F.col("sign"), 0)]
     points = reduce(DataFrame.union, parts).filter("grp IS NOT NULL AND t IS NOT NULL")
     points = points.select(F.xxhash64("grp").alias("g"), F.crc32("grp").alias("h"), F.floor(F.col("t") / (slice_seconds * MICRO)).cast("long").alias("slice"), "t", "id", "sign", "member")
     earlier = Window.partitionBy("g", "h", "slice").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)

@@ -7,13 +7,14 @@ is cut by days, and one row for each day tells where the next launch is. Launche
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.operators import trailing
 from loomwright.operators.earliest import earliest
 from loomwright.operators.trailing import SECOND, micros
 from loomwright.operators.trailing_counts import counts_before
+from loomwright.operators.whole_groups import look_back
 from loomwright.plans.registry import Pack
 from loomwright.plans.upkeep import close_pairs
 from loomwright.sources.scratch import written
@@ -29,6 +30,8 @@ EVERYDAY = ("small", "large", "red", "blue", "old", "new", "hot", "cold", "ring"
 FILLER, WORD_LETTERS, FUZZY, FUZZY_LETTERS = ("old", "new"), 4, 0.85, 6
 
 _DAY = 86_400
+#: More than any two ids are apart.
+_IDS = 1 << 64
 
 
 def compact_of(name: Column) -> Column:
@@ -63,6 +66,8 @@ def agreement_keys(names: DataFrame) -> DataFrame:
 
 #: Keys of a name up to which the union of its groups is counted over all their intersections.
 MOST_KEYS = 5
+#: Launches up to which a group is ordered whole by one task, and logos beyond that up to which they are broadcast.
+CROWD, MOST_CROWDED = 1_000_000, 100_000
 
 
 def telling_keys(keys: DataFrame) -> DataFrame:
@@ -82,54 +87,141 @@ def subsets(keys: Column) -> Column:
     return F.when(F.size(keys) > 0, F.transform(masks, lambda m: F.struct(F.concat(F.lit("s:"), F.array_join(chosen(m), "\x1f")).alias("grp"), F.size(chosen(m)).alias("size"))))
 
 
+def with_crowds(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` with ``crowded``: whether a row's logo has more than ``CROWD`` rows; and whether there are any such."""
+    crowds = written(rows.filter("logo IS NOT NULL").groupBy("logo").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("logo", F.lit(True).alias("many")), "crowded-logos")
+    n = crowds.count()
+    if n == 0:
+        return rows.withColumn("crowded", F.lit(False)), False
+    crowds = F.broadcast(crowds) if n <= MOST_CROWDED else crowds
+    return rows.join(crowds, "logo", "left").withColumn("crowded", F.coalesce("many", F.lit(False))).drop("many"), True
+
+
+def names_with_keys(keys: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(ticker, name, keys, crowds, crowd): the telling keys of each name as a sorted array, which of them more than ``CROWD`` launches have, and whether the ticker has as many; ``sizes`` (ticker, name, n) are the launches of names."""
+    single = telling_keys(keys).join(sizes, ["ticker", "name"])
+    totals = single.groupBy("ticker", "key").agg((F.sum("n") > CROWD).alias("crowd"))
+    named = single.join(totals, ["ticker", "key"]).groupBy("ticker", "name").agg(F.array_sort(F.collect_list(F.struct("key", "crowd"))).alias("k"))  # keys of one name
+    tickers = sizes.groupBy("ticker").agg((F.sum("n") > CROWD).alias("crowd"))
+    return written(named.join(tickers, "ticker").select("ticker", "name", F.col("k.key").alias("keys"), F.col("k.crowd").alias("crowds"), "crowd"), "names-with-keys")
+
+
+def name_groups(named: DataFrame) -> DataFrame:
+    """(ticker, name, groups) from ``names_with_keys``: the groups that a name is in, as (grp, kind, sign, crowd, stem, logo_kind, logo_sign).
+
+    Kind t is the ticker, n one key, s several keys at once. ``stem`` begins the name of the group's part that has a logo too, of kind b for the ticker, else x. Signs are those by which the ticker less the
+    union of what a launch shares is counted. A name of more than ``MOST_KEYS`` keys has groups without a sign for its keys, and none of several.
+    """
+    in_ticker = lambda grp: F.concat(F.col("ticker"), F.lit("|"), grp)
+    group = lambda grp, kind, sign, crowd, stem, logo_kind, logo_sign: F.struct(
+        grp.alias("grp"), kind.alias("kind"), sign.cast("int").alias("sign"), crowd.alias("crowd"), stem.alias("stem"), logo_kind.alias("logo_kind"), logo_sign.cast("int").alias("logo_sign"))
+    few = F.size("keys") <= MOST_KEYS
+    ticker = group(F.concat(F.lit("t:"), "ticker"), F.lit("t"), F.lit(1), F.col("crowd"), in_ticker(F.lit("s:")), F.lit("b"), F.when(few, -1).otherwise(0))
+    # An intersection is crowded if all its keys are.
+    known = F.map_from_arrays("keys", "crowds")
+    crowded = lambda grp: F.forall(F.split(F.substring(grp, 3, 1 << 30), "\x1f"), lambda k: F.coalesce(F.element_at(known, k), F.lit(True)))
+    sign = lambda x: F.when(x["size"] % 2 == 1, -1).otherwise(1)
+    met = F.transform(subsets(F.col("keys")), lambda x: group(
+        in_ticker(x["grp"]), F.when(x["size"] == 1, "n").otherwise("s"), sign(x), crowded(x["grp"]), F.concat(in_ticker(x["grp"]), F.lit("\x1f")), F.lit("x"), -sign(x)))
+    alone = F.transform(F.arrays_zip("keys", "crowds"), lambda z: group(in_ticker(F.concat(F.lit("s:"), z["keys"])), F.lit("n"), F.lit(0), z["crowds"], F.lit(None).cast("string"), F.lit("x"), F.lit(0)))
+    return named.select("ticker", "name", F.concat(F.array(ticker), F.when(few, met).otherwise(alone)).alias("groups"))
+
+
+def long_names(timed: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Members and questions for ``counts_before`` of launches whose names have more than ``MOST_KEYS`` telling keys, which are rare: counted over the distinct names that agree with them. None if there are none."""
+    many = named.filter(F.size("keys") > MOST_KEYS)
+    if many.isEmpty():
+        return None
+    own = lambda ks: F.array_compact(F.concat(ks, F.array("logo")))
+    in_ticker = lambda grp: F.concat(F.col("ticker"), F.lit("|"), grp)
+    # Names that agree, in which one has many keys: few, as such names are.
+    telling = named.select("ticker", "name", F.explode("keys").alias("key"))
+    crowd = telling.join(many.select("ticker", F.col("name").alias("long")).join(telling.withColumnRenamed("name", "long"), ["ticker", "long"]), ["ticker", "key"])
+    pairs = written(crowd.groupBy("ticker", "long", "name").agg(F.array_sort(F.collect_list("key")).alias("shared")), "long-names")
+    # As members they are in the intersections of what they share with names of few keys.
+    short = pairs.join(named.filter(F.size("keys") <= MOST_KEYS).select("ticker", "name"), ["ticker", "name"])
+    met = short.select("ticker", F.col("long").alias("name"), "shared").distinct()
+    long_rows = timed.join(many.select("ticker", "name"), ["ticker", "name"], "left_semi")
+    shared = F.coalesce("shared", F.array().cast("array<string>"))
+    joined = long_rows.join(met, ["ticker", "name"], "left").select("id", "at", "ticker", F.explode(subsets(own(shared))).alias("s")).select("id", "at", in_ticker(F.col("s.grp")).alias("grp")).distinct()
+    # As questions they go through the names that agree with them, one by one, and take those of their logo once.
+    by_name = timed.select("at", F.explode(F.array_compact(F.array(in_ticker(F.concat(F.lit("N:"), "name")), in_ticker(F.concat(F.lit("N:"), "name", F.lit("|"), "logo"))))).alias("grp"))
+    asked = long_rows.select("id", "at", "ticker", F.col("name").alias("long"), "logo").join(pairs.select("ticker", "long", "name"), ["ticker", "long"])
+    asked = asked.select("id", "at", F.inline(F.array(F.struct(in_ticker(F.concat(F.lit("N:"), "name")).alias("grp"), F.lit(-1).alias("sign")), F.struct(in_ticker(F.concat(F.lit("N:"), "name", F.lit("|"), "logo")).alias("grp"), F.lit(1).alias("sign")))))
+    by_logo = long_rows.filter("logo IS NOT NULL").select("id", "at", in_ticker(F.concat(F.lit("s:"), "logo")).alias("grp"), F.lit(-1).alias("sign"))
+    return joined.select("grp", "at").unionByName(by_name.select("grp", "at")), asked.unionByName(by_logo)
+
+
+def standing(rows: DataFrame, keys: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What the groups of each launch tell: id; the earliest launch in the window of the same ticker and logo (b), agreeing name (n) and logo (l), itself if none is earlier, as gap in microseconds and
+    other; how many of an agreeing name were ``live``, of the ticker (named) and of the logo (marked) in the last day; and same_ticker (see ``collisions``).
+
+    ``keys`` (ticker, name, key) and ``sizes`` (ticker, name, n) are of the distinct names. A launch's groups are made from its name's, which lose no agreement by having telling keys only. Groups of at most
+    ``CROWD`` launches are ordered whole; larger ones are cut by days and hours.
+    """
+    named = names_with_keys(keys, sizes)
+    groups = written(name_groups(named), "name-groups")
+    timed, crowded_logos = with_crowds(rows.filter("at IS NOT NULL").select("id", "at", "ticker", "name", "logo"))
+    timed = timed.withColumn("logo", F.concat(F.lit("b:"), F.col("logo").cast("string")))
+    shared = timed.join(groups, ["ticker", "name"]).select("id", "at", "logo", "crowded", F.inline("groups"))
+    plain = F.struct("grp", "kind", "sign", "crowd")
+    with_logo = F.struct(F.concat("stem", "logo").alias("grp"), F.col("logo_kind").alias("kind"), F.col("logo_sign").alias("sign"), (F.col("crowd") & F.col("crowded")).alias("crowd"))
+    entries = shared.select("id", "at", F.inline(F.array(plain, with_logo))).filter("grp IS NOT NULL")
+    by_logo = timed.filter("logo IS NOT NULL").select("id", "at", F.concat(F.lit("l:"), "logo").alias("grp"), F.lit("l").alias("kind"), F.lit(0).alias("sign"), F.col("crowded").alias("crowd"))
+    entries = entries.unionByName(by_logo)
+    long = long_names(timed.drop("crowded"), named)
+    spans = {"quiet": (QUIET_HOURS * 3600, 0), "day": (_DAY, 0), "aged": (_DAY, MIN_GAP), "month": (WINDOW_DAYS * _DAY, 0)}
+    found = look_back(entries.filter("NOT crowd"), ("first", WINDOW_DAYS * _DAY), spans)
+    # Of its counts each kind needs one, and the earliest as its gap and id.
+    seen = lambda kind: F.when(kind == "n", F.col("quiet")).when(kind == "t", F.col("day")).when(kind == "l", F.col("aged")).alias("seen")
+    earlier = lambda kind: [F.when(kind.isin("n", "l", "b"), c).alias(name) for name, c in (("gap", F.col("at") - F.col("first.at")), ("other", -F.col("first.other")))]
+    counted = F.col("sign") * F.col("month") if long is None else F.lit(None).cast("long")
+    parts = [found.select("id", "kind", *earlier(F.col("kind")), seen(F.col("kind")), counted.alias("n"))]
+    crowded = None
+    if crowded_logos or not groups.filter(F.exists("groups", lambda g: g["crowd"])).isEmpty():
+        crowded = written(entries.filter("crowd"), "crowded-groups")
+        of = lambda kinds: crowded.filter(F.col("kind").isin(*kinds)).select("id", "at", F.concat("kind", "grp").alias("grp"))
+        kind = F.left("grp", F.lit(1))
+        firsts = earliest(of("nlb"), WINDOW_DAYS).join(crowded.select("id", "at").distinct(), "id")
+        parts.append(firsts.select("id", kind.alias("kind"), *earlier(kind)))
+        recent = trailing.sliced(of("tnl").withColumn("ts", F.timestamp_micros("at")), "ts", max(_DAY, QUIET_HOURS * 3600))
+        recent = recent.withColumns({name: trailing.count(["grp"], back, -1 - upto * SECOND) for name, (back, upto) in spans.items() if name != "month"})
+        parts.append(trailing.own(recent).select("id", kind.alias("kind"), seen(kind)))
+    if long is not None or crowded is not None:
+        members, questions = long or (None, None)
+        signed = (entries if long is not None else crowded).filter("sign != 0").select("id", "grp", "at", "sign")
+        parts.append(counts_before(members, questions, WINDOW_DAYS * _DAY, own=signed).select("id", "n"))
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part, allowMissingColumns=True)
+    # A launch's rows are as many as its groups, far apart: they meet before they are combined. Of several names' earliest the one with the largest gap, then id, as one number.
+    whole = lambda c: F.col(c).cast("decimal(20,0)")
+    farthest = whole("gap") * F.lit(str(_IDS)).cast("decimal(20,0)") + whole("other")
+    pick = lambda k, c: F.max(F.when(F.col("kind") == k, c))
+    kept = together.repartition("id").groupBy("id").agg(
+        *[pick(k, F.col(c)).alias(f"{k}_{c}") for k in "bl" for c in ("gap", "other")], pick("n", F.col("gap")).alias("n_gap"), pick("n", farthest).alias("farthest"),
+        *[pick(k, F.col("seen")).alias(name) for k, name in (("n", "live"), ("t", "named"), ("l", "marked"))], F.sum("n").alias("same_ticker"),
+    )
+    return kept.withColumn("n_other", (F.col("farthest") - whole("n_gap") * F.lit(str(_IDS)).cast("decimal(20,0)")).cast("long")).drop("farthest")
+
+
 def collisions(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """id and same_ticker: earlier launches in the window that have a launch's ticker, but neither an agreeing name nor its logo.
 
     They are all of the ticker less the union of the groups that the launch shares with others: one for each key of its name, and ticker with logo. The union is counted by
-    inclusion and exclusion over the groups' intersections, of which every launch is a member too, so no launches are paired. Names of more than ``MOST_KEYS`` telling keys are
-    rare; they are counted over the distinct names that agree with them.
+    inclusion and exclusion over the groups' intersections, of which every launch is a member too, so no launches are paired (see ``standing``).
     """
-    named = telling_keys(keys).groupBy("ticker", "name").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # keys of one name
-    named = written(named, "names-with-keys")
-    logo = F.concat(F.lit("b:"), F.col("logo").cast("string"))
-    timed = rows.filter("at IS NOT NULL AND ticker IS NOT NULL").select("id", "at", "ticker", "name", logo.alias("logo")).join(named, ["ticker", "name"], "left")
-    few = F.col("keys").isNull() | (F.size("keys") <= MOST_KEYS)
-    own = lambda ks: F.array_compact(F.concat(F.coalesce(ks, F.array().cast("array<string>")), F.array("logo")))
-    ticker = F.concat(F.lit("t:"), "ticker")
-    in_ticker = lambda grp: F.concat(F.col("ticker"), F.lit("|"), grp)
-    shared = F.when(few, F.transform(subsets(own(F.col("keys"))), lambda x: F.struct(in_ticker(x["grp"]).alias("grp"), F.when(x["size"] % 2 == 1, -1).otherwise(1).alias("sign"))))
-    of_ticker = F.array(F.struct(ticker.alias("grp"), F.lit(1).alias("sign")))
-    own_groups = timed.select("id", "at", F.inline(F.concat(of_ticker, F.coalesce(shared, F.array().cast("array<struct<grp:string,sign:int>>")))))
-    own_groups = written(own_groups, "shared-groups")
-    members = questions = None
-    many = named.filter(F.size("keys") > MOST_KEYS)
-    if not many.isEmpty():
-        # Names that agree, in which one has many keys: few, as such names are.
-        telling = named.select("ticker", "name", F.explode("keys").alias("key"))
-        crowd = telling.join(many.select("ticker", F.col("name").alias("long")).join(telling.withColumnRenamed("name", "long"), ["ticker", "long"]), ["ticker", "key"])
-        pairs = written(crowd.groupBy("ticker", "long", "name").agg(F.array_sort(F.collect_list("key")).alias("shared")), "long-names")
-        # As members they are in the intersections of what they share with names of few keys.
-        short = pairs.join(named.filter(F.size("keys") <= MOST_KEYS).select("ticker", "name"), ["ticker", "name"])
-        met = short.select("ticker", F.col("long").alias("name"), "shared").distinct()
-        long_rows = timed.filter(~few)
-        joined = long_rows.join(met, ["ticker", "name"], "left").select("id", "at", "ticker", F.explode(subsets(own(F.col("shared")))).alias("s")).select("id", "at", in_ticker(F.col("s.grp")).alias("grp")).distinct()
-        members = joined.select("grp", "at")
-        # As questions they go through the names that agree with them, one by one, and take those of their logo once.
-        by_name = timed.select("at", F.explode(F.array_compact(F.array(in_ticker(F.concat(F.lit("N:"), "name")), in_ticker(F.concat(F.lit("N:"), "name", F.lit("|"), "logo"))))).alias("grp"))
-        asked = long_rows.select("id", "at", "ticker", F.col("name").alias("long"), "logo").join(pairs.select("ticker", "long", "name"), ["ticker", "long"])
-        asked = asked.select("id", "at", F.inline(F.array(F.struct(in_ticker(F.concat(F.lit("N:"), "name")).alias("grp"), F.lit(-1).alias("sign")), F.struct(in_ticker(F.concat(F.lit("N:"), "name", F.lit("|"), "logo")).alias("grp"), F.lit(1).alias("sign")))))
-        by_logo = long_rows.filter("logo IS NOT NULL").select("id", "at", in_ticker(F.concat(F.lit("s:"), "logo")).alias("grp"), F.lit(-1).alias("sign"))
-        members, questions = members.unionByName(by_name.select("grp", "at")), asked.unionByName(by_logo)
-    return counts_before(members, questions, WINDOW_DAYS * _DAY, own=own_groups).select("id", F.col("n").alias("same_ticker"))
+    return standing(rows, keys, rows.groupBy("ticker", "name").agg(F.count("*").alias("n"))).select("id", "same_ticker")
 
 
 def launches(events: DataFrame, part: DataFrame) -> DataFrame:
     """id, ts, at, name, ticker, logo, refers. Launches are dealt over all parts by their number; those that meet no part are not launches."""
     last = part.agg(F.max("p_partkey").alias("last"))  # one row
-    named = events.crossJoin(F.broadcast(last)).withColumn("k", F.col("event_id") % (F.col("last") + 1)).join(part.select("p_partkey", "p_name"), F.col("k") == F.col("p_partkey"))
+    names = part.select("p_partkey", "p_name", F.upper(F.left(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(4))).alias("ticker"))
+    named = events.crossJoin(F.broadcast(last)).withColumn("k", F.col("event_id") % (F.col("last") + 1)).join(names, F.col("k") == F.col("p_partkey"))
     ts = F.when(F.col("event_id") % 101 != 0, F.col("ts"))
     rows = named.select(
-        F.col("event_id").alias("id"), ts.alias("ts"), F.col("p_name").alias("name"), F.upper(F.left(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(4))).alias("ticker"),
+        F.col("event_id").alias("id"), ts.alias("ts"), F.col("p_name").alias("name"), "ticker",
         F.when(F.col("event_type") != "error", F.col("user_id") * 3 + F.col("event_id") % 3).alias("logo"), (F.col("event_type") == "signup").alias("refers"),
     )
     return rows.withColumn("at", micros("ts"))
@@ -146,39 +238,22 @@ def kind_of(rank: Column, age: Column) -> Column:
 def lineage(rows: DataFrame) -> DataFrame:
     """event_id, original, how (both, name, logo), rank, kind and same_ticker (see ``collisions``) of every launch.
 
-    Three tables are written on the way: the launches, the keys of each distinct name, and the groups that each launch is in.
+    Written on the way: the launches, and for each distinct name its number, its keys and its groups.
     """
     rows = written(rows, "launches")
-    timed = rows.filter("at IS NOT NULL")
-    name_keys = written(agreement_keys(written(rows.select("ticker", "name").distinct(), "launch-names")), "name-keys")
-    keys = name_keys.groupBy("ticker", "name").agg(F.collect_list("key").alias("keys"))
-    logo = F.col("logo").cast("string")
-    groups = F.concat(
-        F.transform(F.coalesce("keys", F.array().cast("array<string>")), lambda k: F.concat(F.lit("n:"), "ticker", F.lit("|"), k)),
-        F.array_compact(F.array(F.concat(F.lit("l:"), logo), F.concat(F.lit("b:"), "ticker", F.lit("|"), logo))),
-    )
-    entries = written(timed.join(keys, ["ticker", "name"], "left").select("id", "at", F.explode(groups).alias("grp")), "launch-groups")
-    kind = F.left("grp", F.lit(1))
-    pick = lambda k: F.min(F.when(kind == k, F.col("first"))).alias(k)
-    firsts = earliest(entries, WINDOW_DAYS).groupBy("id").agg(pick("b"), pick("n"), pick("l"))
-    named = entries.filter(F.col("grp").startswith("n:"))
-    live = trailing.own(trailing.sliced(named.withColumn("ts", F.timestamp_micros("at")), "ts", QUIET_HOURS * 3600).withColumn("before", F.count("*").over(trailing.window(["grp"], QUIET_HOURS * 3600, -1))))
-    live = live.groupBy("id").agg(F.max("before").alias("live"))
-    dealt = trailing.sliced(timed.select("id", "ts", "ticker", "logo"), "ts", _DAY)
-    rank = F.count("*").over(trailing.window(["ticker"], _DAY, -1)) + 1
-    logo_rank = F.count("*").over(trailing.window(["logo"], _DAY, -(MIN_GAP * SECOND + 1))) + 1
-    places = trailing.own(dealt.withColumns({"name_rank": rank, "logo_rank": logo_rank})).select("id", "name_rank", "logo_rank")
-    e = rows.join(firsts, "id", "left").join(live, "id", "left").join(places, "id", "left").join(collisions(rows, name_keys), "id", "left")
-    gap = lambda k: F.col("at") - F.col(f"{k}.at")
-    old = lambda k: F.coalesce(gap(k) > MIN_GAP * SECOND, F.lit(False))
-    earlier = lambda k: F.coalesce(gap(k) > 0, F.lit(False))
+    names = written(rows.groupBy("ticker", "name").agg(F.count("*").alias("n")), "launch-names")
+    name_keys = written(agreement_keys(names.select("ticker", "name")), "name-keys")
+    e = rows.join(standing(rows, name_keys, names), "id", "left")
+    place = lambda c: F.coalesce(c, F.lit(0)) + 1
+    e = e.withColumns({"name_rank": place("named"), "logo_rank": place("marked"), "same_ticker": F.when(F.col("at").isNotNull(), F.coalesce("same_ticker", F.lit(0)))})
+    old = lambda k: F.coalesce(F.col(f"{k}_gap") > MIN_GAP * SECOND, F.lit(False))
+    earlier = lambda k: F.coalesce(F.col(f"{k}_gap") > 0, F.lit(False))
     how = F.when(old("b"), "both").when(old("n"), "name").when(old("l"), "logo")
-    chosen = F.when(old("b"), F.col("b")).when(old("n"), F.col("n")).when(old("l"), F.col("l"))
-    e = e.withColumns({"how": how, "chosen": chosen})
+    chosen = lambda c: F.when(old("b"), F.col(f"b_{c}")).when(old("n"), F.col(f"n_{c}")).when(old("l"), F.col(f"l_{c}"))
+    e = e.withColumns({"how": how, "original": chosen("other"), "age": chosen("gap")})
     # A logo alone ranks among the earlier launches with that logo.
     e = e.withColumn("rank", F.when(F.col("how") == "logo", F.col("logo_rank")).otherwise(F.col("name_rank")))
-    age = F.col("at") - F.col("chosen.at")
-    copied = kind_of(F.col("rank"), age)
+    copied = kind_of(F.col("rank"), F.col("age"))
     quiet = ~earlier("l") & (F.coalesce(F.col("live"), F.lit(0)) == 0)
     distinct_ticker = F.col("ticker").rlike("^[A-Z]{4,}$") & ~F.lower("ticker").isin(*EVERYDAY)
     crowd = (F.col("name_rank") > 1) & (earlier("n") | earlier("b") | distinct_ticker)
@@ -189,7 +264,7 @@ def lineage(rows: DataFrame) -> DataFrame:
         .otherwise(copied)
     )
     shown = F.when(F.col("how").isNotNull() | crowd, F.col("rank"))
-    return e.select(F.col("id").alias("event_id"), (-F.col("chosen.other")).alias("original"), "how", shown.alias("rank"), final.alias("kind"), "same_ticker")
+    return e.select(F.col("id").alias("event_id"), "original", "how", shown.alias("rank"), final.alias("kind"), "same_ticker")
 
 
 def _in(words) -> str:

@@ -3,10 +3,13 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators import trailing
+from loomwright.operators.whole_groups import look_back
 from loomwright.plans import histories, kinship
+from tests.test_operators import launch_rows
 
 START = datetime.datetime(2024, 1, 10)
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -64,3 +67,50 @@ def test_lineage_siblings(spark):
     for i, (at, ticker, logo) in launch.items():
         near = [at - s for s, t, g in launch.values() if s <= at and (t == ticker or logo is not None and g == logo)]
         assert got[i] == tuple(sum(gap <= h * 3600 for gap in near) for h in (1, 6, 24))
+
+
+def test_look_back(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.choice([0, 5, 300, 86_400, rng.randrange(400_000)]) * trailing.SECOND, rng.choice("abc")) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, at long, grp string")
+    for r in look_back(df, ("first", 86_400), {"near": (300, 0), "aged": (86_400, 300)}).collect():
+        i, at, grp = rows[r["id"]]
+        gaps = {j: at - t for j, t, g in rows if g == grp}
+        in_day = [(gap, j) for j, gap in gaps.items() if 0 <= gap <= 86_400 * trailing.SECOND]
+        assert (at - r["first"]["at"], -r["first"]["other"]) == max(in_day)
+        assert r["near"] == sum(0 < gap <= 300 * trailing.SECOND for gap in gaps.values())
+        assert r["aged"] == sum(300 * trailing.SECOND < gap <= 86_400 * trailing.SECOND for gap in gaps.values())
+
+
+@pytest.mark.parametrize("crowd", [1_000_000, 40, 3])
+def test_lineage_of_whole_groups_and_crowds(spark, monkeypatch, crowd):
+    """Against all pairs, whether groups are ordered whole or cut, with names of several keys and launches of one time."""
+    monkeypatch.setattr(kinship, "CROWD", crowd)
+    rng = random.Random(11)
+    names = ["quartz ring", "quartz bolt", "old bolt", "bolt", "harbor ring", "harbor bolt quartz", "small ring", "small rinng"]
+    stamps = [None, 0, 301, 3600, 86_400, 86_700, 30 * 86_400]
+    rows = [(k, rng.choice([rng.choice(stamps), rng.randrange(50 * 86_400)]), rng.choice(names), rng.choice(["AAAA", "BBBB"]), rng.choice([None, 1, 2, 3]), k % 5 == 0) for k in range(300)]
+    df = launch_rows(spark, rows)
+    agreeing = {}
+    for r in kinship.agreement_keys(df.select("ticker", "name").distinct()).collect():
+        agreeing.setdefault((r["ticker"], r["name"]), set()).add(r["key"])
+    found = kinship.lineage(df)
+    assert not moving(found)
+    got = {r["event_id"]: r for r in found.collect()}
+    assert len(got) == len(rows)
+    for i, at, name, ticker, logo, _ in rows:
+        if at is None:
+            assert (got[i]["original"], got[i]["how"], got[i]["rank"], got[i]["same_ticker"]) == (None, None, None, None)
+            continue
+        near = [(at - t, j, k == ticker, k == ticker and bool(agreeing[k, n] & agreeing[ticker, name]), logo is not None and g == logo) for j, t, n, k, g, _ in rows if t is not None and 0 <= at - t <= 30 * 86_400]
+        best = {
+            "both": max(((gap, j) for gap, j, same, _, logos in near if gap > 300 and same and logos), default=None),
+            "name": max(((gap, j) for gap, j, _, agrees, _ in near if gap > 300 and agrees), default=None),
+            "logo": max(((gap, j) for gap, j, _, _, logos in near if gap > 300 and logos), default=None),
+        }
+        how = next((k for k, v in best.items() if v), None)
+        assert (got[i]["how"], got[i]["original"]) == (how, best[how][1] if how else None)
+        assert got[i]["same_ticker"] == sum(gap > 0 and same and not agrees and not logos for gap, _, same, agrees, logos in near)
+        by_name, by_logo = 1 + sum(0 < x[0] <= 86_400 and x[2] for x in near), 1 + sum(300 < x[0] <= 86_400 and x[4] for x in near)
+        if how:
+            assert got[i]["rank"] == (by_logo if how == "logo" else by_name)
