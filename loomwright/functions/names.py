@@ -142,18 +142,36 @@ def explain_ticker(ticker: Column, base: Column, tokens: Column, known: list[str
     return chain
 
 
+def fixed(x: Column, tenths: bool = False) -> Column:
+    """A number with one decimal or none as C prints it: its exact binary value rounded, halves to even. (``format_string`` rounds the shortest digits that tell the number, halves up.)"""
+    size = F.abs(x)
+    whole = F.floor(size)
+    rest = size - whole.cast("double")  # exact
+    if tenths:
+        # Ten times the rest against the middle of two tenths, doubled and shared out so that nothing is rounded where it is close: 4 r against q - 16 r.
+        low = F.floor(rest * 10)
+        q = (2 * low + 1).cast("double")
+        up = (4 * rest > q - 16 * rest) | ((4 * rest == q - 16 * rest) & (low % 2 == 1))
+        digit = low + F.when(up, 1).otherwise(0)
+        text = F.concat((whole + F.floor(digit / 10)).cast("string"), F.lit("."), (digit % 10).cast("string"))
+    else:
+        text = (whole + F.when((rest > 0.5) | ((rest == 0.5) & (whole % 2 == 1)), 1).otherwise(0)).cast("string")
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.format_string("%.1f" if tenths else "%.0f", x))
+    return F.when(size < float(1 << 62), F.concat(F.when(x < 0, "-").otherwise(""), text)).when(x.isNotNull(), odd)
+
+
 def duration(seconds: Column) -> Column:
     """Seconds as s, min, h or d."""
     whole = lambda x: F.floor(x).cast("long").cast("string")
     return (
         F.when(seconds < 120, F.concat(whole(seconds), F.lit(" s"))).when(seconds < 7200, F.concat(whole(seconds / 60), F.lit(" min")))
-        .when(seconds < 172_800, F.concat(F.format_string("%.1f", seconds / 3600), F.lit(" h"))).otherwise(F.concat(whole(seconds / 86_400), F.lit(" d")))
+        .when(seconds < 172_800, F.concat(fixed(seconds / 3600, tenths=True), F.lit(" h"))).otherwise(F.concat(whole(seconds / 86_400), F.lit(" d")))
     )
 
 
 def dollars(value: Column) -> Column:
     """Thousands as k, millions as M."""
-    return F.when(value >= 1e6, F.format_string("$%.1fM", value / 1e6)).otherwise(F.format_string("$%.0fk", value / 1e3))
+    return F.when(value >= 1e6, F.concat(F.lit("$"), fixed(value / 1e6, tenths=True), F.lit("M"))).otherwise(F.concat(F.lit("$"), fixed(value / 1e3), F.lit("k")))
 
 
 def image_score(distance: Column, same: int = 8, edited: int = 14) -> Column:
