@@ -23,9 +23,9 @@ NAME_WORDS = 3
 
 
 def everyday_words(conversations: DataFrame) -> DataFrame:
-    """Words of more than a twentieth of all turns."""
+    """Words of more than a twentieth of all turns; rows of the same turn count a word once."""
     total = conversations.agg(F.count("*").alias("total"))  # one row
-    words = conversations.select(F.explode(F.array_distinct(M.tokens(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = conversations.select("conv_id", "turn", F.explode(F.array_distinct(M.tokens(F.col("text")))).alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
     return words.crossJoin(F.broadcast(total)).filter(F.col("n") > EVERYDAY * F.col("total")).select("word")
 
 
@@ -34,7 +34,7 @@ def named(conversations: DataFrame) -> DataFrame:
     first = conversations.filter("turn = 0").groupBy("conv_id").agg(F.min("text").alias("said"))
     rows = conversations.filter("turn > 0").join(first, "conv_id")
     name = F.slice(M.tokens(F.col("said")), 1, NAME_WORDS)
-    rows = rows.select("conv_id", "turn", "text", name.alias("name")).withColumn("ticker", F.upper(F.get("name", F.lit(0))))
+    rows = rows.select("conv_id", "turn", "text", name.alias("name")).withColumn("ticker", M.upper(F.get("name", F.lit(0))))
     which, compact = (F.col("conv_id") + F.col("turn")) % 5, F.array_join("name", "")
     more = F.when(which == 1, F.concat(F.lit(" $"), "ticker")).when(which == 2, F.concat(F.lit(" #"), "ticker")).when(which == 3, F.concat(F.lit(" "), compact)).when(which == 4, F.concat(F.lit(" x"), F.substring(compact, 2, 1 << 30))).otherwise("")
     return rows.select("conv_id", "turn", "name", "ticker", F.concat(F.coalesce("text", F.lit("")), F.coalesce(more, F.lit(""))).alias("post"))
@@ -46,7 +46,7 @@ def verdicts(rows: DataFrame, everyday: DataFrame) -> DataFrame:
     Only posts that name nothing otherwise are sought for something like the name, near unchanged pieces of it.
     """
     rows = rows.withColumn("post_tokens", M.tokens(F.col("post")))
-    rows = rows.join(everyday.select(F.upper("word").alias("ticker"), F.lit(True).alias("common")).groupBy("ticker").agg(F.max("common").alias("common")), "ticker", "left")
+    rows = rows.join(everyday.select(M.upper(F.col("word")).alias("ticker"), F.lit(True).alias("common")).groupBy("ticker").agg(F.max("common").alias("common")), "ticker", "left")
     rows = rows.withColumn("plain", M.name_match(F.col("name"), F.col("post_tokens")))
     wanting = (F.col("plain.score") == 0) & (F.length(F.array_join("name", "")) >= M.FUZZY_LETTERS)
     rows = rows.withColumn("fuzzy", M.fuzzy_part(F.when(wanting, F.array_join("name", "")), F.when(wanting, F.array_join("post_tokens", ""))))
@@ -87,4 +87,4 @@ _TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
 def post_matches(conversations: DataFrame) -> DataFrame:
     """How each post names what its conversation is about, how well it fits, and the verdict."""
     found = verdicts(named(conversations), everyday_words(conversations))
-    return found.select("conv_id", "turn", "name_how", "name_score", "ticker_how", "ticker_score", F.round("fit", 6).alias("fit"), "verdict", "run")
+    return found.select("conv_id", "turn", "name_how", "name_score", "ticker_how", "ticker_score", M.rounded(F.col("fit"), 6).alias("fit"), "verdict", "run")
