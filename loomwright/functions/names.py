@@ -142,20 +142,28 @@ def explain_ticker(ticker: Column, base: Column, tokens: Column, known: list[str
     return chain
 
 
+def _tenths(size: Column) -> Column:
+    """A number from 0 with one decimal, its exact value rounded, halves to even."""
+    whole = F.floor(size)
+    rest = size - whole.cast("double")  # exact
+    # Ten times the rest against the middle of two tenths, doubled and shared out so that nothing is rounded where it is close: 4 r against q - 16 r.
+    low = F.floor(rest * 10)
+    q = (2 * low + 1).cast("double")
+    up = (4 * rest > q - 16 * rest) | ((4 * rest == q - 16 * rest) & (low % 2 == 1))
+    digit = low + F.when(up, 1).otherwise(0)
+    return F.concat((whole + F.floor(digit / 10)).cast("string"), F.lit("."), (digit % 10).cast("string"))
+
+
 def fixed(x: Column, tenths: bool = False) -> Column:
     """A number with one decimal or none as C prints it: its exact binary value rounded, halves to even. (``format_string`` rounds the shortest digits that tell the number, halves up.)"""
     size = F.abs(x)
-    whole = F.floor(size)
-    rest = size - whole.cast("double")  # exact
     if tenths:
-        # Ten times the rest against the middle of two tenths, doubled and shared out so that nothing is rounded where it is close: 4 r against q - 16 r.
-        low = F.floor(rest * 10)
-        q = (2 * low + 1).cast("double")
-        up = (4 * rest > q - 16 * rest) | ((4 * rest == q - 16 * rest) & (low % 2 == 1))
-        digit = low + F.when(up, 1).otherwise(0)
-        text = F.concat((whole + F.floor(digit / 10)).cast("string"), F.lit("."), (digit % 10).cast("string"))
+        # Ten times the number is a half itself wherever rounding it hides on which side of one it is; only these and very large ones are looked at closer.
+        n = F.rint(size * 10).cast("long")
+        near = F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+        text = F.when((size < 1e14) & (size * 10 - F.floor(size * 10) != 0.5), near).otherwise(F.transform(F.array(size), _tenths)[0])
     else:
-        text = (whole + F.when((rest > 0.5) | ((rest == 0.5) & (whole % 2 == 1)), 1).otherwise(0)).cast("string")
+        text = F.rint(size).cast("long").cast("string")
     odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.format_string("%.1f" if tenths else "%.0f", x))
     return F.when(size < float(1 << 62), F.concat(F.when(x < 0, "-").otherwise(""), text)).when(x.isNotNull(), odd)
 
