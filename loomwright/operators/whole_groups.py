@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from loomwright.operators.trailing import SECOND
 
 
+#: Parts for each core.
+PARTS = 4
+
+
 def look_back(entries: DataFrame, first: tuple[str, int], counts: dict[str, tuple[int, int]]) -> DataFrame:
     """``entries`` (id, at in microseconds, grp and others) without grp, each with its group's earliest row (at, negated id) in the last seconds up to itself, and with numbers of rows in windows.
 
@@ -16,6 +20,8 @@ def look_back(entries: DataFrame, first: tuple[str, int], counts: dict[str, tupl
     """
     others = [c for c in entries.columns if c != "grp"]
     rows = entries.select(*others, F.xxhash64("grp").alias("_g"), F.crc32("grp").alias("_h"), (-F.col("at")).alias("_back"))
+    # More parts than cores: a part with several large groups doesn't hold up the others.
+    rows = rows.repartition(PARTS * entries.sparkSession.sparkContext.defaultParallelism, "_g", "_h")
 
     def since(seconds: int):
         return Window.partitionBy("_g", "_h").orderBy("_back").rangeBetween(Window.unboundedPreceding, seconds * SECOND)

@@ -103,11 +103,11 @@ def names_with_keys(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     totals = single.groupBy("ticker", "key").agg((F.sum("n") > CROWD).alias("crowd"))
     named = single.join(totals, ["ticker", "key"]).groupBy("ticker", "name").agg(F.array_sort(F.collect_list(F.struct("key", "crowd"))).alias("k"))  # keys of one name
     tickers = sizes.groupBy("ticker").agg((F.sum("n") > CROWD).alias("crowd"))
-    return written(named.join(tickers, "ticker").select("ticker", "name", F.col("k.key").alias("keys"), F.col("k.crowd").alias("crowds"), "crowd"), "names-with-keys")
+    return named.join(tickers, "ticker").select("ticker", "name", F.col("k.key").alias("keys"), F.col("k.crowd").alias("crowds"), "crowd")
 
 
 def name_groups(named: DataFrame) -> DataFrame:
-    """(ticker, name, groups) from ``names_with_keys``: the groups that a name is in, as (grp, kind, sign, crowd, stem, logo_kind, logo_sign).
+    """(ticker, name, keys, groups) from ``names_with_keys``: the groups that a name is in, as (grp, kind, sign, crowd, stem, logo_kind, logo_sign).
 
     Kind t is the ticker, n one key, s several keys at once. ``stem`` begins the name of the group's part that has a logo too, of kind b for the ticker, else x. Signs are those by which the ticker less the
     union of what a launch shares is counted. A name of more than ``MOST_KEYS`` keys has groups without a sign for its keys, and none of several.
@@ -124,14 +124,12 @@ def name_groups(named: DataFrame) -> DataFrame:
     met = F.transform(subsets(F.col("keys")), lambda x: group(
         in_ticker(x["grp"]), F.when(x["size"] == 1, "n").otherwise("s"), sign(x), crowded(x["grp"]), F.concat(in_ticker(x["grp"]), F.lit("\x1f")), F.lit("x"), -sign(x)))
     alone = F.transform(F.arrays_zip("keys", "crowds"), lambda z: group(in_ticker(F.concat(F.lit("s:"), z["keys"])), F.lit("n"), F.lit(0), z["crowds"], F.lit(None).cast("string"), F.lit("x"), F.lit(0)))
-    return named.select("ticker", "name", F.concat(F.array(ticker), F.when(few, met).otherwise(alone)).alias("groups"))
+    return named.select("ticker", "name", "keys", F.concat(F.array(ticker), F.when(few, met).otherwise(alone)).alias("groups"))
 
 
-def long_names(timed: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """Members and questions for ``counts_before`` of launches whose names have more than ``MOST_KEYS`` telling keys, which are rare: counted over the distinct names that agree with them. None if there are none."""
+def long_names(timed: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members and questions for ``counts_before`` of launches whose names have more than ``MOST_KEYS`` telling keys, which are rare: counted over the distinct names that agree with them."""
     many = named.filter(F.size("keys") > MOST_KEYS)
-    if many.isEmpty():
-        return None
     own = lambda ks: F.array_compact(F.concat(ks, F.array("logo")))
     in_ticker = lambda grp: F.concat(F.col("ticker"), F.lit("|"), grp)
     # Names that agree, in which one has many keys: few, as such names are.
@@ -159,17 +157,17 @@ def standing(rows: DataFrame, keys: DataFrame, sizes: DataFrame) -> DataFrame:
     ``keys`` (ticker, name, key) and ``sizes`` (ticker, name, n) are of the distinct names. A launch's groups are made from its name's, which lose no agreement by having telling keys only. Groups of at most
     ``CROWD`` launches are ordered whole; larger ones are cut by days and hours.
     """
-    named = names_with_keys(keys, sizes)
-    groups = written(name_groups(named), "name-groups")
+    groups = written(name_groups(names_with_keys(keys, sizes)), "name-groups")
+    some = groups.agg(F.max(F.size("keys")).alias("keys"), F.max(F.exists("groups", lambda g: g["crowd"])).alias("crowd")).first()
     timed, crowded_logos = with_crowds(rows.filter("at IS NOT NULL").select("id", "at", "ticker", "name", "logo"))
     timed = timed.withColumn("logo", F.concat(F.lit("b:"), F.col("logo").cast("string")))
-    shared = timed.join(groups, ["ticker", "name"]).select("id", "at", "logo", "crowded", F.inline("groups"))
+    shared = timed.join(groups.drop("keys"), ["ticker", "name"]).select("id", "at", "logo", "crowded", F.inline("groups"))
     plain = F.struct("grp", "kind", "sign", "crowd")
     with_logo = F.struct(F.concat("stem", "logo").alias("grp"), F.col("logo_kind").alias("kind"), F.col("logo_sign").alias("sign"), (F.col("crowd") & F.col("crowded")).alias("crowd"))
     entries = shared.select("id", "at", F.inline(F.array(plain, with_logo))).filter("grp IS NOT NULL")
     by_logo = timed.filter("logo IS NOT NULL").select("id", "at", F.concat(F.lit("l:"), "logo").alias("grp"), F.lit("l").alias("kind"), F.lit(0).alias("sign"), F.col("crowded").alias("crowd"))
     entries = entries.unionByName(by_logo)
-    long = long_names(timed.drop("crowded"), named)
+    long = long_names(timed.drop("crowded"), groups.select("ticker", "name", "keys")) if (some["keys"] or 0) > MOST_KEYS else None
     spans = {"quiet": (QUIET_HOURS * 3600, 0), "day": (_DAY, 0), "aged": (_DAY, MIN_GAP), "month": (WINDOW_DAYS * _DAY, 0)}
     found = look_back(entries.filter("NOT crowd"), ("first", WINDOW_DAYS * _DAY), spans)
     # Of its counts each kind needs one, and the earliest as its gap and id.
@@ -178,7 +176,7 @@ def standing(rows: DataFrame, keys: DataFrame, sizes: DataFrame) -> DataFrame:
     counted = F.col("sign") * F.col("month") if long is None else F.lit(None).cast("long")
     parts = [found.select("id", "kind", *earlier(F.col("kind")), seen(F.col("kind")), counted.alias("n"))]
     crowded = None
-    if crowded_logos or not groups.filter(F.exists("groups", lambda g: g["crowd"])).isEmpty():
+    if crowded_logos or some["crowd"]:
         crowded = written(entries.filter("crowd"), "crowded-groups")
         of = lambda kinds: crowded.filter(F.col("kind").isin(*kinds)).select("id", "at", F.concat("kind", "grp").alias("grp"))
         kind = F.left("grp", F.lit(1))
